@@ -217,7 +217,7 @@ def model_labels_current(versions: DataFrame, labels: DataFrame, tags: DataFrame
     return (
         current.join(ok, "review_text_sk").join(named, "labeling_sk", "left")
         .groupBy("recommendation_id", "aspect_id")
-        .agg(F.min_by("sentiment", "importance").alias("sentiment"))
+        .agg(F.min_by("sentiment", F.struct("importance", "sentiment")).alias("sentiment"))
     )
 
 

@@ -27,7 +27,8 @@ def review_flat(facts: DataFrame, games: DataFrame, languages: DataFrame) -> Dat
     """One row per review of a known product, with its product id, language code and UTC day."""
     known = games.filter("app_id > 0").select("game_sk", "app_id")
     return (
-        facts.join(known, "game_sk")
+        facts.select("recommendation_id", "game_sk", "language_sk", "created_at", "is_voted_up")
+        .join(known, "game_sk")
         .join(languages.select("language_sk", "language_code"), "language_sk")
         .select(
             "app_id", F.col("recommendation_id").alias("review_id"), "created_at",
