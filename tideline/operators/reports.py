@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import events as ev
 from tideline.operators import series as sr
+from tideline.session import written
 
 
 def game_dashboard(
@@ -17,8 +18,9 @@ def game_dashboard(
 
     ``value`` is the share, weight or shift; ``detail`` the kind of event or headline of the point.
     """
-    series = sr.sentiment_series(daily, smoothing)
-    points = sr.change_points(series, sensitivity=sensitivity)
+    daily = written(daily, "daily")
+    series = written(sr.sentiment_series(daily, smoothing), "series")
+    points = written(sr.change_points(series, sensitivity=sensitivity), "points")
     none = F.lit(None)
     days = series.select(
         "app_id", F.lit("day").alias("kind"), "day", F.col("pct").alias("value"), F.col("total").cast("bigint").alias("reviews"),

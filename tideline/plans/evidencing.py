@@ -2,74 +2,100 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import functions as F
 
 from tideline.operators import events as ev
-from tideline.operators import evidence, verdicts
+from tideline.operators import evidence, marts, verdicts
 from tideline.plans.catalog import query
 from tideline.plans.frames import with_ctes
+from tideline.session import written
 
 CONFIG = 1
 POINT = evidence.POINT
 
 
 class Around:
-    """Evidence frames of all points, built once per query."""
+    """Evidence frames of all points. Frames that several others read are written once, as marts are."""
 
     def __init__(self, t):
         self.t = t
-        self.points = t.points
-        self.votes = evidence.votes_before_after(t.daily, t.points)
 
-    def shifts(self, mart, key):
-        by = ("key",) if key == "category_id" else ("category_id", "key")
-        crit = evidence.critique_rows(mart, key)
-        shares = evidence.weighted_topic_share(self.t.t_den, crit, self.points, CONFIG, by)
-        return evidence.topic_shift(shares, by)
+    @cached_property
+    def points(self):
+        return self.t.points
 
-    @property
+    @cached_property
+    def votes(self):
+        return evidence.votes_before_after(self.t.daily, self.points)
+
+    @cached_property
+    def labeled(self):
+        return written(self.t.t_labeled, "labeled")
+
+    @cached_property
+    def tags(self):
+        return written(marts.review_aspect_tag(marts.review_tags(self.labeled, self.t.t_tag, self.t.t_aspect)), "tags")
+
+    @cached_property
+    def denominators(self):
+        return written(marts.review_labeling_daily(self.t.t_review, self.labeled), "denominators")
+
+    @cached_property
+    def category_daily(self):
+        return written(marts.review_category_daily(self.tags, self.denominators), "categories")
+
+    @cached_property
+    def aspect_daily(self):
+        return written(marts.review_aspect_daily(self.tags, self.denominators), "aspects")
+
+    def shares(self, mart, key, by):
+        return evidence.weighted_topic_share(self.denominators, evidence.critique_rows(mart, key), self.points, CONFIG, by)
+
+    @cached_property
     def categories(self):
-        return evidence.without_service(self.shifts(self.t.t_category_daily, "category_id"))
+        shift = evidence.topic_shift(self.shares(self.category_daily, "category_id", ("key",)))
+        return written(evidence.without_service(shift), "shift")
 
-    @property
+    @cached_property
     def aspects(self):
-        return self.shifts(self.t.t_aspect_daily, "aspect_id")
+        by = ("category_id", "key")
+        return evidence.topic_shift(self.shares(self.aspect_daily, "aspect_id", by), by)
 
-    @property
+    @cached_property
     def labels(self):
-        return evidence.shift_labels(self.votes, self.categories)
+        return written(evidence.shift_labels(self.votes, self.categories), "shift-labels")
 
-    @property
+    @cached_property
     def movers(self):
-        return evidence.top_movers(self.categories, self.labels)
+        return written(evidence.top_movers(self.categories, self.labels), "movers")
 
-    @property
+    @cached_property
     def support(self):
-        return evidence.support_reviews(self.movers, self.t.t_labeled, self.t.t_aspect_tag, self.t.t_fact, CONFIG)
+        return written(evidence.support_reviews(self.movers, self.labeled, self.tags, self.t.t_fact, CONFIG), "support")
 
-    @property
+    @cached_property
     def numbered(self):
-        return evidence.number_support(self.support)
+        return written(evidence.number_support(self.support), "numbered")
 
-    @property
+    @cached_property
     def languages(self):
         return self.t.table("orders").select(
             F.ascii("o_orderstatus").alias("language_sk"),
             F.expr("CASE o_orderstatus WHEN 'O' THEN 'english' WHEN 'P' THEN 'russian' ELSE 'french' END").alias("language_code")).distinct()
 
-    @property
+    @cached_property
+    def playtime(self):
+        return evidence.playtime_segments(self.labeled, self.tags, self.t.t_fact, self.labels, CONFIG)
+
+    @cached_property
     def bundle(self):
         t = self.t
-        labels = self.labels
-        movers = evidence.top_movers(self.categories, labels)
-        support = evidence.support_reviews(movers, t.t_labeled, t.t_aspect_tag, t.t_fact, CONFIG)
-        numbered = evidence.with_texts(evidence.number_support(support), t.t_label, t.t_version)
-        playtime = evidence.playtime_segments(t.t_labeled, t.t_aspect_tag, t.t_fact, labels, CONFIG)
-        news = ev.point_news(t.points, t.events)
-        platform = ev.nearest_platform_event(t.points, t.platform)
-        return evidence.evidence_bundle(labels, movers, self.aspects, playtime, numbered, news, platform, CONFIG)
+        texts = evidence.with_texts(self.numbered, t.t_label, t.t_version)
+        news = ev.point_news(self.points, t.events)
+        platform = ev.nearest_platform_event(self.points, t.platform)
+        return evidence.evidence_bundle(self.labels, self.movers, self.aspects, self.playtime, texts, news, platform, CONFIG)
 
 
 BASE = ("d_point", "p_daily", "t_den", "t_category_daily", "t_aspect_daily")
@@ -176,8 +202,8 @@ def _(t):
 
 @query("weighted_topic_share", sql=chain("cat_shares", f"SELECT app_id, point_day, after, category_id AS key, {R6.format('share')} AS share, labeled, crit FROM cat_shares"))
 def _(t):
-    crit = evidence.critique_rows(t.t_category_daily, "category_id")
-    shares = evidence.weighted_topic_share(t.t_den, crit, t.points, CONFIG)
+    a = Around(t)
+    shares = a.shares(a.category_daily, "category_id", ("key",))
     return shares.withColumn("share", evidence.half_up(F.col("share"), 6))
 
 
@@ -215,7 +241,7 @@ PLAYED = """SELECT l.app_id, l.point_day, l.main, x.playtime, x.after, count(r.l
 
 @query("playtime_segments", sql=chain("lab", PLAYED, *TEXTS))
 def _(t):
-    return evidence.playtime_segments(t.t_labeled, t.t_aspect_tag, t.t_fact, Around(t).labels, CONFIG)
+    return Around(t).playtime
 
 
 @query("support_reviews", sql=chain("support", "SELECT * FROM support", *TEXTS))

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.session import settle
+from tideline.session import settle, written
 
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -441,6 +441,7 @@ class Frames:
 
     @cached_property
     def points(self) -> DataFrame:
+        """Written once: jobs about points read them several times."""
         from tideline.operators.series import candidates, suppress
 
-        return suppress(candidates(self.scored))
+        return written(suppress(candidates(self.scored)), "points")
