@@ -16,6 +16,7 @@ MAX_ASPECTS = 5
 MAX_NOTE_WORDS = 3
 OTHER = "other"
 ASPECT_ARRAY = "array<struct<id:string,sentiment:string,note:string>>"
+ELEMENTS = f"array<struct<pos:int,n:int,problem:string,aspects:{ASPECT_ARRAY}>>"
 
 
 def label_infer(batches: DataFrame, labeler: Callable[[str], tuple[str, str]], keys: tuple = ("app_id", "batch")) -> DataFrame:
@@ -45,89 +46,101 @@ def label_infer(batches: DataFrame, labeler: Callable[[str], tuple[str, str]], k
 def _unfenced(content: Column) -> Column:
     """Answer text without a surrounding code fence."""
     text = strip_all(F.coalesce(content, F.lit("")))
-    newline = F.instr(text, "\n")
-    body = F.when(newline > 0, F.substring(text, newline + 1, F.char_length(text))).otherwise(text)
-    tail = F.char_length(F.substring_index(body, "```", -1))
-    inner = F.when(F.contains(body, F.lit("```")), F.left(body, F.char_length(body) - tail - 3)).otherwise(body)
-    return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
+    opened = F.regexp_replace(text, r"^[^\n]*\n", "")
+    closed = F.regexp_replace(opened, r"(?s)```(?:(?!```).)*$", "")
+    return F.when(F.startswith(text, F.lit("```")), closed).otherwise(text)
 
 
-def _aspect(a: Column, allowed: Column) -> Column:
-    """One answered aspect as (id, sentiment, note, ok)."""
-    aspect_id = F.try_variant_get(a, "$.id", "string")
-    sign = F.try_variant_get(a, "$.sentiment", "string")
+def _read_aspect(a: Column) -> Column:
     note = F.lower(strip_all(F.coalesce(F.try_variant_get(a, "$.note", "string"), F.lit(""))))
-    words = F.size(F.split(note, r"(?U)\s+"))
-    other = F.coalesce(aspect_id == OTHER, F.lit(False))
-    fits = F.when(other, (note != "") & (words <= MAX_NOTE_WORDS)).otherwise(F.array_contains(allowed, aspect_id))
     return F.struct(
-        aspect_id.alias("id"), sign.alias("sentiment"), F.when(other, note).alias("note"),
-        (F.coalesce(sign.isin(*SIGNS), F.lit(False)) & F.coalesce(fits, F.lit(False))).alias("ok"),
-    )
+        F.try_variant_get(a, "$.id", "string").alias("id"), F.try_variant_get(a, "$.sentiment", "string").alias("sentiment"), note.alias("note"))
 
 
-def _is_array(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.lit(False))
+def _check_aspect(a: Column, allowed: Column) -> Column:
+    """One answered aspect as (id, sentiment, note, ok)."""
+    note = a["note"]
+    words = F.size(F.split(note, r"(?U)\s+"))
+    other = F.coalesce(a["id"] == OTHER, F.lit(False))
+    fits = F.when(other, (note != "") & (words <= MAX_NOTE_WORDS)).otherwise(F.array_contains(allowed, a["id"]))
+    return F.struct(
+        a["id"].alias("id"), a["sentiment"].alias("sentiment"), F.when(other, note).alias("note"),
+        (F.coalesce(a["sentiment"].isin(*SIGNS), F.lit(False)) & F.coalesce(fits, F.lit(False))).alias("ok"),
+    )
 
 
-def parse_items(answers: DataFrame, allowed: list[str], keys: tuple = ("app_id", "batch")) -> DataFrame:
-    """Elements of each answer with their number, cleaned aspects and what is wrong with them.
+def _elements(size: Column, items: Column, allowed: list[str]) -> Column:
+    """Elements of an answer as (pos, n, problem, aspects); ``n`` is null for an unexpected number.
 
-    Only the first element of a number counts. One bad aspect rejects the review, since a partial
-    label would distort shares; a repeated aspect is dropped; of too many the first ones stay.
+    One bad aspect rejects the review, since a partial label would distort shares; a repeated aspect
+    is dropped; of too many the first ones stay, as they come by importance.
     """
     known = F.array(*[F.lit(a) for a in allowed if a != OTHER])
-    parsed = answers.select(*keys, "size", F.try_parse_json(_unfenced(F.col("content"))).alias("v")).filter(_is_array(F.col("v")))
-    items = parsed.select(*keys, "size", F.posexplode(F.col("v").cast("array<variant>")).alias("pos", "item"))
-    n_type = F.schema_of_variant(F.try_variant_get("item", "$.n", "variant"))
-    n_value = F.try_variant_get("item", "$.n", "double")
-    numeric = n_type.isin("BIGINT", "DOUBLE") | F.startswith(n_type, F.lit("DECIMAL"))
-    expected = F.coalesce(
-        numeric & (n_value == F.floor(n_value)) & n_value.between(F.lit(1.0), F.col("size").cast("double")), F.lit(False))
-    numbered = items.withColumn("n", F.when(expected, n_value.cast("int")))
-    first = F.row_number().over(Window.partitionBy(*keys, "n").orderBy("pos")) == 1
-    aspects = F.try_variant_get("item", "$.aspects", "variant")
-    listed = numbered.withColumn("counted", F.col("n").isNotNull() & first).withColumn("has_list", _is_array(aspects))
-    checked = listed.withColumn(
-        "tags", F.transform(F.when(F.col("has_list"), aspects.cast("array<variant>")), lambda a: _aspect(a, known)))
-    bad = F.exists("tags", lambda t: ~t["ok"])
-    unique = F.filter("tags", lambda t, i: ~F.exists(
-        F.slice(F.col("tags"), F.lit(1), i), lambda u: (u["id"] == t["id"]) & u["note"].eqNullSafe(t["note"])))
-    clean = F.transform(F.slice(unique, 1, MAX_ASPECTS), lambda t: F.struct(t["id"], t["sentiment"], t["note"]))
-    problem = (
-        F.when(~F.col("counted"), "unexpected or repeated number")
-        .when(~F.col("has_list"), "no list of aspects")
-        .when(bad, "bad aspects")
+
+    def element(item: Column, pos: Column) -> Column:
+        tags = F.transform(F.try_variant_get(item, "$.aspects", "array<variant>"), _read_aspect)
+        return F.struct(
+            pos.alias("pos"), F.try_variant_get(item, "$.n", "double").alias("value"),
+            F.schema_of_variant(F.try_variant_get(item, "$.n", "variant")).alias("kind"),
+            F.transform(tags, lambda a: _check_aspect(a, known)).alias("tags"))
+
+    def checked(e: Column) -> Column:
+        tags, value = e["tags"], e["value"]
+        number = e["kind"].isin("BIGINT", "DOUBLE") | F.startswith(e["kind"], F.lit("DECIMAL"))
+        expected = number & (value == F.floor(value)) & (value >= 1.0) & (value <= size)
+        repeated = lambda t, i: F.exists(
+            F.slice(tags, F.lit(1), i), lambda u: (u["id"] == t["id"]) & u["note"].eqNullSafe(t["note"]))
+        unique = F.filter(tags, lambda t, i: ~repeated(t, i))
+        clean = F.transform(F.slice(unique, 1, MAX_ASPECTS), lambda t: F.struct(t["id"], t["sentiment"], t["note"]))
+        problem = F.when(tags.isNull(), "no list of aspects").when(F.exists(tags, lambda t: ~t["ok"]), "bad aspects")
+        return F.struct(e["pos"], F.when(expected, value.cast("int")).alias("n"), problem.alias("problem"), F.when(problem.isNull(), clean).cast(ASPECT_ARRAY).alias("aspects"))
+
+    return F.transform(F.transform(items, element), checked)
+
+
+def parsed_answers(answers: DataFrame, allowed: list[str], keys: tuple) -> DataFrame:
+    """Answers with ``readable``, ``is_list`` and their ``elements``; no rows move between tasks."""
+    document = F.try_parse_json(_unfenced(F.col("content")))
+    return (
+        answers.select(*keys, "size", document.alias("v"))
+        .select(*keys, "size", F.col("v").isNotNull().alias("readable"), F.try_variant_get("v", "$", "array<variant>").alias("items"))
+        .select(*keys, "size", "readable", F.col("items").isNotNull().alias("is_list"),
+                F.coalesce(_elements(F.col("size"), F.col("items"), allowed), F.array().cast(ELEMENTS)).alias("elements"))
     )
-    return checked.select(*keys, "pos", "n", "counted", problem.alias("problem"), clean.cast(ASPECT_ARRAY).alias("aspects"))
 
 
 def label_parse(answers: DataFrame, allowed: list[str], keys: tuple = ("app_id", "batch")) -> DataFrame:
-    """One row per expected number: labeled, no_opinion or failed, with its aspects."""
-    good = parse_items(answers, allowed, keys).filter(F.col("counted") & F.col("problem").isNull()).select(*keys, "n", "aspects")
-    numbers = answers.select(*keys, F.explode(F.sequence(F.lit(1), F.col("size"))).alias("n"))
-    return numbers.join(good, [*keys, "n"], "left").withColumn("status", label_status(F.col("aspects")))
+    """One row per expected number: labeled, no_opinion or failed, with its aspects.
 
-
-def label_status(aspects: Column) -> Column:
-    return F.when(aspects.isNull(), "failed").when(F.size(aspects) == 0, "no_opinion").otherwise("labeled")
+    Only the first element of a number counts.
+    """
+    parsed = parsed_answers(answers, allowed, keys)
+    numbered = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.struct(
+        i.alias("n"), F.get(F.filter("elements", lambda e: e["n"] == i), F.lit(0))["aspects"].alias("aspects")))
+    return parsed.select(*keys, F.inline(numbered)).withColumn("status", label_status(F.col("aspects")))
 
 
 def answer_problems(answers: DataFrame, allowed: list[str], keys: tuple = ("app_id", "batch")) -> DataFrame:
     """Everything wrong with the answers: unreadable ones, rejected elements, numbers left out."""
-    v = F.try_parse_json(_unfenced(F.col("content")))
-    whole = F.when(v.isNull(), "not JSON").when(~_is_array(v), "not an array")
-    unreadable = answers.select(*keys, F.lit(None).cast("int").alias("n"), whole.alias("problem")).filter("problem is not null")
-    items = parse_items(answers, allowed, keys)
-    rejected = items.filter("problem is not null").select(*keys, "n", "problem")
-    # unreadable answers report themselves once, not number by number
-    readable = answers.select(*keys, "size", v.alias("v")).filter(_is_array(F.col("v")))
-    missing = (
-        readable.select(*keys, F.explode(F.sequence(F.lit(1), F.col("size"))).alias("n"))
-        .join(items.filter("counted").select(*keys, "n"), [*keys, "n"], "left_anti")
-        .withColumn("problem", F.lit("number left out"))
-    )
-    return unreadable.unionByName(rejected).unionByName(missing)
+    parsed = parsed_answers(answers, allowed, keys)
+
+    def issue(n: Column, problem: Column) -> Column:
+        return F.struct(n.cast("int").alias("n"), problem.alias("problem"))
+
+    def of_element(e: Column) -> Column:
+        earlier = F.exists(F.slice(F.col("elements"), F.lit(1), e["pos"]), lambda x: x["n"] == e["n"])
+        return issue(e["n"], F.when(e["n"].isNull() | earlier, "unexpected or repeated number").otherwise(e["problem"]))
+
+    whole = F.when(~F.col("readable"), "not JSON").when(~F.col("is_list"), "not an array")
+    left_out = F.array_except(F.sequence(F.lit(1), F.col("size")), F.transform("elements", lambda e: e["n"]))
+    found = F.concat(
+        F.transform("elements", of_element), F.transform(left_out, lambda n: issue(n, F.lit("number left out"))))
+    issues = F.when(whole.isNotNull(), F.array(issue(F.lit(None), whole))).otherwise(F.filter(found, lambda x: x["problem"].isNotNull()))
+    return parsed.select(*keys, F.inline(issues))
+
+
+def label_status(aspects: Column) -> Column:
+    return F.when(aspects.isNull(), "failed").when(F.size(aspects) == 0, "no_opinion").otherwise("labeled")
 
 
 def label_run(rows: DataFrame, batches: DataFrame, labeler: Callable, allowed: list[str]) -> DataFrame:
@@ -221,47 +234,53 @@ def model_labels_current(versions: DataFrame, labels: DataFrame, tags: DataFrame
     )
 
 
-def _marks(labels: DataFrame) -> DataFrame:
-    """Pairs of each rater at both levels, with and without the general impression."""
-    levels = F.array(
-        F.struct(F.lit("aspect").alias("level"), F.col("aspect_id").alias("mark")),
-        F.struct(F.lit("category").alias("level"), F.col("category_id").alias("mark")))
-    scopes = F.when(F.col("aspect_id") == OVERALL, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
-    return (
-        labels.select("rater", "recommendation_id", "aspect_id", "category_id")
-        .withColumn("with_overall", F.explode(scopes))
-        .select("rater", "recommendation_id", "with_overall", F.inline(levels))
-        .distinct()
-    )
+def _pair_counts(patterns: DataFrame, by: list[str]) -> DataFrame:
+    """(pattern of raters, count) rows -> counts per rater and per pair of raters."""
+    a = F.explode("raters").alias("rater_a")
+    pairs = patterns.select(*by, "n", "raters", a).select(*by, "n", "rater_a", F.explode("raters").alias("rater_b"))
+    return pairs.groupBy(*by, "rater_a", "rater_b").agg(F.sum("n").alias("n"))
 
 
 def dice_agreement(labels: DataFrame) -> DataFrame:
     """2|A and B| / (|A| + |B|) for each pair of raters, per level, with and without the general impression.
 
-    Marks of one review and aspect meet once per rater, so the self join emits at most one row per
-    pair of raters and mark.
+    Each mark is reduced to the set of its raters and equal sets are counted, so what is paired up
+    is the handful of rater combinations, not the marks.
     """
-    marks = _marks(labels)
-    size = marks.groupBy("level", "with_overall", "rater").agg(F.count("*").alias("n"))
-    a = marks.select("level", "with_overall", "recommendation_id", "mark", F.col("rater").alias("rater_a"))
-    b = marks.select("level", "with_overall", "recommendation_id", "mark", F.col("rater").alias("rater_b"))
-    both = a.join(b, ["level", "with_overall", "recommendation_id", "mark"]).filter("rater_a < rater_b").groupBy(
-        "level", "with_overall", "rater_a", "rater_b").agg(F.count("*").alias("common"))
-    na = size.select("level", "with_overall", F.col("rater").alias("rater_a"), F.col("n").alias("n_a"))
-    nb = size.select("level", "with_overall", F.col("rater").alias("rater_b"), F.col("n").alias("n_b"))
-    pairs = na.join(nb, ["level", "with_overall"]).filter("rater_a < rater_b")
-    return pairs.join(both, ["level", "with_overall", "rater_a", "rater_b"], "left").select(
-        "level", "with_overall", "rater_a", "rater_b", F.coalesce("common", F.lit(0).cast("bigint")).alias("common"), "n_a", "n_b",
-        half_up(2.0 * F.coalesce("common", F.lit(0)) / (F.col("n_a") + F.col("n_b")), 6).alias("dice"))
+    specific = F.when(F.col("aspect_id") != OVERALL, F.col("rater"))
+
+    def patterns(level: str, mark: str) -> DataFrame:
+        sets = labels.groupBy("recommendation_id", mark).agg(
+            F.sort_array(F.collect_set("rater")).alias("all"), F.sort_array(F.collect_set(specific)).alias("specific"))
+        both = F.array(
+            F.struct(F.lit(True).alias("with_overall"), F.col("all").alias("raters")),
+            F.struct(F.lit(False).alias("with_overall"), F.col("specific").alias("raters")))
+        return sets.select(F.inline(both)).groupBy("with_overall", "raters").agg(F.count("*").alias("n")).withColumn("level", F.lit(level))
+
+    by = ["level", "with_overall"]
+    counts = _pair_counts(patterns("aspect", "aspect_id").unionByName(patterns("category", "category_id")), by)
+    own = counts.filter("rater_a = rater_b")
+    na = own.select(*by, "rater_a", F.col("n").alias("n_a"))
+    nb = own.select(*by, "rater_b", F.col("n").alias("n_b"))
+    both = counts.filter("rater_a < rater_b").withColumnRenamed("n", "common")
+    pairs = na.join(nb, by).filter("rater_a < rater_b").join(both, [*by, "rater_a", "rater_b"], "left")
+    common = F.coalesce("common", F.lit(0).cast("bigint"))
+    return pairs.select(
+        *by, "rater_a", "rater_b", common.alias("common"), "n_a", "n_b",
+        half_up(2.0 * common / (F.col("n_a") + F.col("n_b")), 6).alias("dice"))
 
 
 def sign_agreement(labels: DataFrame, with_overall: bool = False) -> DataFrame:
     """Of the aspects both raters gave to a review, how many carry the same sign."""
     rows = labels if with_overall else labels.filter(F.col("aspect_id") != OVERALL)
-    a = rows.select("recommendation_id", "aspect_id", F.col("rater").alias("rater_a"), F.col("sentiment").alias("_sa"))
-    b = rows.select("recommendation_id", "aspect_id", F.col("rater").alias("rater_b"), F.col("sentiment").alias("_sb"))
-    return a.join(b, ["recommendation_id", "aspect_id"]).filter("rater_a < rater_b").groupBy("rater_a", "rater_b").agg(
-        F.count_if(F.col("_sa") == F.col("_sb")).alias("same"), F.count("*").alias("total"))
+    patterns = (
+        rows.groupBy("recommendation_id", "aspect_id")
+        .agg(F.sort_array(F.collect_set(F.struct("rater", "sentiment"))).alias("raters"))
+        .groupBy("raters").agg(F.count("*").alias("n")))
+    pairs = _pair_counts(patterns, []).filter("rater_a.rater < rater_b.rater")
+    same = F.col("rater_a.sentiment") == F.col("rater_b.sentiment")
+    return pairs.groupBy(F.col("rater_a.rater").alias("rater_a"), F.col("rater_b.rater").alias("rater_b")).agg(
+        F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0).cast("bigint")).alias("same"), F.sum("n").alias("total"))
 
 
 def rater_overlap(labels: DataFrame, a: str, b: str) -> DataFrame:

@@ -32,15 +32,15 @@ class Around:
 
     @cached_property
     def labeled(self):
-        return written(self.t.t_labeled, "labeled")
+        return self.t.labeled_table
 
     @cached_property
     def tags(self):
-        return written(marts.review_aspect_tag(marts.review_tags(self.labeled, self.t.t_tag, self.t.t_aspect)), "tags")
+        return written(self.t.t_aspect_tag, "tags")
 
     @cached_property
     def denominators(self):
-        return written(marts.review_labeling_daily(self.t.t_review, self.labeled), "denominators")
+        return written(self.t.t_den, "denominators")
 
     @cached_property
     def category_daily(self):

@@ -391,17 +391,22 @@ class Frames:
 
         return review_labeled(self.t_label, self.t_version, self.t_fact, self.games, self.t_text)
 
+    @cached_property
+    def labeled_table(self) -> DataFrame:
+        """The counted labels as a table: tags and denominators both read it."""
+        return written(self.t_labeled, "labeled")
+
     @cached_property
     def t_den(self) -> DataFrame:
         from tideline.operators.marts import review_labeling_daily
 
-        return review_labeling_daily(self.t_review, self.t_labeled)
+        return review_labeling_daily(self.t_review, self.labeled_table)
 
     @cached_property
     def t_tags(self) -> DataFrame:
         from tideline.operators.marts import review_tags
 
-        return review_tags(self.t_labeled, self.t_tag, self.t_aspect)
+        return review_tags(self.labeled_table, self.t_tag, self.t_aspect)
 
     @cached_property
     def t_aspect_tag(self) -> DataFrame:
