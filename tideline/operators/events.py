@@ -304,8 +304,7 @@ def patch_impact(patches: DataFrame, flat: DataFrame) -> DataFrame:
         "app_id", "second", (F.col("r") + F.col("r0")).alias("upto_reviews"),
         (F.col("p") + F.col("p0")).alias("upto_positives"))
 
-    bounds = flat.groupBy("app_id").agg(
-        F.min(F.unix_seconds("created_at")).alias("data_from"), F.max(F.unix_seconds("created_at")).alias("data_to"))
+    bounds = per_second.groupBy("app_id").agg(F.min("second").alias("data_from"), F.max("second").alias("data_to"))
     impact = _windows_from_edges(edges.join(upto, ["app_id", "second"]), ["patch_sk", "app_id", "published"])
     first = F.col("published") + F.col("day_from") * DAY_SECONDS
     end = F.col("published") + F.col("day_to") * DAY_SECONDS

@@ -121,8 +121,14 @@ def review_labeling_daily(reviews: DataFrame, labeled: DataFrame) -> DataFrame:
 
 
 def fold_sentiment(sign: str = "sentiment") -> Column:
-    """Aggregate: the common sign of a group, ``±`` when signs differ."""
-    return F.when(F.min(sign) == F.max(sign), F.min(sign)).otherwise(F.lit("±"))
+    """Aggregate: the common sign of a group, ``±`` when signs differ.
+
+    Signs are folded as bits, an integer buffer that hash aggregation can hold; the smallest and
+    largest of strings would need sorting.
+    """
+    bit = F.when(F.col(sign) == "+", 1).when(F.col(sign) == "-", 2).when(F.col(sign).isNotNull(), 4)
+    folded = F.bit_or(bit)
+    return F.when(folded == 1, "+").when(folded == 2, "-").otherwise("±")
 
 
 def review_tags(labeled: DataFrame, tags: DataFrame, aspects: DataFrame) -> DataFrame:
