@@ -180,22 +180,26 @@ def _playtime_group(minutes: Column) -> Column:
 def playtime_segments(labeled: DataFrame, aspect_tags: DataFrame, facts: DataFrame, points: DataFrame, config_sk: int) -> DataFrame:
     """Share of labelled reviews critical of the point's ``main`` category, by playtime and side.
 
-    Reviews are counted per day, playtime group and criticised category before they meet the points.
+    Only reviews of days some point asks about are read on; they are counted per day, playtime group
+    and criticised category before they meet the points.
     """
     group = _playtime_group(F.col("playtime_at_review_min"))
+    main = points.select("app_id", F.col("point_day"), "main").filter("main is not null")
+    days = window_days(main.select("app_id", F.col("point_day").alias("day")).distinct())
+    asked = days.select("app_id", "day").distinct()
     reviews = (
         labeled.filter(F.col("llm_config_sk") == config_sk)
+        .join(asked, ["app_id", "day"], "left_semi")
         .join(facts.select("recommendation_id", "playtime_at_review_min"), "recommendation_id")
         .withColumn("playtime", group).filter("playtime is not null")
         .select("app_id", "day", "labeling_sk", "playtime"))
     critical = (
         aspect_tags.filter((F.col("llm_config_sk") == config_sk) & F.col("sentiment").isin("-", "±"))
+        .join(asked, ["app_id", "day"], "left_semi")
         .select("labeling_sk", "category_id").distinct())
     all_days = reviews.groupBy("app_id", "day", "playtime").agg(F.count("*").alias("labeled"))
     critical_days = reviews.join(critical, "labeling_sk").groupBy("app_id", "day", "playtime", "category_id").agg(
         F.count("*").alias("critical"))
-    main = points.select("app_id", F.col("point_day"), "main").filter("main is not null")
-    days = window_days(main.select("app_id", F.col("point_day").alias("day")).distinct())
     groups = F.array(*[F.lit(name) for name, _, _ in PLAYTIME])
     grid = main.withColumn("playtime", F.explode(groups)).withColumn("after", F.explode(F.array(F.lit(False), F.lit(True))))
     n_all = days.join(all_days, ["app_id", "day"]).groupBy(*POINT, "after", "playtime").agg(F.sum("labeled").alias("labeled"))
@@ -223,12 +227,14 @@ def support_reviews(movers: DataFrame, labeled: DataFrame, aspect_tags: DataFram
     moved = movers.filter(F.col("critique_up") == (F.col("side") == "rising")).select(
         *POINT, F.col("rank").alias("block"), F.col("key").alias("category_id"), "critique_up")
     days = moved.withColumn("day", F.explode(F.sequence("point_day", F.date_add("point_day", WINDOW - 1))))
+    # tags meet the few days and categories asked about first; folding covers those alone
     signs = (
         aspect_tags.filter(F.col("llm_config_sk") == config_sk)
-        .groupBy("app_id", "day", "labeling_sk", "category_id").agg(fold_sentiment().alias("sign")))
+        .join(days, ["app_id", "day", "category_id"])
+        .groupBy(*POINT, "block", "critique_up", "labeling_sk", "category_id").agg(fold_sentiment().alias("sign")))
     wanted = F.when(F.col("critique_up"), F.col("sign").isin("-", "±")).otherwise(F.col("sign") == "+")
     rows = (
-        signs.join(days, ["app_id", "day", "category_id"]).filter(wanted)
+        signs.filter(wanted)
         .join(labeled.select("labeling_sk", "recommendation_id"), "labeling_sk")
         .join(facts.select("recommendation_id", "votes_up"), "recommendation_id")
         .withColumn("h", F.md5(F.concat(F.col("recommendation_id").cast("string"), F.col("point_day").cast("string"))))

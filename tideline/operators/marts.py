@@ -65,15 +65,19 @@ def union_marts(*marts: DataFrame) -> DataFrame:
 
 
 def reviews_with_text(facts: DataFrame, games: DataFrame, texts: DataFrame, min_length: int) -> DataFrame:
-    """(app_id, day, recommendation_id, is_content) of the reviews of known products."""
+    """(app_id, day, recommendation_id, is_content) of the reviews of known products.
+
+    The flag is computed where the texts are read, so no text body is shuffled.
+    """
     known = games.filter("app_id > 0").select("game_sk", "app_id")
+    flags = texts.select("recommendation_id", is_content(F.col("review_body"), min_length).alias("_flag"))
     return (
         facts.select("recommendation_id", "game_sk", "created_at")
         .join(known, "game_sk")
-        .join(texts.select("recommendation_id", "review_body"), "recommendation_id", "left")
+        .join(flags, "recommendation_id", "left")
         .select(
             "app_id", utc_day(F.col("created_at")).alias("day"), "recommendation_id",
-            is_content(F.col("review_body"), min_length).alias("is_content"),
+            F.coalesce("_flag", F.lit(min_length <= 0)).alias("is_content"),
         )
     )
 
@@ -86,15 +90,19 @@ def review_labeled(
     labels: DataFrame, versions: DataFrame, facts: DataFrame, games: DataFrame, texts: DataFrame,
     min_length: int = MIN_CONTENT_LENGTH,
 ) -> DataFrame:
-    """Labels that count: of the review's present text, not failed, long enough; one row per review and config."""
+    """Labels that count: of the review's present text, not failed, long enough; one row per review and config.
+
+    Texts are reduced to hash and flag before any join; their bodies stay where they are read.
+    """
+    body = F.col("review_body")
+    present = texts.filter(is_content(body, min_length)).select("recommendation_id", text_hash(body).alias("text_hash"))
     current = versions.filter("is_current").select("review_text_sk", "recommendation_id", "text_hash")
     known = games.filter("app_id > 0").select("game_sk", "app_id")
     return (
         labels.filter(F.col("status").isin(*COUNTED_STATUS))
         .select("labeling_sk", "review_text_sk", "llm_config_sk")
         .join(current, "review_text_sk")
-        .join(texts.select("recommendation_id", "review_body"), "recommendation_id")
-        .filter((F.col("text_hash") == text_hash(F.col("review_body"))) & is_content(F.col("review_body"), min_length))
+        .join(present, ["recommendation_id", "text_hash"])
         .join(facts.select("recommendation_id", "game_sk", "created_at"), "recommendation_id")
         .join(known, "game_sk")
         .select("app_id", utc_day(F.col("created_at")).alias("day"), "recommendation_id", "llm_config_sk", "labeling_sk")

@@ -79,7 +79,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "landing")
     pages = review_pages(t)
-    raw.append_raw(pages.filter("raw_id % 2 = 0"), path)
+    raw.append_raw(pages.filter(F.col("fetched_at") < F.lit("2024-01-16").cast("timestamp")), path)
     stored = raw.read_raw(t.spark, path, "reviews")
     known = raw.explode_reviews(stored).select("recommendation_id")
     fetched = raw.explode_reviews(pages).select("raw_id", "recommendation_id")
@@ -191,7 +191,7 @@ def _(t):
 
 
 def picked_games(t):
-    return raw.extract_game(raw.pick_card(card_pages(t)).filter("card.success"))
+    return raw.extract_game(raw.pick_card(raw.newest_cards(card_pages(t))).filter("card.success"))
 
 
 GAME_FIELDS = f"""SELECT CAST(p_partkey AS INT) AS app_id, p_name AS game_name, CASE WHEN p_size % 4 = 0 THEN 'dlc' ELSE 'game' END AS app_type,
@@ -420,12 +420,13 @@ def _(t):
 
 
 @query("patch_merge", "p_patch", sql="""
-    SELECT gid, game_sk, CASE WHEN patch_sk % 3 = 2 THEN title ELSE upper(title) END AS title, CASE WHEN patch_sk % 3 = 2 THEN body_length ELSE body_length + 1 END AS body_length
-    FROM p_patch""")
+    SELECT gid, game_sk, CASE WHEN published_at < TIMESTAMP '1997-01-01' THEN title ELSE upper(title) END AS title,
+           CASE WHEN published_at < TIMESTAMP '1997-01-01' THEN body_length ELSE body_length + 1 END AS body_length FROM p_patch""")
 def _(t):
     columns = ["gid", "game_sk", "title", "body_length"]
-    stored = t.patches.filter("patch_sk % 3 <> 0").select(*columns)
-    batch = t.patches.filter("patch_sk % 3 <> 2").select(
+    # news up to 2000 are stored; those since 1997 arrive, some of them again
+    stored = t.patches.filter("published_at < TIMESTAMP'2000-01-01'").select(*columns)
+    batch = t.patches.filter("published_at >= TIMESTAMP'1997-01-01'").select(
         "gid", "game_sk", F.upper("title").alias("title"), (F.col("body_length") + 1).cast("int").alias("body_length"))
     return facts.merge_patches(stored, batch)
 
@@ -483,11 +484,11 @@ def _(t):
 
 
 def _stored_games(t):
-    """Stored versions of four fifths of the picked cards; every fifth differs in a tracked attribute."""
-    return picked_games(t).filter("app_id % 5 <> 0").select(
+    """Versions stored earlier: low scores are not known yet, high ones differ in a tracked attribute."""
+    return picked_games(t).filter("metacritic_score > 10").select(
         F.col("app_id").alias("game_sk"), "app_id", F.concat(F.lit("old "), "game_name").alias("game_name"),
         F.lit("old link").alias("metacritic_url"), "app_type", "is_free",
-        F.expr("CASE WHEN app_id % 5 = 1 THEN required_age + 1 ELSE required_age END").alias("required_age"), "metacritic_score",
+        F.expr("CASE WHEN metacritic_score > 40 THEN required_age + 1 ELSE required_age END").alias("required_age"), "metacritic_score",
         "is_coming_soon", "release_date_raw", "release_date_parsed", F.lit("2000-01-01").cast("timestamp").alias("valid_from"),
         F.lit(games.OPEN_END).cast("timestamp").alias("valid_to"), F.lit(True).alias("is_current"), F.lit("complete").alias("collection_status"))
 
@@ -501,10 +502,10 @@ NOW, OPEN, START = "2025-01-01 00:00:00", games.OPEN_END, "2000-01-01 00:00:00"
 
 
 @query("scd2_apply", sql=f"""SELECT * FROM (WITH g AS ({GAME_FIELDS})
-    {_version_sql("app_id % 5 > 1", "game_name", "metacritic_url", "required_age", START, OPEN, "true", "'complete'")}
-    UNION ALL {_version_sql("app_id % 5 = 1", "concat('old ', game_name)", "'old link'", "required_age + 1", START, NOW, "false", "'complete'")}
-    UNION ALL {_version_sql("app_id % 5 = 1", "game_name", "metacritic_url", "required_age", NOW, OPEN, "true", "NULL")}
-    UNION ALL {_version_sql("app_id % 5 = 0", "game_name", "metacritic_url", "required_age", START, OPEN, "true", "NULL")})""")
+    {_version_sql("metacritic_score BETWEEN 11 AND 40", "game_name", "metacritic_url", "required_age", START, OPEN, "true", "'complete'")}
+    UNION ALL {_version_sql("metacritic_score > 40", "concat('old ', game_name)", "'old link'", "required_age + 1", START, NOW, "false", "'complete'")}
+    UNION ALL {_version_sql("metacritic_score > 40", "game_name", "metacritic_url", "required_age", NOW, OPEN, "true", "NULL")}
+    UNION ALL {_version_sql("metacritic_score <= 10", "game_name", "metacritic_url", "required_age", START, OPEN, "true", "NULL")})""")
 def _(t):
     out = games.scd2_apply(_stored_games(t), picked_games(t), NOW)
     stamp = "yyyy-MM-dd HH:mm:ss"
@@ -514,25 +515,25 @@ def _(t):
 
 
 @query("bridge_replace", sql="""
-    SELECT l_orderkey AS game_sk, CASE WHEN l_orderkey % 4 = 0 THEN concat('new', CAST(l_partkey % 7 AS VARCHAR)) ELSE CAST(l_partkey AS VARCHAR) END AS link
-    FROM lineitem GROUP BY 1, 2""")
+    SELECT l_orderkey AS game_sk, concat('new', CAST(l_partkey % 7 AS VARCHAR)) AS link FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2
+    UNION ALL SELECT l_orderkey, CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1, 2""")
 def _(t):
     line = t.table("lineitem")
     old = line.select(F.col("l_orderkey").alias("game_sk"), F.col("l_partkey").cast("string").alias("link")).distinct()
-    new = line.filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("game_sk"), F.concat(F.lit("new"), (F.col("l_partkey") % 7).cast("string")).alias("link"))
+    new = line.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("game_sk"), F.concat(F.lit("new"), (F.col("l_partkey") % 7).cast("string")).alias("link"))
     return games.bridge_replace(old, new)
 
 
 @query("collection_status", sql="""
-    SELECT CAST(c_custkey AS INT) AS app_id, v AS version, CASE WHEN v = 2 AND c_custkey % 3 = 0 AND c_custkey % 6 = 0 THEN 'complete'
-        WHEN v = 2 AND c_custkey % 3 = 0 THEN 'partial' WHEN v = 1 THEN 'complete' END AS collection_status
+    SELECT CAST(c_custkey AS INT) AS app_id, v AS version, CASE WHEN v = 2 AND c_acctbal > 0 AND c_mktsegment = 'BUILDING' THEN 'complete'
+        WHEN v = 2 AND c_acctbal > 0 THEN 'partial' WHEN v = 1 THEN 'complete' END AS collection_status
     FROM customer, (VALUES (1), (2)) AS x(v)""")
 def _(t):
     base = t.table("customer").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
     dim = base.select(F.col("c_custkey").cast("int").alias("app_id"), "version", (F.col("version") == 2).alias("is_current"),
                       F.expr("CASE version WHEN 1 THEN 'complete' END").alias("collection_status"))
-    runs = t.table("customer").filter("c_custkey % 3 = 0").select(
-        F.col("c_custkey").cast("int").alias("app_id"), F.lit(True).alias("card_loaded"), (F.col("c_custkey") % 6 == 0).alias("all_steps"))
+    runs = t.table("customer").filter("c_acctbal > 0").select(
+        F.col("c_custkey").cast("int").alias("app_id"), F.lit(True).alias("card_loaded"), (F.col("c_mktsegment") == "BUILDING").alias("all_steps"))
     return games.mark_status(dim, runs).select("app_id", "version", "collection_status")
 
 

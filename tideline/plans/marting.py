@@ -264,19 +264,19 @@ def _(t):
 
 
 @query("label_upsert", "t_label", sql="""
-    SELECT review_text_sk, llm_config_sk, CASE WHEN status = 'failed' OR review_text_sk % 4 = 0 THEN 'labeled' ELSE status END AS status,
-           CASE WHEN status = 'failed' OR review_text_sk % 4 = 0 THEN 'run-new' ELSE run_id END AS run_id FROM t_label""")
+    SELECT review_text_sk, llm_config_sk, CASE WHEN status = 'failed' OR run_id = 'run-0' THEN 'labeled' ELSE status END AS status,
+           CASE WHEN status = 'failed' OR run_id = 'run-0' THEN 'run-new' ELSE run_id END AS run_id FROM t_label""")
 def _(t):
     columns = ["review_text_sk", "llm_config_sk", "status", "run_id"]
-    # every text is labelled again; stored labels exist for three of four
-    stored = t.t_label.filter("review_text_sk % 4 <> 0").select(*columns)
+    # every text is labelled again; the labels of one run were never stored
+    stored = t.t_label.filter("run_id <> 'run-0'").select(*columns)
     incoming = t.t_label.withColumn("status", F.lit("labeled")).withColumn("run_id", F.lit("run-new"))
     return labeling.upsert_labels(stored, incoming)
 
 
-def taxonomy(t):
+def taxonomy(t, parts=None):
     k = F.col("p_partkey").cast("string")
-    return t.table("part").select(
+    return (t.table("part") if parts is None else parts).select(
         F.concat(F.lit("v"), (F.col("p_partkey") % 3).cast("string")).alias("codebook_version"), F.concat(F.lit("a"), k).alias("aspect_id"),
         F.col("p_name").alias("aspect_name"), F.col("p_type").alias("aspect_definition"), F.col("p_brand").alias("category_id"),
         F.col("p_brand").alias("category_name"), F.col("p_brand").alias("category_definition"))
@@ -284,25 +284,25 @@ def taxonomy(t):
 
 @query("aspect_sync", sql="""
     SELECT concat('v', CAST(p_partkey % 3 AS VARCHAR)) AS codebook_version, concat('a', CAST(p_partkey AS VARCHAR)) AS aspect_id, p_name AS aspect_name,
-           CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE CAST(concat('0x', substr(md5(concat('v', CAST(p_partkey % 3 AS VARCHAR), '|a', CAST(p_partkey AS VARCHAR))), 1, 15)) AS BIGINT) END AS aspect_sk
+           CASE WHEN p_size > 25 THEN p_partkey ELSE CAST(concat('0x', substr(md5(concat('v', CAST(p_partkey % 3 AS VARCHAR), '|a', CAST(p_partkey AS VARCHAR))), 1, 15)) AS BIGINT) END AS aspect_sk
     FROM part""")
 def _(t):
     rows = taxonomy(t)
-    number = F.substring("aspect_id", 2, 20).cast("bigint")
-    stored = rows.filter(number % 2 == 0).withColumn("aspect_sk", number)
+    stored = taxonomy(t, t.table("part").filter("p_size > 25")).withColumn("aspect_sk", F.substring("aspect_id", 2, 20).cast("bigint"))
     return labeling.sync_aspects(stored, rows).select("codebook_version", "aspect_id", "aspect_name", "aspect_sk")
 
 
 @query("config_upsert", sql="""
     SELECT model, prompt_hash, params, min(stored) AS stored FROM (
-        SELECT c_mktsegment AS model, sha256(c_name) AS prompt_hash, CAST(c_nationkey AS VARCHAR) AS params, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS stored FROM customer) GROUP BY 1, 2, 3""")
+        SELECT c_mktsegment AS model, sha256(c_name) AS prompt_hash, CAST(c_nationkey AS VARCHAR) AS params, CASE WHEN c_acctbal > 0 THEN 1 ELSE 2 END AS stored FROM customer) GROUP BY 1, 2, 3""")
 def _(t):
     base = t.table("customer").select(
-        F.col("c_custkey").alias("llm_config_sk"), F.col("c_mktsegment").alias("model"), F.lit("closed").alias("prompt_name"),
+        "c_acctbal", F.col("c_custkey").alias("llm_config_sk"), F.col("c_mktsegment").alias("model"), F.lit("closed").alias("prompt_name"),
         F.lit("v1").alias("codebook_version"), F.col("c_name").alias("system_prompt"), F.sha2("c_name", 256).alias("prompt_hash"),
         F.col("c_nationkey").cast("string").alias("params"))
-    stored = base.filter("llm_config_sk % 2 = 0")
-    wanted = base.drop("llm_config_sk", "prompt_hash")
+    stored = base.filter("c_acctbal > 0").drop("c_acctbal")
+    wanted = base.drop("c_acctbal", "llm_config_sk", "prompt_hash")
     out = labeling.ensure_config(stored, wanted)
-    known = F.when((F.col("llm_config_sk") % 2 == 0) & (F.col("llm_config_sk") < 100000000), 1).otherwise(2)
+    # stored keys are customer numbers, new ones come from a hash and are far larger
+    known = F.when(F.col("llm_config_sk") < 10**12, 1).otherwise(2)
     return out.select("model", "prompt_hash", "params", known.cast("int").alias("stored"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.dates import parse_release_date
@@ -116,6 +116,13 @@ def exclude_feeds(items: DataFrame) -> DataFrame:
     return items.filter(~F.col("feedname").isin(*EXCLUDED_FEEDS) & (F.col("app_id") != PLATFORM_APP_ID))
 
 
+def newest_cards(raw: DataFrame) -> DataFrame:
+    """The newest non-empty card page of each product; loading reads only that one."""
+    order = Window.partitionBy("app_id").orderBy(F.desc("fetched_at"), F.desc("raw_id"))
+    filled = raw.filter(F.col("payload").isNotNull())
+    return filled.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+
+
 def pick_card(raw: DataFrame) -> DataFrame:
     """The card of the requested product in a ``key -> card`` document.
 
@@ -188,4 +195,4 @@ def extract_links(cards: DataFrame) -> DataFrame:
         F.coalesce(coded(d["genres"], "genre"), empty),
         F.coalesce(coded(d["categories"], "category"), empty),
     )
-    return cards.select("app_id", F.inline(links)).dropDuplicates(["app_id", "link_type", "link_id", "link_name"])
+    return cards.select("app_id", F.inline(F.array_distinct(links)))
