@@ -10,6 +10,9 @@ from pathlib import Path
 
 import duckdb
 
+# joins without an equality, and Python called row by row
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+
 
 def _cell(v):
     if isinstance(v, bool) or v is None or isinstance(v, str):
@@ -46,6 +49,10 @@ def spark_rows(df):
 def check(spark, name: str, job, sql: str | None, folder: str) -> tuple[bool, str]:
     t = time.time()
     df = job(spark, folder)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    for word in UNWANTED:
+        if word in text:
+            return False, f"{name}: {word} in its plan"
     cols, rows = spark_rows(df)
     took = time.time() - t
     if sql is None:

@@ -309,6 +309,7 @@ def evidence_bundle(
     reviews = _rows(
         numbered.join(strong.select(*POINT), POINT, "left_semi").dropDuplicates([*POINT, "number"]), "reviews", [F.col("number")],
         ["number", "recommendation_id", "votes_up", "text"])
+    # texts stay out of the block lists; those only need numbers
     blocks = _rows(numbered.join(strong.select(*POINT), POINT, "left_semi").select(*POINT, "block", "position", "number"),
                    "review_blocks", [F.col("block"), F.col("position")], ["block", "number"])
     line = F.concat_ws("|", "news_day", "title", "event_type", F.col("weight").cast("string"), F.col("major").cast("string"))

@@ -259,15 +259,20 @@ def dice_agreement(labels: DataFrame) -> DataFrame:
 
     by = ["level", "with_overall"]
     counts = _pair_counts(patterns("aspect", "aspect_id").unionByName(patterns("category", "category_id")), by)
-    own = counts.filter("rater_a = rater_b")
-    na = own.select(*by, "rater_a", F.col("n").alias("n_a"))
-    nb = own.select(*by, "rater_b", F.col("n").alias("n_b"))
-    both = counts.filter("rater_a < rater_b").withColumnRenamed("n", "common")
-    pairs = na.join(nb, by).filter("rater_a < rater_b").join(both, [*by, "rater_a", "rater_b"], "left")
-    common = F.coalesce("common", F.lit(0).cast("bigint"))
-    return pairs.select(
-        *by, "rater_a", "rater_b", common.alias("common"), "n_a", "n_b",
-        half_up(2.0 * common / (F.col("n_a") + F.col("n_b")), 6).alias("dice"))
+    # one row per level and scope from here on: the counts of every pair of the few raters
+    pair = F.struct("rater_a", "rater_b", "n")
+    own = F.filter("pairs", lambda p: p["rater_a"] == p["rater_b"])
+    a, b = F.col("a"), F.col("b")
+    shared = F.get(F.filter("pairs", lambda p: (p["rater_a"] == a["rater_a"]) & (p["rater_b"] == b["rater_a"])), F.lit(0))["n"]
+    common = F.coalesce("shared", F.lit(0).cast("bigint"))
+    return (
+        counts.groupBy(*by).agg(F.collect_list(pair).alias("pairs"))
+        .withColumn("a", F.explode(own)).withColumn("b", F.explode(own))
+        .filter(a["rater_a"] < b["rater_a"])
+        .withColumn("shared", shared)
+        .select(*by, a["rater_a"].alias("rater_a"), b["rater_a"].alias("rater_b"), common.alias("common"),
+                a["n"].alias("n_a"), b["n"].alias("n_b"), half_up(2.0 * common / (a["n"] + b["n"]), 6).alias("dice"))
+    )
 
 
 def sign_agreement(labels: DataFrame, with_overall: bool = False) -> DataFrame:

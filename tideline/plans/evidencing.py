@@ -7,7 +7,7 @@ from functools import cached_property, lru_cache
 from pyspark.sql import functions as F
 
 from tideline.operators import events as ev
-from tideline.operators import evidence, marts, verdicts
+from tideline.operators import evidence, verdicts
 from tideline.plans.catalog import query
 from tideline.plans.frames import with_ctes
 from tideline.session import written
@@ -36,19 +36,19 @@ class Around:
 
     @cached_property
     def tags(self):
-        return written(self.t.t_aspect_tag, "tags")
+        return self.t.tag_table
 
     @cached_property
     def denominators(self):
-        return written(self.t.t_den, "denominators")
+        return self.t.den_table
 
     @cached_property
     def category_daily(self):
-        return written(marts.review_category_daily(self.tags, self.denominators), "categories")
+        return written(self.t.t_category_daily, "categories")
 
     @cached_property
     def aspect_daily(self):
-        return written(marts.review_aspect_daily(self.tags, self.denominators), "aspects")
+        return written(self.t.t_aspect_daily, "aspects")
 
     def shares(self, mart, key, by):
         return evidence.weighted_topic_share(self.denominators, evidence.critique_rows(mart, key), self.points, CONFIG, by)

@@ -414,17 +414,26 @@ class Frames:
 
         return review_aspect_tag(self.t_tags)
 
+    @cached_property
+    def den_table(self) -> DataFrame:
+        return written(self.t_den, "denominators")
+
+    @cached_property
+    def tag_table(self) -> DataFrame:
+        """Folded tags as a table: both marts and the evidence read them."""
+        return written(self.t_aspect_tag, "tags")
+
     @cached_property
     def t_aspect_daily(self) -> DataFrame:
         from tideline.operators.marts import review_aspect_daily
 
-        return review_aspect_daily(self.t_aspect_tag, self.t_den)
+        return review_aspect_daily(self.tag_table, self.den_table)
 
     @cached_property
     def t_category_daily(self) -> DataFrame:
         from tideline.operators.marts import review_category_daily
 
-        return review_category_daily(self.t_aspect_tag, self.t_den)
+        return review_category_daily(self.tag_table, self.den_table)
 
     @cached_property
     def dense(self) -> DataFrame:

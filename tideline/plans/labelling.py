@@ -8,6 +8,7 @@ from tideline.functions.numbers import half_up
 from tideline.operators import labeling, planning
 from tideline.plans.catalog import query
 from tideline.plans.frames import with_ctes
+from tideline.session import written
 
 CONFIG = 1
 LIMIT, SPIKE, LEAST = 2, 4, 3
@@ -45,13 +46,15 @@ def planned_sql(final: str) -> str:
         WITH cand AS ({CANDIDATES}), content AS MATERIALIZED ({CONTENT}), spikes AS ({SPIKES}), ranked AS ({RANKED}), plan AS ({PLAN}) {final})""")
 
 
-def limits(t):
-    content = candidates(t).filter("length >= 20").groupBy("app_id", "day").agg(F.count("*").alias("content"))
+def limits(rows):
+    content = rows.filter("length >= 20").groupBy("app_id", "day").agg(F.count("*").alias("content"))
     return planning.spike_days(content, LIMIT, 2.0, LEAST, SPIKE)
 
 
 def plan(t):
-    return planning.label_plan(candidates(t), limits(t), day_limit=LIMIT, most=SPIKE)
+    """The work list. Candidates are written once: the limits and the ranks both read them."""
+    rows = written(candidates(t), "candidates")
+    return planning.label_plan(rows, limits(rows), day_limit=LIMIT, most=SPIKE)
 
 
 @query("candidate_reviews", *NEEDED, sql=f"""SELECT * FROM ({CANDIDATES}) WHERE day >= DATE '1996-01-01' AND day < DATE '2000-01-01'""")
@@ -61,7 +64,7 @@ def _(t):
 
 @query("spike_days", sql=planned_sql("SELECT * FROM spikes"))
 def _(t):
-    return limits(t)
+    return limits(candidates(t))
 
 
 @query("label_plan", sql=planned_sql("SELECT * FROM plan"))
@@ -71,7 +74,7 @@ def _(t):
 
 @query("label_order", sql=planned_sql("""SELECT app_id, recommendation_id, row_number() OVER (PARTITION BY app_id ORDER BY day, day_rank, recommendation_id) AS position FROM plan"""))
 def _(t):
-    return planning.label_order(plan(t)).select("app_id", "recommendation_id", "position")
+    return planning.label_order(written(plan(t), "plan")).select("app_id", "recommendation_id", "position")
 
 
 @query("adaptive_gain", sql=planned_sql(f"""
@@ -79,7 +82,8 @@ def _(t):
            (SELECT count(*) FROM ranked r WHERE r.app_id = s.app_id AND r.day = s.day AND {OPEN} AND r.day_rank > {LIMIT} AND r.day_rank <= s.day_limit) AS added
     FROM spikes s WHERE spike"""))
 def _(t):
-    return planning.adaptive_gain(candidates(t), limits(t), day_limit=LIMIT, most=SPIKE)
+    rows = written(candidates(t), "candidates")
+    return planning.adaptive_gain(rows, limits(rows), day_limit=LIMIT, most=SPIKE)
 
 
 @query("run_cap", sql=planned_sql("SELECT app_id, recommendation_id, day, day_rank FROM plan ORDER BY day DESC, day_rank, recommendation_id LIMIT 500"))
@@ -161,7 +165,7 @@ ALLOWED = [f"a{i}" for i in range(7)]
 
 @query("label_infer", sql=f"{LENGTH_TAGS} ({TODO})")
 def _(t):
-    rows = todo(t)
+    rows = written(todo(t), "todo")
     done = labeling.label_run(rows, planning.label_batches(rows), length_labeler(), ALLOWED)
     first = F.get("aspects", F.lit(0))
     return done.select("app_id", "batch", "n", "status", first["id"].alias("aspect"), first["sentiment"].alias("sentiment"))
