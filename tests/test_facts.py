@@ -216,3 +216,27 @@ def test_streams_of_pages_in_several_batches(spark, tmp_path):
     rows = {r.recommendation_id: r for r in stream.current_reviews(stream.read_log(spark, log)).collect()}
     assert {k: (r.votes_up, r.review_body, r.game_sk) for k, r in rows.items()} == {1: (9, "r3", 5), 2: (5, "r1", 5), 3: (1, "r2", 5)}
     assert rows[1].updated_at is None and rows[1].author_steam_id is None
+
+
+def test_pages_to_facts_from_end_to_end(spark):
+    import json
+
+    dim = spark.createDataFrame([(5, 1, dt.datetime(2020, 1, 1), dt.datetime(2099, 1, 1))], "game_sk int, app_id int, valid_from timestamp, valid_to timestamp")
+    languages = spark.createDataFrame([(3, "english")], "language_sk int, language_code string")
+    reviews = [{"recommendationid": "1", "language": "english", "review": "a", "timestamp_created": 1700000000, "voted_up": True, "author": {"steamid": "9"}},
+               {"recommendationid": "2", "language": "", "review": "b", "timestamp_created": 1500000000, "voted_up": False, "author": {}}]
+    pages = spark.createDataFrame([(1, 1, "*", T0, json.dumps({"reviews": reviews})), (2, 1, "*", T0 + dt.timedelta(1), json.dumps({"reviews": [{**reviews[0], "votes_up": 4}]}))],
+                                  raw.RAW_SCHEMAS["reviews"])
+    rows = facts.review_facts(raw.explode_reviews(pages), dim, languages).orderBy("recommendation_id").collect()
+    assert [(r.game_sk, r.language_sk, r.date_sk, r.time_sk, r.votes_up, r.author_steam_id) for r in rows] == [(5, 3, 20231114, 22, 4, 9), (-1, -1, 20170714, 2, 0, None)]
+    news = [{"gid": "g1", "title": "Patch 1.2 notes", "url": "u", "feedname": "community", "feed_type": 1, "contents": "abcd", "date": 1700000000},
+            {"gid": "g2", "title": "Patch 1.2 notes", "url": "u", "feedname": "site", "feed_type": 0, "contents": "", "date": 1700000000},
+            {"gid": "g3", "title": "x", "url": "u", "feedname": "SteamDB", "feed_type": 0, "contents": "", "date": 1700000000}]
+    news_pages = spark.createDataFrame([(1, 1, T0, json.dumps({"appnews": {"newsitems": news}}))], raw.RAW_SCHEMAS["news"])
+    found = facts.patch_facts(raw.exclude_feeds(raw.explode_news(news_pages)), dim).orderBy("gid").collect()
+    assert [(r.gid, r.event_type, r.version, r.is_patch, r.body_length, r.game_sk) for r in found] == [("g1", "patch", "1.2", True, 4, 5), ("g2", "press", None, False, 0, 5)]
+
+
+def test_empty_card_pages_are_passed_over(spark):
+    pages = spark.createDataFrame([(1, 1, T0, 200, "{}"), (2, 1, T0 + dt.timedelta(1), 429, None)], raw.RAW_SCHEMAS["appdetails"])
+    assert [r.raw_id for r in raw.newest_cards(pages).collect()] == [1]

@@ -134,8 +134,7 @@ def platform_events_in_range(platform: DataFrame, daily: DataFrame) -> DataFrame
 
     Years of the product's range meet the event's year in an equi join; the exact days are checked after.
     """
-    bounds = daily.groupBy("app_id").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    years = bounds.withColumn("_year", F.explode(F.sequence(F.year("first_day"), F.year("last_day"))))
+    years = series_bounds(daily).withColumn("_year", F.explode(F.sequence(F.year("first_day"), F.year("last_day"))))
     return (
         years.join(platform.withColumn("_year", F.year("event_date")), "_year")
         .filter(F.col("event_date").between(F.col("first_day"), F.col("last_day")))
@@ -147,38 +146,50 @@ def _around(df: DataFrame, day: str, reach: int = NEAR_DAYS) -> DataFrame:
     return df.withColumn("_near", F.explode(F.sequence(F.date_sub(day, reach), F.date_add(day, reach))))
 
 
-def nearby_events(points: DataFrame, events: DataFrame, reach: int = NEAR_DAYS) -> DataFrame:
-    """Events within ``reach`` days of each point.
+def series_bounds(daily: DataFrame) -> DataFrame:
+    """First and last day of each product's reviews; events outside have nothing to explain."""
+    return daily.groupBy("app_id").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+def _inside(rows: DataFrame, day: str, bounds: DataFrame | None) -> DataFrame:
+    if bounds is None:
+        return rows
+    return rows.join(bounds, "app_id").filter(F.col(day).between(F.col("first_day"), F.col("last_day"))).drop("first_day", "last_day")
+
+
+def nearby_events(points: DataFrame, events: DataFrame, bounds: DataFrame | None = None, reach: int = NEAR_DAYS) -> DataFrame:
+    """Events within ``reach`` days of each point (and inside ``bounds``, if given).
 
     A point is spread over its neighbouring days, so the match is an equi join on (product, day).
     """
     spread = _around(points.select("app_id", F.col("day").alias("point_day"), "score"), "point_day", reach)
     found = events.withColumnRenamed("day", "event_day")
-    return spread.join(
+    near = spread.join(
         found, (spread["app_id"] == found["app_id"]) & (spread["_near"] == found["event_day"])
     ).drop(found["app_id"]).drop("_near")
+    return _inside(near, "event_day", bounds)
 
 
-def nearest_platform_event(points: DataFrame, platform: DataFrame, reach: int = NEAR_DAYS) -> DataFrame:
+def nearest_platform_event(points: DataFrame, platform: DataFrame, bounds: DataFrame | None = None, reach: int = NEAR_DAYS) -> DataFrame:
     """The platform event closest to each point; of equally close ones the earlier, then by title."""
     spread = _around(points.select("app_id", F.col("day").alias("point_day")), "point_day", reach)
-    near = spread.join(platform, spread["_near"] == platform["event_date"])
+    near = _inside(spread.join(platform, spread["_near"] == platform["event_date"]), "event_date", bounds)
     rank = F.struct(F.abs(F.date_diff("event_date", "point_day")), F.col("event_date"), F.col("title"))
     return near.groupBy("app_id", "point_day").agg(
         F.min_by(F.struct("event_date", "event_type", "title"), rank).alias("e")
     ).select("app_id", "point_day", "e.event_date", "e.event_type", "e.title")
 
 
-def explained_points(points: DataFrame, events: DataFrame, platform: DataFrame) -> DataFrame:
+def explained_points(points: DataFrame, events: DataFrame, platform: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Each point with the events beside it, one row per event; a point without any keeps one row.
 
     ``role`` is major, minor or platform. Rows instead of nested lists keep a day crowded with news
     from becoming one oversized record.
     """
-    near = nearby_events(points, events).select(
+    near = nearby_events(points, events, bounds).select(
         "app_id", "point_day", F.when(is_significant(), "major").otherwise("minor").alias("role"),
         "event_day", "event_type", "title", F.col("weight").cast("double").alias("weight"))
-    beside = nearest_platform_event(points, platform).select(
+    beside = nearest_platform_event(points, platform, bounds).select(
         "app_id", "point_day", F.lit("platform").alias("role"), F.col("event_date").alias("event_day"),
         "event_type", "title", F.lit(None).cast("double").alias("weight"))
     heads = points.select("app_id", F.col("day").alias("point_day"), half_up(F.col("score"), 1).alias("score"))
@@ -206,9 +217,9 @@ def main_event(explained: DataFrame) -> DataFrame:
     return heads.select("app_id", "point_day", "score", "minor_events", label.alias("headline"))
 
 
-def point_news(points: DataFrame, events: DataFrame) -> DataFrame:
+def point_news(points: DataFrame, events: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """News of each point: kind, weight, whether major, and the nearest day that title was published."""
-    near = nearby_events(points, events)
+    near = nearby_events(points, events, bounds)
     distance = F.abs(F.date_diff("event_day", "point_day"))
     dated = near.groupBy("app_id", "point_day", "title").agg(
         F.min_by("event_day", F.struct(distance, F.col("event_day"))).alias("news_day"))

@@ -16,7 +16,7 @@ def game_dashboard(
 ) -> DataFrame:
     """Everything one screen shows, as rows of kind day, event, platform or point.
 
-    ``value`` is the share, weight or shift; ``detail`` the kind of event or headline of the point.
+    ``value`` is the share, weight or shift; ``base`` and ``delta`` belong to days; ``detail`` the kind of event or headline of the point.
     """
     daily = written(daily, "daily")
     series = written(sr.sentiment_series(daily, smoothing), "series")
@@ -24,15 +24,16 @@ def game_dashboard(
     none = F.lit(None)
     days = series.select(
         "app_id", F.lit("day").alias("kind"), "day", F.col("pct").alias("value"), F.col("total").cast("bigint").alias("reviews"),
-        none.cast("string").alias("detail"), none.cast("string").alias("title"))
+        "base", "delta", none.cast("string").alias("detail"), none.cast("string").alias("title"))
+    bare = [none.cast("bigint").alias("reviews"), none.cast("double").alias("base"), none.cast("double").alias("delta")]
     shown = ev.chart_events(events, series.select("app_id", "day", "total", "positive"), min_weight).select(
         "app_id", F.lit("event").alias("kind"), "day", F.col("weight").cast("double").alias("value"),
-        none.cast("bigint").alias("reviews"), F.col("event_type").alias("detail"), "title")
+        *bare, F.col("event_type").alias("detail"), "title")
     beside = ev.platform_events_in_range(platform, daily).select(
         "app_id", F.lit("platform").alias("kind"), F.col("event_date").alias("day"), none.cast("double").alias("value"),
-        none.cast("bigint").alias("reviews"), F.col("event_type").alias("detail"), "title")
-    explained = ev.explained_points(points, ev.series_events(events, series.select("app_id", "day", "total", "positive")), platform)
+        *bare, F.col("event_type").alias("detail"), "title")
+    explained = ev.explained_points(points, events, platform, ev.series_bounds(daily))
     heads = ev.main_event(explained).select(
         "app_id", F.lit("point").alias("kind"), F.col("point_day").alias("day"), F.col("score").alias("value"),
-        none.cast("bigint").alias("reviews"), F.col("headline").alias("detail"), none.cast("string").alias("title"))
+        *bare, F.col("headline").alias("detail"), none.cast("string").alias("title"))
     return days.unionByName(shown).unionByName(beside).unionByName(heads)

@@ -87,12 +87,14 @@ CHART = f"""
     WHERE always_show OR coalesce(e.weight, 0) >= """
 NEAR = """
     SELECT p.app_id, p.day AS point_day, p.score, e.day AS event_day, e.event_type, e.title, e.weight
-    FROM d_point p JOIN p_event e ON e.app_id = p.app_id AND abs(date_diff('day', p.day, e.day)) <= 3"""
+    FROM d_point p JOIN p_event e ON e.app_id = p.app_id AND abs(date_diff('day', p.day, e.day)) <= 3
+    JOIN d_bounds b ON b.app_id = p.app_id AND e.day BETWEEN b.lo AND b.hi"""
 NEAREST = """
     SELECT app_id, point_day, event_date, event_type, title FROM (
         SELECT p.app_id, p.day AS point_day, e.event_date, e.event_type, e.title,
                row_number() OVER (PARTITION BY p.app_id, p.day ORDER BY abs(date_diff('day', p.day, e.event_date)), e.event_date, e.title) AS k
-        FROM d_point p JOIN p_platform e ON abs(date_diff('day', p.day, e.event_date)) <= 3) WHERE k = 1"""
+        FROM d_point p JOIN p_platform e ON abs(date_diff('day', p.day, e.event_date)) <= 3
+        JOIN d_bounds b ON b.app_id = p.app_id AND e.event_date BETWEEN b.lo AND b.hi) WHERE k = 1"""
 EXPLAINED = f"""
     SELECT h.app_id, h.point_day, h.score, x.role, x.event_day, x.event_type, x.title, x.weight
     FROM (SELECT app_id, day AS point_day, floor(score * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS score FROM d_point) h
@@ -164,30 +166,30 @@ def _(t):
 
 @query("event_interval_join", "d_point", "p_event", sql=NEAR)
 def _(t):
-    return ev.nearby_events(t.points, t.events).select(
+    return ev.nearby_events(t.points, t.events, t.bounds).select(
         "app_id", "point_day", "score", "event_day", "event_type", "title", F.col("weight").cast("double").alias("weight"))
 
 
 @query("nearest_platform_event", "d_point", "p_platform", sql=NEAREST)
 def _(t):
-    return ev.nearest_platform_event(t.points, t.platform)
+    return ev.nearest_platform_event(t.points, t.platform, t.bounds)
 
 
 @query("explained_change_points", "d_point", "p_event", "p_platform", sql=EXPLAINED)
 def _(t):
-    return ev.explained_points(t.points, t.events, t.platform)
+    return ev.explained_points(t.points, t.events, t.platform, t.bounds)
 
 
 @query("main_event", "d_point", "p_event", "p_platform", sql=HEADLINE)
 def _(t):
-    return ev.main_event(ev.explained_points(t.points, t.events, t.platform))
+    return ev.main_event(ev.explained_points(t.points, t.events, t.platform, t.bounds))
 
 
 @query("period_event_summary", "d_point", "p_event", "p_platform",
        sql=f"""SELECT app_id, point_day, CASE WHEN score < 0 THEN 'down' ELSE 'up' END AS direction, abs(score) AS size_pp, headline
                FROM ({HEADLINE}) WHERE point_day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""")
 def _(t):
-    return ev.period_summary(ev.explained_points(t.points, t.events, t.platform), "1996-01-01", "1999-12-31")
+    return ev.period_summary(ev.explained_points(t.points, t.events, t.platform, t.bounds), "1996-01-01", "1999-12-31")
 
 
 @query("point_news", "d_point", "p_event",
@@ -196,7 +198,7 @@ def _(t):
                    SELECT app_id, point_day, title, arg_min(event_day, struct_pack(a := abs(date_diff('day', point_day, event_day)), b := event_day)) AS news_day
                    FROM ({NEAR}) GROUP BY 1, 2, 3) d USING (app_id, point_day, title)""")
 def _(t):
-    return ev.point_news(t.points, t.events)
+    return ev.point_news(t.points, t.events, t.bounds)
 
 
 IMPACT = f"""
@@ -268,10 +270,10 @@ def _(t):
 
 
 @query("game_dashboard", "d_base", "d_point", "p_event", "p_platform",
-       sql=f"""SELECT app_id, 'day' AS kind, day, pct AS value, CAST(total AS BIGINT) AS reviews, NULL::VARCHAR AS detail, NULL::VARCHAR AS title FROM d_base
-               UNION ALL SELECT app_id, 'event', day, weight, NULL, event_type, title FROM ({CHART} 2)
-               UNION ALL SELECT b.app_id, 'platform', e.event_date, NULL, NULL, e.event_type, e.title FROM p_platform e
+       sql=f"""SELECT app_id, 'day' AS kind, day, pct AS value, CAST(total AS BIGINT) AS reviews, base, delta, NULL::VARCHAR AS detail, NULL::VARCHAR AS title FROM d_base
+               UNION ALL SELECT app_id, 'event', day, weight, NULL, NULL, NULL, event_type, title FROM ({CHART} 2)
+               UNION ALL SELECT b.app_id, 'platform', e.event_date, NULL, NULL, NULL, NULL, e.event_type, e.title FROM p_platform e
                    JOIN d_bounds b ON e.event_date BETWEEN b.lo AND b.hi
-               UNION ALL SELECT app_id, 'point', point_day, score, NULL, headline, NULL FROM ({HEADLINE})""")
+               UNION ALL SELECT app_id, 'point', point_day, score, NULL, NULL, NULL, headline, NULL FROM ({HEADLINE})""")
 def _(t):
     return reports.game_dashboard(t.daily, t.events, t.platform, min_weight=2.0)

@@ -93,8 +93,8 @@ class Around:
     def bundle(self):
         t = self.t
         texts = evidence.with_texts(self.numbered, t.t_label, t.t_version)
-        news = ev.point_news(self.points, t.events)
-        platform = ev.nearest_platform_event(self.points, t.platform)
+        news = ev.point_news(self.points, t.events, t.bounds)
+        platform = ev.nearest_platform_event(self.points, t.platform, t.bounds)
         return evidence.evidence_bundle(self.labels, self.movers, self.aspects, self.playtime, texts, news, platform, CONFIG)
 
 
@@ -281,7 +281,8 @@ def _(t):
                WHERE a.app_id = l.app_id AND a.point_day = l.point_day AND a.category_id = l.main) END AS subaspects,
            CASE WHEN l.significant THEN (SELECT string_agg(CAST(recommendation_id AS VARCHAR), ',' ORDER BY number) FROM (SELECT DISTINCT number, recommendation_id, app_id, point_day FROM numbered) n
                WHERE n.app_id = l.app_id AND n.point_day = l.point_day) END AS reviews,
-           (SELECT count(*) FROM p_event e WHERE e.app_id = l.app_id AND abs(date_diff('day', e.day, l.point_day)) <= 3) AS news_count
+           (SELECT count(*) FROM p_event e JOIN d_bounds b ON b.app_id = e.app_id AND e.day BETWEEN b.lo AND b.hi
+            WHERE e.app_id = l.app_id AND abs(date_diff('day', e.day, l.point_day)) <= 3) AS news_count
     FROM lab l""", *TEXTS, "p_event"))
 def _(t):
     b = Around(t).bundle

@@ -435,6 +435,12 @@ class Frames:
 
         return review_category_daily(self.tag_table, self.den_table)
 
+    @cached_property
+    def bounds(self) -> DataFrame:
+        from tideline.operators.events import series_bounds
+
+        return series_bounds(self.daily)
+
     @cached_property
     def dense(self) -> DataFrame:
         from tideline.operators.series import densify

@@ -207,10 +207,10 @@ def _(t):
 
 @query("extract_game_links", sql=f"""
     SELECT CAST(p_partkey AS INT) AS app_id, 'developer' AS link_type, NULL::INT AS link_id, p_brand AS link_name FROM part WHERE {PICKED}
-    UNION ALL SELECT p_partkey, 'publisher', NULL, p_brand FROM part WHERE {PICKED}
-    UNION ALL SELECT p_partkey, 'publisher', NULL, p_type FROM part WHERE {PICKED}
-    UNION ALL SELECT p_partkey, 'genre', p_size, p_type FROM part WHERE {PICKED}
-    UNION ALL SELECT p_partkey, 'category', p_size + 100, p_brand FROM part WHERE {PICKED} AND p_size % 5 <> 0""")
+    UNION ALL SELECT CAST(p_partkey AS INT), 'publisher', NULL, p_brand FROM part WHERE {PICKED}
+    UNION ALL SELECT CAST(p_partkey AS INT), 'publisher', NULL, p_type FROM part WHERE {PICKED}
+    UNION ALL SELECT CAST(p_partkey AS INT), 'genre', p_size, p_type FROM part WHERE {PICKED}
+    UNION ALL SELECT CAST(p_partkey AS INT), 'category', p_size + 100, p_brand FROM part WHERE {PICKED} AND p_size % 5 <> 0""")
 def _(t):
     return raw.extract_links(raw.pick_card(card_pages(t)))
 
