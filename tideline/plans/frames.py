@@ -192,41 +192,32 @@ CTE = {
     "t_review": """SELECT g.app_id, CAST(f.created_at AS DATE) AS day, f.recommendation_id,
         length(trim(coalesce(t.review_body, ''), ' ')) >= 20 AS is_content
         FROM t_fact f JOIN p_game g USING (game_sk) LEFT JOIN t_text t USING (recommendation_id) WHERE g.app_id > 0""",
-    "t_labeled": """SELECT g.app_id, CAST(f.created_at AS DATE) AS day, f.recommendation_id, l.llm_config_sk, l.labeling_sk
-        FROM t_label l JOIN t_version v ON v.review_text_sk = l.review_text_sk AND v.is_current
-        JOIN t_fact f ON f.recommendation_id = v.recommendation_id JOIN p_game g ON g.game_sk = f.game_sk
-        JOIN t_text t ON t.recommendation_id = f.recommendation_id
-        WHERE l.status IN ('labeled', 'no_opinion') AND g.app_id > 0 AND v.text_hash = md5(coalesce(t.review_body, ''))
-          AND length(trim(coalesce(t.review_body, ''), ' ')) >= 20""",
-    "t_den": """SELECT d.app_id, d.day, c.llm_config_sk, d.review_count, d.content_count, coalesce(l.labeled_count, 0) AS labeled_count
-        FROM (SELECT app_id, day, count(*) AS review_count, count(*) FILTER (WHERE is_content) AS content_count
-              FROM t_review GROUP BY ALL) d
-        JOIN (SELECT DISTINCT app_id, llm_config_sk FROM t_labeled) c ON c.app_id = d.app_id
-        LEFT JOIN (SELECT app_id, day, llm_config_sk, count(*) AS labeled_count FROM t_labeled GROUP BY ALL) l
-          ON l.app_id = d.app_id AND l.day = d.day AND l.llm_config_sk = c.llm_config_sk""",
+    "t_labeled": """SELECT app_id, CAST(created_at AS DATE) AS day, recommendation_id, llm_config_sk, labeling_sk
+        FROM (SELECT * FROM t_label WHERE status <> 'failed')
+        JOIN (SELECT review_text_sk, recommendation_id, text_hash FROM t_version WHERE is_current) USING (review_text_sk)
+        JOIN (SELECT recommendation_id, md5(review_body) AS text_hash FROM t_text WHERE length(trim(review_body, ' ')) > 19)
+            USING (recommendation_id, text_hash)
+        JOIN t_fact USING (recommendation_id) JOIN (SELECT game_sk, app_id FROM p_game WHERE app_id > 0) USING (game_sk)""",
+    "t_den": """SELECT r.app_id, r.day, c.llm_config_sk, count(*) AS review_count, count_if(r.is_content) AS content_count,
+               count(l.labeling_sk) AS labeled_count
+        FROM t_review r JOIN (SELECT app_id, llm_config_sk FROM t_labeled GROUP BY ALL) c USING (app_id)
+        LEFT JOIN t_labeled l ON l.recommendation_id = r.recommendation_id AND l.llm_config_sk = c.llm_config_sk GROUP BY ALL""",
     "t_tags": """SELECT r.app_id, r.day, r.llm_config_sk, r.labeling_sk, t.importance, a.category_id, a.aspect_id, t.sentiment, t.note
         FROM t_labeled r JOIN t_tag t USING (labeling_sk) JOIN t_aspect a USING (aspect_sk)""",
     "t_aspect_tag": """SELECT app_id, day, llm_config_sk, labeling_sk, category_id, aspect_id,
-        CASE WHEN min(sentiment) = max(sentiment) THEN min(sentiment) ELSE '±' END AS sentiment
-        FROM (SELECT *, count(*) OVER (PARTITION BY labeling_sk) AS n FROM t_tags)
-        WHERE aspect_id <> 'overall_impression' OR n = 1 GROUP BY 1, 2, 3, 4, 5, 6""",
-    "t_aspect_daily": """SELECT c.*, d.review_count AS day_review_count, d.content_count AS day_content_count,
-        d.labeled_count AS day_labeled_count FROM (
-            SELECT app_id, day, llm_config_sk, category_id, aspect_id, count(*) AS review_count,
-                   count(*) FILTER (WHERE sentiment = '+') AS positive_count,
-                   count(*) FILTER (WHERE sentiment = '-') AS negative_count,
-                   count(*) FILTER (WHERE sentiment = '±') AS mixed_count
-            FROM t_aspect_tag GROUP BY 1, 2, 3, 4, 5) c JOIN t_den d USING (app_id, day, llm_config_sk)""",
-    "t_category_daily": """SELECT c.*, d.review_count AS day_review_count, d.content_count AS day_content_count,
-        d.labeled_count AS day_labeled_count FROM (
-            SELECT app_id, day, llm_config_sk, category_id, count(*) AS review_count,
-                   count(*) FILTER (WHERE sentiment = '+') AS positive_count,
-                   count(*) FILTER (WHERE sentiment = '-') AS negative_count,
-                   count(*) FILTER (WHERE sentiment = '±') AS mixed_count
-            FROM (SELECT app_id, day, llm_config_sk, labeling_sk, category_id,
-                         CASE WHEN min(sentiment) = max(sentiment) THEN min(sentiment) ELSE '±' END AS sentiment
-                  FROM t_aspect_tag GROUP BY 1, 2, 3, 4, 5)
-            GROUP BY 1, 2, 3, 4) c JOIN t_den d USING (app_id, day, llm_config_sk)""",
+               CASE count(DISTINCT sentiment) WHEN 1 THEN any_value(sentiment) ELSE '±' END AS sentiment
+        FROM t_tags WHERE aspect_id <> 'overall_impression' OR labeling_sk IN (SELECT labeling_sk FROM t_tags GROUP BY 1 HAVING count(*) = 1)
+        GROUP BY ALL""",
+    "t_aspect_daily": """SELECT a.app_id, a.day, a.llm_config_sk, a.category_id, a.aspect_id, count(*) AS review_count,
+               count_if(sentiment = '+') AS positive_count, count_if(sentiment = '-') AS negative_count, count_if(sentiment = '±') AS mixed_count,
+               any_value(d.review_count) AS day_review_count, any_value(d.content_count) AS day_content_count, any_value(d.labeled_count) AS day_labeled_count
+        FROM t_aspect_tag a JOIN t_den d USING (app_id, day, llm_config_sk) GROUP BY ALL""",
+    "t_category_daily": """SELECT a.app_id, a.day, a.llm_config_sk, a.category_id, count(*) AS review_count,
+               count_if(signs = ['+']) AS positive_count, count_if(signs = ['-']) AS negative_count,
+               count_if(len(signs) > 1 OR signs = ['±']) AS mixed_count,
+               any_value(d.review_count) AS day_review_count, any_value(d.content_count) AS day_content_count, any_value(d.labeled_count) AS day_labeled_count
+        FROM (SELECT app_id, day, llm_config_sk, labeling_sk, category_id, list(DISTINCT sentiment) AS signs FROM t_aspect_tag GROUP BY ALL) a
+        JOIN t_den d USING (app_id, day, llm_config_sk) GROUP BY ALL""",
     # detector chain
     "d_bounds": "SELECT app_id, min(day) AS lo, max(day) AS hi FROM p_daily GROUP BY 1",
     "d_dense": """SELECT c.app_id, c.day, coalesce(d.review_count, 0) AS total, coalesce(d.positive_count, 0) AS positive

@@ -21,10 +21,11 @@ def candidates(t, **limits):
 
 
 CANDIDATES = """
-    SELECT g.app_id, f.recommendation_id, CAST(f.created_at AS DATE) AS day, CAST(length(trim(coalesce(x.review_body, ''), ' ')) AS INT) AS length, l.status
-    FROM t_fact f JOIN p_game g USING (game_sk) JOIN t_text x USING (recommendation_id)
-    LEFT JOIN t_version v ON v.recommendation_id = f.recommendation_id AND v.text_hash = md5(x.review_body)
-    LEFT JOIN t_label l ON l.review_text_sk = v.review_text_sk AND l.llm_config_sk = 1"""
+    SELECT app_id, recommendation_id, CAST(created_at AS DATE) AS day, length, status
+    FROM (SELECT recommendation_id, md5(review_body) AS text_hash, CAST(length(trim(review_body, ' ')) AS INT) AS length FROM t_text)
+    JOIN t_fact USING (recommendation_id) JOIN (SELECT game_sk, app_id FROM p_game) USING (game_sk)
+    LEFT JOIN (SELECT recommendation_id, text_hash, status FROM t_version JOIN t_label USING (review_text_sk) WHERE llm_config_sk = 1)
+        USING (recommendation_id, text_hash)"""
 NEEDED = ("t_fact", "p_game", "t_text", "t_version", "t_label")
 CONTENT = f"SELECT app_id, day, count(*) AS content FROM ({CANDIDATES}) WHERE length >= 20 GROUP BY 1, 2"
 SPIKES = f"""
