@@ -1,26 +1,21 @@
-"""The shared folder: the cluster's own, a temporary one only for local sessions."""
+"""The shared folder: the cluster's own, else the warehouse."""
 
 from types import SimpleNamespace
 
-import pytest
-
 from tideline import session
 
 
-def fake(master, folder):
-    return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda name, default: folder if name == "spark.checkpoint.dir" else default),
-        sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+def fake(**settings):
+    known = {name.replace("_", "."): value for name, value in settings.items()}
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: known.get(name, default)))
 
 
 def test_the_cluster_names_the_folder():
-    assert session.shared_dir(fake("yarn", "hdfs://shared/dir/")) == "hdfs://shared/dir"
-    with pytest.raises(RuntimeError):
-        session.shared_dir(fake("yarn", None))
+    assert session.shared_dir(fake(spark_checkpoint_dir="hdfs://shared/dir/", spark_sql_warehouse_dir="/w")) == "hdfs://shared/dir"
 
 
-def test_a_local_session_keeps_one_folder():
-    assert session.shared_dir(fake("local[8]", None)) == session.shared_dir(fake("local[8]", None))
+def test_the_warehouse_stands_in():
+    assert session.shared_dir(fake(spark_sql_warehouse_dir="hdfs://warehouse/")) == "hdfs://warehouse"
 
 
 def test_written_tables_keep_rows_and_types(spark):

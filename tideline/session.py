@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +15,15 @@ def settle(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "tideline", cores: str = "8", memory: str = "12g") -> SparkSession:
-    """Single-machine session for tests and the benchmark."""
+def local_session(app: str = "tideline", cores: str = "8", memory: str = "12g", shared: str = "/tmp/tideline-shared") -> SparkSession:
+    """Single-machine session for tests and the benchmark, with a shared folder of its own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -32,24 +32,10 @@ def local_session(app: str = "tideline", cores: str = "8", memory: str = "12g")
     return settle(spark)
 
 
-# temporary folders of local sessions without a shared one, by application
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can read, as named by the cluster in ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a temporary folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="tideline-")
-    return _LOCAL_FOLDERS[application]
+    """Folder every executor can read: ``spark.checkpoint.dir``, else the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
