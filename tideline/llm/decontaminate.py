@@ -25,13 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text as tx
-from tideline.llm.shared import small_batches
+from tideline.llm.shared import SLOTS, bitmap_of, in_bitmap, small_batches, written
 
 SPAN = 10
 GRAM = 6
-#: 64-bit words of the bitmap: 2 MB
-SLOTS = 1 << 18
-
 _CANDIDATE = pa.struct([("fp", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("window", pa.binary())])
 _SCHEMA = pa.schema([("uid", pa.int64()), ("n_words", pa.int64()), ("cands", pa.list_(_CANDIDATE))])
 _SPARK_SCHEMA = "uid long, n_words long, cands array<struct<fp:long,start:int,len:int,window:binary>>"
@@ -53,11 +50,6 @@ def winnow(hashes: np.ndarray, doc: np.ndarray, span: int, gram: int) -> tuple[n
     return at, grams[at]
 
 
-def in_bitmap(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    bit = fp % np.uint64(bitmap.size * 64)
-    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-
-
 def block_candidates(block: tx.Block, span: int, gram: int, short: list[int], bitmap: np.ndarray | None):
     """(document, fingerprint, first word, words, window text) of one block, and its words per document.
 
@@ -104,13 +96,6 @@ def _scanner(span: int, gram: int, short: list[int], bitmap):
     return scan
 
 
-def bitmap_words(fp: str, slots: int = SLOTS):
-    """Slot and bit of a fingerprint, read as an unsigned number."""
-    bits = slots * 64
-    place = F.expr(f"{fp} & {bits - 1}L")
-    return F.shiftright(place, 6).cast("int").alias("slot"), F.expr(f"shiftleft(1L, cast(({fp} & 63L) as int))").alias("bit")
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, slots: int = SLOTS) -> DataFrame:
     """One row per document: its id, n_words, n_hit, items (sorted ids as text) and spans [start, end) in words.
 
@@ -127,15 +112,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .groupBy("c.fp", "c.window")
         .agg(F.sort_array(F.collect_set("item")).alias("items"), F.first("c.len").alias("len"))
     )
-    slot, bit = bitmap_words("fp", slots)
-    marks = windows.select(slot, bit, F.when(F.col("len") < span, F.col("len")).alias("short"))
-    words = np.zeros(slots, np.uint64)
-    short: set[int] = set()
-    # at most one row per slot, with at most span - 1 lengths
-    for row in marks.groupBy("slot").agg(F.bit_or("bit").alias("bits"), F.collect_set("short").alias("short")).collect():
-        words[row.slot] = row.bits & (1 << 64) - 1
-        short |= set(row.short)
-    bitmap = spark.sparkContext.broadcast(words)
+    windows = written(windows, "windows")
+    # at most span - 1 lengths
+    short = [r["len"] for r in windows.where(F.col("len") < span).select("len").distinct().collect()]
+    bitmap = spark.sparkContext.broadcast(bitmap_of(windows, "fp", slots))
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     # the id rides along with its row: the numbers of a scan and of the same scan read again are not compared
     scan = _with_id(_scanner(span, gram, sorted(short), bitmap))

@@ -12,6 +12,7 @@ from tideline.llm.bytebpe import round_trip
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.neardup import near_duplicates
 from tideline.llm.quality import quality
+from tideline.llm.repeats import remove_repeats
 from tideline.llm.rules import fit_rules, judge
 from tideline.llm.secrets import scan_secrets
 from tideline.llm.shared import fold, table
@@ -177,6 +178,10 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -186,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_suffix_repeats": op9_suffix_repeats,
 }
 
 ORACLES: dict[str, str] = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,28 @@ def fold_of(text: str, parts: int) -> int:
     return zlib.crc32(text.encode()) % parts
 
 
+#: 64-bit words of a bitmap: 2 MB, whatever the data
+SLOTS = 1 << 18
+
+
+def bitmap_of(rows: DataFrame, column: str = "fp", slots: int = SLOTS) -> np.ndarray:
+    """Bitmap of a column of 64-bit hashes; at most ``slots`` rows reach the driver."""
+    place = F.expr(f"{column} & {slots * 64 - 1}L")
+    bits = rows.select(F.shiftright(place, 6).cast("int").alias("slot"), F.expr(f"shiftleft(1L, cast(({column} & 63L) as int))").alias("bit"))
+    out = np.zeros(slots, np.uint64)
+    for row in bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).collect():
+        out[row.slot] = row.bits & (1 << 64) - 1
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes may be in a bitmap; a hash that is in it always is."""
+    bit = fp % np.uint64(bitmap.size * 64)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["BATCH_ROWS", "ascii_lower", "fold", "fold_of", "small_batches", "table", "written"]
+__all__ = ["BATCH_ROWS", "SLOTS", "ascii_lower", "bitmap_of", "fold", "fold_of", "in_bitmap", "small_batches", "table", "written"]
