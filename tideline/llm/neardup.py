@@ -7,9 +7,10 @@ minhashes that its tables would otherwise need. At the threshold, a pair misses
 collections agrees: 2e-5 for 11 collections of 2 and a similarity of 0.85, less above it.
 
 Documents with equal sets are one class, named by its least id, before any key is made. Within a bucket every class is
-first compared with the least one, which links the great groups in a linear number of comparisons. Components are built
-from the links, and only buckets that still hold several components are compared across their components, pair by pair,
-so no candidate is left out. Every link is confirmed on the full sets.
+first compared with the least one, then, where components are still apart, with the most central one; this links the great
+groups in a linear number of comparisons. Buckets that still hold several components are compared across them, pair by pair,
+so no candidate is left out; ``open_members`` and ``open_links`` say which pairs their sizes and shingles rule out beforehand.
+Every link is confirmed on the full sets.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; a text with fewer words than a
 shingle has its whole sequence as its one shingle; rows with one id are one document; a row without an id stays alone, with
@@ -138,6 +139,91 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def open_members(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets that still hold several components, with their component, size, reach and alive.
+
+    Of a node's shingles only those that also stand in another open component can be common to a pair across
+    components. With s of them a node of n shingles reaches partners of at most s * (100 + percent) / percent - n
+    shingles. Two nodes that both fail to reach their own size cannot reach each other: one side of a pair is alive.
+    """
+    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    members = written(labelled.join(mixed, "key"), "mixed-members")
+    nodes = members.select("node", "component").distinct()
+    rows = sets.join(nodes, F.col("doc") == F.col("node")).select("node", "component", F.explode("shingles").alias("shingle"))
+    foreign = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    shared = rows.select("node", "shingle").join(foreign, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+    sized = (
+        sets.select(F.col("doc").alias("node"), F.size("shingles").alias("size")).groupBy("node").agg(F.max("size").alias("size"))
+        .join(shared, "node")
+        .withColumn("reach", F.floor(F.col("shared") * (100 + percent) / percent) - F.col("size"))
+        .withColumn("alive", F.col("reach") >= F.col("size"))
+    )
+    return members.join(sized, "node")
+
+
+def around_centres(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every open bucket's members beside its most central one, the node with the fewest shingles of its own.
+
+    Buckets with one centre are one group. ``apart`` holds the shingles that only one of node and centre has.
+    """
+    own = F.struct((F.col("reach") - F.col("size")).alias("room"), (-F.col("node")).alias("order"))
+    centre = members.groupBy("key").agg(F.max_by("node", own).alias("centre"))
+    groups = members.join(centre, "key").select("centre", "node", "component", "size", "reach", "alive").distinct()
+    mine = sets.select(F.col("doc").alias("node"), F.col("shingles").alias("mine"))
+    theirs = sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("theirs"))
+    apart = F.concat(F.array_except("mine", "theirs"), F.array_except("theirs", "mine"))
+    return (
+        groups.join(mine, "node").join(theirs, "centre")
+        .select("centre", "node", "component", "size", "reach", "alive", apart.alias("apart"), F.size("theirs").alias("centre_size"))
+    )
+
+
+def _enough(common: Column, sizes: Column, percent: int) -> Column:
+    """Whether twice the common shingles of two sets, whose sizes add up to ``sizes``, are enough."""
+    return 100 * common >= percent * (2 * sizes - common)
+
+
+def central_links(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between centres and the nodes around them."""
+    sizes = F.col("size") + F.col("centre_size")
+    linked = groups.where("node <> centre").where(_enough(sizes - F.size("apart"), sizes, percent))
+    return linked.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def open_links(groups: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components between the nodes around one centre.
+
+    Two sets differ in what they have apart from the centre, less what they have apart from it in common; so the small
+    differences decide, exactly. One side of every pair is outside the centre's component. Sizes, reaches and the
+    numbers of shingles apart rule most pairs out before their differences are compared.
+    """
+    labelled = groups.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    centres = labelled.where("node = centre").select("centre", F.col("component").alias("home"))
+    floors = labelled.groupBy("centre").agg(
+        F.min(F.when(F.col("alive"), F.col("size"))).alias("floor"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low < high")
+    kept = labelled.join(floors, "centre").where("alive or reach >= floor").join(centres, "centre")
+    kept = written(kept.select("centre", "home", "node", "component", "size", "reach", "alive", "apart", F.size("apart").alias("n")), "open-members")
+    columns = ("node", "component", "size", "reach", "alive", "apart", "n")
+    one = kept.where("component <> home").select("centre", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = kept.select("centre", "home", *[F.col(c).alias(f"{c}_b") for c in columns])
+    sizes = F.col("size_a") + F.col("size_b")
+    inside = sizes - F.col("n_a") - F.col("n_b")
+    return (
+        one.join(
+            two,
+            (one["centre"] == two["centre"]) & (F.col("component_a") != F.col("component_b"))
+            & ((F.col("component_b") == F.col("home")) | (F.col("node_a") < F.col("node_b")))
+            & (F.col("alive_a") | F.col("alive_b")) & (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a"))
+            & _enough(inside + 2 * F.least("n_a", "n_b"), sizes, percent)
+            & _enough(inside + 2 * F.size(F.array_intersect("apart_a", "apart_b")), sizes, percent),
+        )
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
     collections: int = COLLECTIONS, per: int = PER_COLLECTION,
@@ -153,17 +239,15 @@ def near_duplicates(
     near = members.select(F.col("node").alias("doc")).distinct()
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(near, "doc", "left_semi")
     sets = written(shingle_sets(texts, "doc", "text", shingle), "sets")
-    checked = written(members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = written(confirmed(checked, sets, percent), "links")
+    pairs = members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(confirmed(pairs, sets, percent), "links")
     found = components(links)
-    # buckets that still hold several components: all pairs across them that were not looked at
-    labelled = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_members = written(labelled.join(mixed, "key"), "open-members")
-    one = open_members.select("key", F.col("node").alias("a"), F.col("component").alias("of_a"))
-    two = open_members.select("key", F.col("node").alias("b"), F.col("component").alias("of_b"))
-    across = one.join(two, "key").where("a < b and of_a <> of_b").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
-    more = written(confirmed(across, sets, percent), "links")
+    # buckets that still hold several components meet the node most like the others
+    groups = written(around_centres(open_members(members.drop("least"), found, sets, percent), sets), "groups")
+    links = links.unionByName(written(central_links(groups, percent), "links"))
+    found = components(links)
+    # what is still open: all pairs across components
+    more = written(open_links(groups, found, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     linked = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
