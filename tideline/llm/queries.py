@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm import lm
 from tideline.llm.bytebpe import round_trip
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.neardup import near_duplicates
@@ -182,6 +183,12 @@ def op9_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 10) == 0
+    return lm.score(docs, *lm.fit(docs.where(~held_out))).withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -192,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_suffix_repeats": op9_suffix_repeats,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES: dict[str, str] = {
