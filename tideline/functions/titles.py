@@ -111,7 +111,7 @@ def platform_label(kind: Column, title: Column) -> Column:
 
     def named(pattern: str, lead: str, tail: str, plain: str) -> Column:
         found = F.nullif(F.regexp_extract(title, "(?i)" + pattern, 1), F.lit(""))
-        words = F.transform(F.split(found, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1000)))
+        words = F.transform(F.split(found, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2))))
         word = F.array_join(words, " ")
         return F.coalesce(F.concat(F.lit(lead), word, F.lit(tail)), F.lit(plain))
 

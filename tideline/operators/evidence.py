@@ -312,8 +312,10 @@ def evidence_bundle(
     # texts stay out of the block lists; those only need numbers
     blocks = _rows(numbered.join(strong.select(*POINT), POINT, "left_semi").select(*POINT, "block", "position", "number"),
                    "review_blocks", [F.col("block"), F.col("position")], ["block", "number"])
-    line = F.concat_ws("|", "news_day", "title", "event_type", F.col("weight").cast("string"), F.col("major").cast("string"))
-    about = news.groupBy(*POINT).agg(F.count("*").alias("news_count"), F.bit_xor(F.xxhash64(line)).alias("news_digest"))
+    line = F.to_json(F.struct("news_day", "title", "event_type", "weight", "major"))
+    # sums of two hashes do not depend on the order, and equal lines do not cancel out
+    sums = [F.sum(F.xxhash64(F.lit(seed), line).cast("decimal(20,0)")).cast("string") for seed in (1, 2)]
+    about = news.groupBy(*POINT).agg(F.count("*").alias("news_count"), F.concat_ws(":", *sums).alias("news_digest"))
     beside = platform.select(*POINT, F.struct("event_date", "event_type", "title").alias("platform_event"))
     out = labels
     for part in (rising, falling, inner, played, reviews, blocks, about, beside):

@@ -84,9 +84,12 @@ def scd2_apply(dim: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
     return old.unionByName(opened).unionByName(created)
 
 
-def bridge_replace(old: DataFrame, new: DataFrame, key: str = "game_sk") -> DataFrame:
-    """Bridge rows of the touched versions are rebuilt, those of other versions stay."""
-    kept = old.join(new.select(key).distinct(), key, "left_anti")
+def bridge_replace(old: DataFrame, new: DataFrame, touched: DataFrame, key: str = "game_sk") -> DataFrame:
+    """Bridge rows of the touched versions are rebuilt, those of other versions stay.
+
+    ``touched`` names every version whose card was read, with links or without.
+    """
+    kept = old.join(touched.select(key).distinct(), key, "left_anti")
     return kept.unionByName(new.select(*old.columns).distinct())
 
 

@@ -33,8 +33,8 @@ def label_infer(batches: DataFrame, labeler: Callable[[str], tuple[str, str]], k
             for text in frame["prompt"]:
                 try:
                     answers.append(labeler(text))
-                except OSError:
-                    answers.append((None, "error"))
+                except Exception as problem:  # whatever a caller's function raises: a repeated task would pay again
+                    answers.append((None, f"error: {type(problem).__name__}"))
             out = frame[[*keys, "size"]].copy()
             out["content"] = [a[0] for a in answers]
             out["finish"] = [a[1] for a in answers]
@@ -201,9 +201,9 @@ def aspect_conflicts(stored: DataFrame, rows: DataFrame) -> DataFrame:
 
 def sync_aspects(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds missing taxonomy rows. A stored version is frozen: a difference is an error, not an update."""
-    conflicts = [r["aspect_id"] for r in aspect_conflicts(stored, rows).limit(20).collect()]
+    conflicts = aspect_conflicts(stored, rows).count()
     if conflicts:
-        raise ValueError(f"stored taxonomy differs from its file: {sorted(conflicts)}")
+        raise ValueError(f"stored taxonomy differs from its file in {conflicts} aspects, see aspect_conflicts")
     fresh = rows.join(stored, ["codebook_version", "aspect_id"], "left_anti")
     keyed = fresh.withColumn("aspect_sk", stable_key(F.col("codebook_version"), F.col("aspect_id")))
     return stored.unionByName(keyed.select(*stored.columns))

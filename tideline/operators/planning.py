@@ -81,6 +81,12 @@ def spike_days(
     )
 
 
+def _highest(limits: DataFrame | None, day_limit: int) -> int:
+    """The highest limit of any day: one row, read while the plan is made so that the ranks can be cut by it early."""
+    own = None if limits is None else limits.agg(F.max("day_limit")).first()[0]
+    return max(day_limit, own or 0)
+
+
 def _ranked(candidates: DataFrame, min_length: int, most: int) -> DataFrame:
     """The first ``most`` content reviews of each day, in an order that does not depend on loading."""
     order = Window.partitionBy("app_id", "day").orderBy(F.md5(F.col("recommendation_id").cast("string")), "recommendation_id")
@@ -93,13 +99,13 @@ def _ranked(candidates: DataFrame, min_length: int, most: int) -> DataFrame:
 
 def label_plan(
     candidates: DataFrame, limits: DataFrame | None = None, min_length: int = MIN_CONTENT_LENGTH,
-    day_limit: int = DAY_LIMIT, most: int = SPIKE_LIMIT,
+    day_limit: int = DAY_LIMIT,
 ) -> DataFrame:
     """Reviews to label. Ranks count labelled reviews too, so a raised limit only adds the next ranks.
 
-    ``limits`` gives (app_id, day, day_limit) over the plain limit, none above ``most``.
+    ``limits`` gives (app_id, day, day_limit) in place of the plain limit, however high.
     """
-    ranked = _ranked(candidates, min_length, max(day_limit, most) if limits is not None else day_limit)
+    ranked = _ranked(candidates, min_length, _highest(limits, day_limit))
     if limits is not None:
         own = limits.select("app_id", "day", F.col("day_limit").alias("_limit"))
         ranked = ranked.join(own, ["app_id", "day"], "left").filter(
@@ -137,10 +143,10 @@ def plan_listed(candidates: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
 
 def adaptive_gain(
     candidates: DataFrame, limits: DataFrame, min_length: int = MIN_CONTENT_LENGTH,
-    day_limit: int = DAY_LIMIT, most: int = SPIKE_LIMIT,
+    day_limit: int = DAY_LIMIT,
 ) -> DataFrame:
     """Per spike day with candidates: content, median, limit and how many reviews the spike limit adds."""
-    open_rows = _ranked(candidates, min_length, max(day_limit, most)).filter(~_is_done())
+    open_rows = _ranked(candidates, min_length, _highest(limits, day_limit)).filter(~_is_done())
     spikes = limits.filter("spike").select("app_id", "day", "content", "median", F.col("day_limit").alias("spike_limit"))
     in_period = candidates.select("app_id", "day").distinct()
     added = open_rows.join(spikes.select("app_id", "day", "spike_limit"), ["app_id", "day"]).groupBy("app_id", "day").agg(

@@ -91,11 +91,10 @@ def dq_aspect_once(tags: DataFrame) -> DataFrame:
 
 
 def dq_scd2_overlap(dim: DataFrame) -> DataFrame:
-    """Versions that end after the next version of their product starts."""
-    order = Window.partitionBy("app_id").orderBy("valid_from", "game_sk")
-    following = F.lead("valid_from").over(order)
-    return dim.filter("app_id > 0").withColumn("next_from", following).filter(
-        F.col("next_from") < F.col("valid_to")).select("app_id", "game_sk", "valid_from", "valid_to", "next_from")
+    """Versions that start before an earlier version of their product, any of them, has ended."""
+    earlier = Window.partitionBy("app_id").orderBy("valid_from", "game_sk").rowsBetween(Window.unboundedPreceding, -1)
+    return dim.filter("app_id > 0").withColumn("earlier_to", F.max("valid_to").over(earlier)).filter(
+        F.col("valid_from") < F.col("earlier_to")).select("app_id", "game_sk", "valid_from", "valid_to", "earlier_to")
 
 
 def dq_single_current(dim: DataFrame, key: str) -> DataFrame:

@@ -122,7 +122,9 @@ def _sentences(text: Column) -> Column:
 
 def _references(text: Column) -> Column:
     lists = F.regexp_extract_all(text, F.lit("(" + REFERENCE + ")"), 1)
-    return F.flatten(F.transform(lists, lambda m: F.regexp_extract_all(m, F.lit(r"(\d+)"), 1))).cast("array<bigint>")
+    numbers = F.flatten(F.transform(lists, lambda m: F.regexp_extract_all(m, F.lit(r"(\d+)"), 1)))
+    # as text without leading zeros: a reference may have any number of digits
+    return F.transform(numbers, lambda n: F.regexp_replace(n, r"^0+(?=\d)", ""))
 
 
 def _problems(part: str, rule: str, details: Column) -> Column:
@@ -147,12 +149,13 @@ def verdict_lint(verdicts: DataFrame, vocabulary: list[str]) -> DataFrame:
     after_negative, known_numbers. ``vocabulary`` has the taxonomy ids and names that must not be quoted.
     """
     what, talk = F.col("what_happened"), F.col("what_players_say")
-    names = F.array(*[F.lit(n.lower()) for n in vocabulary if n not in VOCABULARY_EXEMPT]) if vocabulary else F.array().cast("array<string>")
+    names = [n.lower() for n in vocabulary if n not in VOCABULARY_EXEMPT]
     foreign = f"[\\p{{L}}&&[^{_named_letters()}]]"
 
     def quoted(text: Column) -> Column:
-        return F.filter(names, lambda n: F.rlike(
-            F.lower(text), F.concat(F.lit(r"(?U)(?<!\w)\Q"), n, F.lit(r"\E(?!\w)"))))
+        # one fixed pattern per name, compiled once
+        hits = [F.when(F.rlike(F.lower(text), F.lit(rf"(?U)(?<!\w)\Q{n}\E(?!\w)")), F.lit(n)) for n in names]
+        return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
     def unordered(s: Column) -> Column:
         rest = F.regexp_replace(s, "(?U)" + FROM_TO, "")
@@ -164,8 +167,9 @@ def verdict_lint(verdicts: DataFrame, vocabulary: list[str]) -> DataFrame:
     swapped = F.exists(near_complaint, lambda m: F.regexp_extract_all(m, F.lit(r"(\d+)"), 1) == votes_pair)
     both = F.concat(what, F.lit(" "), talk)
     statements = _sentences(talk)
-    unknown = F.transform(
-        F.array_sort(F.array_distinct(F.array_except(_references(talk), F.col("known_numbers")))), lambda n: n.cast("string"))
+    known = F.coalesce(F.col("known_numbers").cast("array<string>"), F.array().cast("array<string>"))
+    by_size = F.array_sort(F.transform(F.array_except(_references(talk), known), lambda n: F.struct(F.length(n).alias("size"), n.alias("number"))))
+    unknown = by_size["number"]
 
     parts = [
         _problems("what_happened", "causal wording", _found(what, CAUSAL)),

@@ -55,7 +55,7 @@ def limits(rows):
 def plan(t):
     """The work list. Candidates are written once: the limits and the ranks both read them."""
     rows = written(candidates(t), "candidates")
-    return planning.label_plan(rows, limits(rows), day_limit=LIMIT, most=SPIKE)
+    return planning.label_plan(rows, limits(rows), day_limit=LIMIT)
 
 
 @query("candidate_reviews", *NEEDED, sql=f"""SELECT * FROM ({CANDIDATES}) WHERE day >= DATE '1996-01-01' AND day < DATE '2000-01-01'""")
@@ -84,7 +84,7 @@ def _(t):
     FROM spikes s WHERE spike"""))
 def _(t):
     rows = written(candidates(t), "candidates")
-    return planning.adaptive_gain(rows, limits(rows), day_limit=LIMIT, most=SPIKE)
+    return planning.adaptive_gain(rows, limits(rows), day_limit=LIMIT)
 
 
 @query("run_cap", sql=planned_sql("SELECT app_id, recommendation_id, day, day_rank FROM plan ORDER BY day DESC, day_rank, recommendation_id LIMIT 500"))

@@ -52,7 +52,7 @@ def news_pages(t):
     """The orders table as news pages of one hundred items."""
     item = F.struct(
         F.col("patch_sk"), "gid", "title", F.concat(F.lit("https://news/"), "gid").alias("url"), "feedname",
-        "feed_type", F.expr("repeat('ab', CAST(body_length % 50 AS INT))").alias("contents"),
+        "feed_type", F.expr("repeat('b', CAST(body_length AS INT))").alias("contents"),
         F.unix_seconds("published_at").alias("date"))
     page = F.floor(F.col("patch_sk") / 100).cast("bigint")
     return (
@@ -110,7 +110,7 @@ def _(t):
 
 
 @query("explode_news", "p_patch", sql="""
-    SELECT patch_sk // 100 AS raw_id, gid, title, feedname, feed_type, CAST(body_length % 50 * 2 AS INT) AS body_length, published_at FROM p_patch""")
+    SELECT patch_sk // 100 AS raw_id, gid, title, feedname, feed_type, CAST(body_length AS INT) AS body_length, published_at FROM p_patch""")
 def _(t):
     return raw.explode_news(news_pages(t)).select("raw_id", "gid", "title", "feedname", "feed_type", "body_length", _ntz("published_at"))
 
@@ -516,12 +516,14 @@ def _(t):
 
 @query("bridge_replace", sql="""
     SELECT l_orderkey AS game_sk, concat('new', CAST(l_partkey % 7 AS VARCHAR)) AS link FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2
-    UNION ALL SELECT l_orderkey, CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1, 2""")
+    UNION ALL SELECT l_orderkey, CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('R', 'A')) GROUP BY 1, 2""")
 def _(t):
     line = t.table("lineitem")
     old = line.select(F.col("l_orderkey").alias("game_sk"), F.col("l_partkey").cast("string").alias("link")).distinct()
     new = line.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("game_sk"), F.concat(F.lit("new"), (F.col("l_partkey") % 7).cast("string")).alias("link"))
-    return games.bridge_replace(old, new)
+    # returned and accepted lines touch their order, but only returned ones bring links
+    touched = line.filter("l_returnflag IN ('R', 'A')").select(F.col("l_orderkey").alias("game_sk"))
+    return games.bridge_replace(old, new, touched)
 
 
 @query("collection_status", sql="""
@@ -562,10 +564,12 @@ def _(t):
     return moved.join(fixed.select("game_sk", F.to_date("valid_from").alias("valid_from")), "game_sk").select("o_orderkey", "game_sk", "valid_from")
 
 
-@query("dq_scd2_overlap", sql=f"""SELECT app_id, game_sk, valid_to, next_from FROM (
-    SELECT *, lead(valid_from) OVER (PARTITION BY app_id ORDER BY valid_from, game_sk) AS next_from FROM ({BROKEN})) WHERE next_from < valid_to""")
+@query("dq_scd2_overlap", sql=f"""WITH b AS ({BROKEN})
+    SELECT later.app_id, later.game_sk, later.valid_to, max(b.valid_to) AS earlier_to FROM b AS later JOIN b
+        ON b.app_id = later.app_id AND (b.valid_from < later.valid_from OR b.valid_from = later.valid_from AND b.game_sk < later.game_sk)
+    GROUP BY ALL HAVING bool_or(b.valid_to > later.valid_from)""")
 def _(t):
-    return quality.dq_scd2_overlap(_broken_dim(t)).select("app_id", "game_sk", _ntz("valid_to"), _ntz("next_from"))
+    return quality.dq_scd2_overlap(_broken_dim(t)).select("app_id", "game_sk", _ntz("valid_to"), _ntz("earlier_to"))
 
 
 @query("dq_single_current", sql="SELECT c_nationkey AS app_id, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1 HAVING count(*) > 1")
@@ -683,10 +687,14 @@ def _(t):
     SELECT CAST(user_id % 5 + 1 AS INT) AS app_id, CAST(ts AS DATE) AS "day", count(*) AS review_count, count(*) FILTER (WHERE event_type <> 'error') AS positive_count
     FROM events GROUP BY 1, 2""")
 def _(t):
-    from tideline.plans.frames import SCHEMAS
-
-    source = t.spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    flat = source.select((F.col("user_id") % 5 + 1).cast("int").alias("app_id"), F.col("ts").alias("created_at"), (F.col("event_type") != "error").alias("voted_up"))
     base = scratch_path(t.spark, "stream-daily")
-    stream.run_daily(stream.stream_review_daily(flat), f"{base}/days", f"{base}/checkpoint").awaitTermination()
+    events = t.table("events")
+    # three landings: later days first, then earlier ones, then some reviews once more
+    for part in (events.where("event_id % 2 = 1"), events.where("event_id % 2 = 0"), events.where("event_id % 3 = 0")):
+        part.write.mode("append").parquet(f"{base}/landing")
+        source = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/landing")
+        reviews = source.select(
+            F.col("event_id").alias("recommendation_id"), (F.col("user_id") % 5 + 1).cast("int").alias("app_id"), F.col("ts").alias("created_at"),
+            (F.col("event_type") != "error").alias("voted_up"), F.col("ts").alias("fetched_at"))
+        stream.stream_review_daily(reviews, f"{base}/log", f"{base}/days", f"{base}/checkpoint").awaitTermination()
     return stream.read_daily(t.spark, f"{base}/days")

@@ -1,7 +1,8 @@
 """Continuous loading: a file stream of landing pages into a review log, and daily counts.
 
-The log is append-only: each micro-batch of whole pages lands in its own folder, named by the batch
-id, so replaying a batch after a failure replaces that folder and nothing else. Reading the log
+The log is append-only: each micro-batch of whole pages lands in its own folder, named by the run (the
+id that Spark gives a checkpoint) and the batch, so replaying a batch after a failure replaces that folder
+and nothing else, and a run with a fresh checkpoint adds folders of its own. Reading the log
 resolves first-value and newest-value columns per review, whatever order the pages arrived in; the
 stored reviews are never rewritten for a batch.
 """
@@ -15,9 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tideline.operators.facts import IMMUTABLE, MUTABLE, latest_per_key, scd2_lookup
 from tideline.sources.raw import RAW_SCHEMAS, explode_reviews
 
-LATENESS = "3 days"
-
-
 def raw_stream(spark: SparkSession, path: str, kind: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(RAW_SCHEMAS[kind])
     if files_per_batch:
@@ -25,6 +23,11 @@ def raw_stream(spark: SparkSession, path: str, kind: str, files_per_batch: int |
     return reader.parquet(path)
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id that a checkpoint has kept since its first start; a fresh checkpoint has another one."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def typed_batch(pages: DataFrame, dim: DataFrame) -> DataFrame:
     """Landing pages -> newest copy of each review with the version valid when it was written."""
     newest = latest_per_key(explode_reviews(pages), ["recommendation_id"], [F.desc("fetched_at"), F.desc("raw_id")])
@@ -35,7 +38,9 @@ def stream_review_merge(pages: DataFrame, dim: DataFrame, log: str, checkpoint:
     """Loads all waiting pages into the review log, each page exactly once."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        typed_batch(batch, dim).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        run = run_id(batch.sparkSession, checkpoint)
+        landed = typed_batch(batch, dim).withColumn("landed_at", F.current_timestamp())
+        landed.write.mode("overwrite").parquet(f"{log}/run={run}/batch={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(land)
@@ -46,7 +51,8 @@ def stream_review_merge(pages: DataFrame, dim: DataFrame, log: str, checkpoint:
 
 
 def read_log(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.parquet(log)
+    """All logged rows; ``batch`` orders the loads, of whatever run."""
+    return spark.read.parquet(log).withColumn("batch", F.struct("landed_at", "run", "batch"))
 
 
 def current_reviews(log: DataFrame, key: str = "recommendation_id") -> DataFrame:
@@ -67,28 +73,29 @@ def current_reviews(log: DataFrame, key: str = "recommendation_id") -> DataFrame
     ).select(key, *[f"_first.{c}" for c in first], *[f"_last.{c}" for c in last])
 
 
-def stream_review_daily(reviews: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Daily counts over a stream of reviews; a day stays open for late ones until ``lateness`` has passed.
+def stream_review_daily(reviews: DataFrame, log: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Keeps daily counts of a stream of reviews right, however late, repeated or out of order they come.
 
-    For a backfill out of event-time order recompute the days in batch instead: a watermark would
-    drop them.
+    ``reviews`` has recommendation_id, app_id, created_at, voted_up and fetched_at. Every batch is logged by day, and
+    the days it touches are counted anew from the newest copy of each of their reviews; other days are not read.
     """
-    return (
-        reviews.withWatermark("created_at", lateness)
-        .groupBy("app_id", F.window("created_at", "1 day").alias("w"))
-        .agg(F.count("*").alias("review_count"), F.count_if("voted_up").alias("positive_count"))
-        .select("app_id", F.to_date("w.start").alias("day"), "review_count", "positive_count")
-    )
-
-
-def run_daily(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Writes changed days of each micro-batch next to the earlier ones."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        run = run_id(spark, checkpoint)
+        folder = f"{log}/run={run}/batch={batch_id}"
+        batch.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(folder)
+        logged = spark.read.option("basePath", log).parquet(log)
+        days = spark.read.parquet(folder).select("day").distinct()
+        touched = spark.read.parquet(folder).select("app_id", "day").distinct()
+        newest = F.struct("fetched_at", "run", "batch")
+        state = logged.join(days, "day", "left_semi").groupBy("app_id", "day", "recommendation_id").agg(F.max_by("voted_up", newest).alias("voted_up"))
+        counts = state.join(touched, ["app_id", "day"], "left_semi").groupBy("app_id", "day").agg(
+            F.count("*").alias("review_count"), F.count_if("voted_up").alias("positive_count"))
+        counts.withColumn("counted_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/run={run}/batch={batch_id}")
 
     return (
-        counts.writeStream.outputMode("update").foreachBatch(land)
+        reviews.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -97,5 +104,6 @@ def run_daily(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery
 
 def read_daily(spark: SparkSession, target: str) -> DataFrame:
     """Newest counts of each day."""
+    newest = F.struct("counted_at", "batch")
     return spark.read.parquet(target).groupBy("app_id", "day").agg(
-        F.max_by("review_count", "batch").alias("review_count"), F.max_by("positive_count", "batch").alias("positive_count"))
+        F.max_by("review_count", newest).alias("review_count"), F.max_by("positive_count", newest).alias("positive_count"))
