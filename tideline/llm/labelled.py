@@ -33,8 +33,8 @@ def sample(labels: DataFrame, label_col: str, rows: int, folds: int, held_out: i
 def fitted(docs: DataFrame, labels: DataFrame, fit: Callable[[Rows], np.ndarray], buckets: int, sizes: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Parameters that ``fit`` learns from the features of the labelled documents, a vector of fixed size.
 
-    Features are made where the documents are read; the rows of the sample, bounded by its size, meet in
-    one task in a fixed order.
+    Features are made where the documents are read; only the rows of the sample, bounded by its size, are shuffled to
+    one task and meet there in a fixed order.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(labels, id_col).select("label", "text", F.col(id_col).cast("string").alias("key"))
@@ -63,4 +63,4 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Callable[[Rows], np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array([np.asarray(model, np.float64).tobytes()], pa.binary())], names=["model"])
 
     found = texts.mapInArrow(features, "label double, key string, buckets binary, shares binary")
-    return np.frombuffer(found.coalesce(1).mapInArrow(learn, "model binary").first()["model"], np.float64)
+    return np.frombuffer(found.repartition(1).mapInArrow(learn, "model binary").first()["model"], np.float64)
