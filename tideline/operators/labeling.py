@@ -15,34 +15,48 @@ from tideline.operators.marts import OVERALL, SIGNS
 MAX_ASPECTS = 5
 MAX_NOTE_WORDS = 3
 OTHER = "other"
+FINISHED = "stop"
 ASPECT_ARRAY = "array<struct<id:string,sentiment:string,note:string>>"
 ELEMENTS = f"array<struct<pos:int,n:int,problem:string,aspects:{ASPECT_ARRAY}>>"
 
 
-def label_infer(batches: DataFrame, labeler: Callable[[str], tuple[str, str]], keys: tuple = ("app_id", "batch")) -> DataFrame:
-    """Sends each batch text to ``labeler`` (text -> (answer, finish reason)); a failed call gives a null answer.
+def label_infer(batches: DataFrame, labeler: Callable[[str], tuple], keys: tuple = ("app_id", "batch")) -> DataFrame:
+    """Sends each batch text to ``labeler``; a failed call gives a null answer.
 
-    Write the result before using it twice: the calls leave the cluster and are paid for.
+    ``labeler`` maps a text to (answer, finish reason) or (answer, finish reason, usage), where usage
+    holds prompt_tokens and completion_tokens. Write the result before using it twice: the calls
+    leave the cluster and are paid for.
     """
     fields = {f.name: f.dataType.simpleString() for f in batches.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", size int, content string, finish string"
+    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + (
+        ", size int, content string, finish string, prompt_tokens bigint, completion_tokens bigint")
+
+    def one(text: str) -> tuple:
+        try:
+            content, finish, *usage = labeler(text)
+            spent = usage[0] if usage else {}
+            return content, finish, spent.get("prompt_tokens"), spent.get("completion_tokens")
+        except Exception as problem:  # whatever a caller's function raises: a repeated task would pay again
+            return None, f"error: {type(problem).__name__}", None, None
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = []
-            for text in frame["prompt"]:
-                try:
-                    answers.append(labeler(text))
-                except Exception as problem:  # whatever a caller's function raises: a repeated task would pay again
-                    answers.append((None, f"error: {type(problem).__name__}"))
+            answers = [one(text) for text in frame["prompt"]]
             out = frame[[*keys, "size"]].copy()
             out["content"] = [a[0] for a in answers]
             out["finish"] = [a[1] for a in answers]
+            out["prompt_tokens"] = pd.array([a[2] for a in answers], dtype="Int64")
+            out["completion_tokens"] = pd.array([a[3] for a in answers], dtype="Int64")
             yield out
 
     return batches.select(*keys, "size", "prompt").mapInPandas(call, schema)
 
 
+def whole_answers(answers: DataFrame) -> DataFrame:
+    """Answers that did not come to their own end count as unreadable, whatever they begin with."""
+    return answers.withColumn("content", F.when(F.col("finish") == FINISHED, F.col("content")))
+
+
 def _unfenced(content: Column) -> Column:
     """Answer text without a surrounding code fence."""
     text = strip_all(F.coalesce(content, F.lit("")))
@@ -144,20 +158,49 @@ def label_status(aspects: Column) -> Column:
 
 
 def label_run(rows: DataFrame, batches: DataFrame, labeler: Callable, allowed: list[str]) -> DataFrame:
-    """Labels every batch, then retries what failed one review at a time. ``rows`` is ``planning.batch_rows``."""
+    """The labels of ``label_run_calls`` alone."""
+    return label_run_calls(rows, batches, labeler, allowed)[0]
+
+
+def label_run_calls(rows: DataFrame, batches: DataFrame, labeler: Callable, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Labels every batch, then retries what failed one review at a time. ``rows`` is ``planning.batch_rows``.
+
+    Returns the labels and the calls with what they spent. A cut answer fails its whole batch.
+    """
     from tideline.session import written
 
     keys = ("app_id", "batch", "n")
-    first = label_parse(written(label_infer(batches, labeler), "answers"), allowed)
+    whole = written(label_infer(batches, labeler), "answers")
+    first = label_parse(whole_answers(whole), allowed)
     again = rows.join(first.filter("status = 'failed'").select(*keys), [*keys], "left_semi")
     singles = again.select(
         *keys, F.lit(1).alias("size"),
         F.concat(F.lit('<review n="1">'), F.coalesce("review_body", F.lit("")), F.lit("</review>")).alias("prompt"))
     answers = written(label_infer(singles, labeler, keys), "retries")
     # the single review of a retry is number 1 of its own answer; its place in the batch is kept aside
-    second = label_parse(answers.withColumnRenamed("n", "place"), allowed, ("app_id", "batch", "place")).drop("n")
+    second = label_parse(whole_answers(answers).withColumnRenamed("n", "place"), allowed, ("app_id", "batch", "place")).drop("n")
     done = first.filter("status <> 'failed'").select(*keys, "status", "aspects")
-    return done.unionByName(second.withColumnRenamed("place", "n").select(*keys, "status", "aspects"))
+    labels = done.unionByName(second.withColumnRenamed("place", "n").select(*keys, "status", "aspects"))
+    spent = ["size", "finish", "prompt_tokens", "completion_tokens"]
+    calls = whole.select(F.lit("batch").alias("kind"), *spent).unionByName(answers.select(F.lit("single").alias("kind"), *spent))
+    return labels, calls
+
+
+def label_records(labels: DataFrame, rows: DataFrame, config_sk: int, run_id: str) -> DataFrame:
+    """Label rows of a run, ready for ``upsert_labels``: keyed by text version and configuration, with their aspects."""
+    about = rows.select(
+        "app_id", "batch", "n", "recommendation_id",
+        stable_key(F.col("recommendation_id"), text_hash(F.col("review_body"))).alias("review_text_sk"))
+    return labels.join(about, ["app_id", "batch", "n"]).select(
+        stable_key(F.col("review_text_sk"), F.lit(config_sk)).alias("labeling_sk"), "review_text_sk", "recommendation_id",
+        F.lit(config_sk).alias("llm_config_sk"), "status", F.lit(run_id).alias("run_id"), "aspects")
+
+
+def label_tags(records: DataFrame) -> DataFrame:
+    """One row per aspect of a label; importance is its place in the answer."""
+    return records.select("labeling_sk", F.posexplode("aspects").alias("place", "a")).select(
+        "labeling_sk", (F.col("place") + 1).alias("importance"), F.col("a.id").alias("aspect_id"), F.col("a.sentiment").alias("sentiment"),
+        F.col("a.note").alias("note"))
 
 
 def text_snapshot(versions: DataFrame, texts: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def candidates(t, **limits):
 
 CANDIDATES = """
     SELECT app_id, recommendation_id, CAST(created_at AS DATE) AS day, length, status
-    FROM (SELECT recommendation_id, md5(review_body) AS text_hash, CAST(length(trim(review_body, ' ')) AS INT) AS length FROM t_text)
+    FROM (SELECT recommendation_id, md5(coalesce(review_body, '')) AS text_hash, CAST(length(trim(coalesce(review_body, ''), ' ')) AS INT) AS length FROM t_text)
     JOIN t_fact USING (recommendation_id) JOIN (SELECT game_sk, app_id FROM p_game) USING (game_sk)
     LEFT JOIN (SELECT recommendation_id, text_hash, status FROM t_version JOIN t_label USING (review_text_sk) WHERE llm_config_sk = 1)
         USING (recommendation_id, text_hash)"""
@@ -172,6 +172,61 @@ def _(t):
     return done.select("app_id", "batch", "n", "status", first["id"].alias("aspect"), first["sentiment"].alias("sentiment"))
 
 
+def metered_labeler():
+    """A labeler with usage, some of whose answers are cut: of batches holding a length divisible by 31, of single reviews by 37.
+
+    In a batch it names an unknown aspect for lengths divisible by 37, so those fail twice.
+    """
+
+    def answer(prompt: str) -> tuple[str, str, dict]:
+        import json
+        import re
+
+        reviews = re.findall(r'<review n="(\d+)">(.*?)</review>(?=\n<review n=|\Z)', prompt, re.S)
+        sizes = [len(body) for _, body in reviews]
+        out = []
+        for (number, _), size in zip(reviews, sizes):
+            tags = [{"id": f"a{size % 7}", "sentiment": "+-±"[size % 3]}, {"id": "other", "sentiment": "-", "note": f"Note {size % 4}"}]
+            out.append({"n": int(number), "aspects": [{"id": "?", "sentiment": "+"}] if size % 37 == 0 else tags if size % 5 else []})
+        cut = any(s % 31 == 0 for s in sizes) if len(sizes) > 1 else any(s % 37 == 0 for s in sizes)
+        # a cut answer may still read well: the finish reason alone tells
+        return json.dumps(out, ensure_ascii=False), "length" if cut else "stop", {"prompt_tokens": len(prompt), "completion_tokens": 7 * len(sizes)}
+
+    return answer
+
+
+def metered_run(t):
+    """Snapshot, batches, calls, parsing, single retries, labels: one run over every document without a label."""
+    rows = written(todo(t), "todo")
+    labels, calls = labeling.label_run_calls(rows, planning.label_batches(rows), metered_labeler(), [*ALLOWED, "other"])
+    return labeling.label_records(labels, rows, CONFIG, "run-1"), calls
+
+
+@query("label_run", sql=f"""
+    SELECT x.recommendation_id, x.status, t.importance, t.aspect, t.sentiment, t.note FROM (
+        SELECT recommendation_id, length(text) AS size, CASE WHEN length(text) % 37 = 0 THEN 'failed' WHEN length(text) % 5 = 0 THEN 'no_opinion' ELSE 'labeled' END AS status FROM ({TODO})) x
+    LEFT JOIN LATERAL (SELECT * FROM (VALUES (1, concat('a', CAST(x.size % 7 AS VARCHAR)), substr('+-±', CAST(x.size % 3 AS INT) + 1, 1), NULL),
+        (2, 'other', '-', concat('note ', CAST(x.size % 4 AS VARCHAR)))) AS v(importance, aspect, sentiment, note) WHERE x.status = 'labeled') t ON true""")
+def _(t):
+    records, _calls = metered_run(t)
+    records = written(records, "labels")
+    tags = labeling.label_tags(records).withColumnRenamed("aspect_id", "aspect")
+    return records.select("labeling_sk", "recommendation_id", "status").join(tags, "labeling_sk", "left").drop("labeling_sk")
+
+
+@query("label_run_calls", sql=f"""SELECT * FROM (WITH x AS (SELECT *, length(text) AS size, length(concat('<review n="', CAST(n AS VARCHAR), '">', text, '</review>')) AS marked FROM ({TODO})),
+    b AS (SELECT app_id, batch, count(*) AS reviews, sum(marked) + count(*) - 1 AS chars, bool_or(size % 31 = 0) AND count(*) > 1 OR bool_or(size % 37 = 0) AND count(*) = 1 AS cut FROM x GROUP BY 1, 2),
+    calls AS (
+        SELECT 'batch' AS kind, cut, chars, reviews FROM b
+        UNION ALL SELECT 'single', size % 37 = 0, length(concat('<review n="1">', text, '</review>')), 1 FROM x JOIN b USING (app_id, batch) WHERE cut OR size % 37 = 0)
+    SELECT kind, CASE WHEN cut THEN 'length' ELSE 'stop' END AS finish, count(*) AS calls, CAST(sum(chars) AS BIGINT) AS prompt_tokens, CAST(sum(7 * reviews) AS BIGINT) AS completion_tokens
+    FROM calls GROUP BY ALL)""")
+def _(t):
+    _records, calls = metered_run(t)
+    return calls.groupBy("kind", "finish").agg(
+        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+
+
 def answers(t):
     """Answers of ten reviews each, built from the line items, with the faults models make."""
     line = t.table("lineitem")
