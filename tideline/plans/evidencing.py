@@ -397,7 +397,53 @@ def _vocabulary() -> tuple:
     return tuple(f"aspect_{i}" for i in range(1, 44)) + tuple(f"cat_{i}" for i in range(11))
 
 
-@query("verdict_lint")
+# generated texts with one fault each, and the rules that have to find them, written down by hand
+LINT_RISE = "Негативных оценок стало больше: с 21% до 30% за неделю с 4 марта."
+LINT_SERVERS = "Серверы упоминали 5% до и 19% после."
+LINT_WHAT = f"{LINT_RISE} {LINT_SERVERS} Студия 2 марта опубликовала график работ."
+LINT_TALK = "В отзывах ругают долгую очередь на вход и обрывы [2, 6]. Несколько человек просят вернуть прежний подбор команд [9]."
+LINT_CASES = (
+    (LINT_WHAT, LINT_TALK, ""),
+    (f"{LINT_WHAT} Сбой спровоцировал волну отзывов.", LINT_TALK, "causal wording"),
+    (f"{LINT_WHAT} Об этом пишут в [2, 6].", LINT_TALK, "review numbers"),
+    (f"{LINT_WHAT} Сдвиг сфокусирован.", LINT_TALK, "label word"),
+    (f"{LINT_RISE} Про серверы писали 5%, стало 19%.", LINT_TALK, "pair without before and after"),
+    (f"{LINT_WHAT} Споры о серверах не увеличились.", LINT_TALK, "not grown while main topic grew"),
+    (f"{LINT_WHAT} Вывод опирается на сотню отзывов.", LINT_TALK, "volume mentioned at enough volume"),
+    ("Жалобы поднялись с 21% до 30% за неделю с 4 марта.", LINT_TALK, "vote share called complaints"),
+    (f"{LINT_WHAT} График работ - удобный повод.", LINT_TALK, "occasion without news or with focus"),
+    (f"{LINT_WHAT} Это заметили и в 东京.", LINT_TALK, "foreign letters"),
+    (f"{LINT_WHAT} Тема server_load.", LINT_TALK, "taxonomy id"),
+    (f"{LINT_RISE} Тему Queue and servers упоминали 5% до и 19% после.", LINT_TALK, "taxonomy name"),
+    (LINT_WHAT, "Вход занимает час. Матчи обрываются [6].", "statement without support"),
+    (LINT_WHAT, "Вход занимает час [2, 17].", "unknown review number"),
+    (LINT_WHAT, "Вход занимает час [99999999999999999999999].", "unknown review number"),
+    (LINT_WHAT, " ", "missing field"),
+    (f"{LINT_WHAT} Сбой спровоцировал волну отзывов. Об этом пишут в [2, 6].", "Ошибка «接続» при входе.",
+     "causal wording;foreign letters;review numbers;statement without support"),
+)
+
+
+def _lint_case(place: int) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{case[place]}'" for i, case in enumerate(LINT_CASES))
+    return f"CASE CAST(c_custkey % {len(LINT_CASES)} AS INT) {whens} END"
+
+
+@query("verdict_lint", sql=f"SELECT c_custkey, {_lint_case(2)} AS rules, {_lint_case(2)} = '' AS checks_passed FROM customer")
+def _(t):
+    """One generated text per customer; every rule fails some of them, and some are without fault."""
+    texts = t.table("customer").select(
+        "c_custkey", F.to_json(F.struct(F.expr(_lint_case(0)).alias("what_happened"), F.expr(_lint_case(1)).alias("what_players_say"))).alias("content"))
+    facts = verdicts.verdict_fields(texts).select(
+        "c_custkey", "what_happened", "what_players_say", F.lit("yes").alias("news"), F.lit("focused").alias("character"), F.lit("enough").alias("volume"),
+        F.lit(0.14).alias("main_diff"), F.lit(0.21).alias("before_negative"), F.lit(0.30).alias("after_negative"),
+        F.array(*[F.lit(n) for n in (2, 6, 9, 11)]).cast("array<bigint>").alias("known_numbers"))
+    linted = verdicts.verdict_lint(facts, ["Queue and servers", "login_queue", "other"])
+    rules = F.array_join(F.array_sort(F.array_distinct(F.transform("problems", lambda p: p["rule"]))), ";")
+    return linted.select("c_custkey", rules.alias("rules"), "checks_passed")
+
+
+@query("verdict_lint_turns")
 def _(t):
     """Whole conversation turns as generated texts: the user's turn says what happened, the answer what players say."""
     talk = t.table("conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(
