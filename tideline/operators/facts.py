@@ -102,20 +102,20 @@ def merge_reviews(store: DataFrame, batch: DataFrame, key: str = "recommendation
                   immutable: tuple = IMMUTABLE, mutable: tuple = MUTABLE + ("review_body",)) -> DataFrame:
     """Upsert by review: immutable columns keep their first value, mutable ones follow the newest page.
 
-    An older page never rolls counters back. The batch has one row per review; it is joined to the
-    store instead of being unioned with it, so a small batch is broadcast and the store stays in place.
+    An older page never rolls counters back. Store and batch have one row per review and are read
+    once each; a store bucketed by its key is not shuffled.
     """
     fresh = batch.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in immutable + mutable])
-    joined = store.join(fresh, store[key] == F.col("_key"), "left")
+    joined = store.join(fresh, store[key] == F.col("_key"), "full")
+    stored = F.col(key).isNotNull()
     newer = F.col("_key").isNotNull() & (
-        F.col("loaded_from").isNull() | (F.col("_loaded_from") >= F.col("loaded_from"))
+        ~stored | F.col("loaded_from").isNull() | (F.col("_loaded_from") >= F.col("loaded_from"))
     )
-    kept = joined.select(
-        key, *immutable, *[F.when(newer, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in mutable]
+    return joined.select(
+        F.coalesce(key, "_key").alias(key),
+        *[F.when(stored, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in immutable],
+        *[F.when(newer, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in mutable],
     )
-    known = store.select(key).join(batch.select(key), key, "left_semi")
-    added = batch.join(known, key, "left_anti").select(key, *immutable, *mutable)
-    return kept.unionByName(added)
 
 
 def upsert_languages(dim: DataFrame, reviews: DataFrame) -> DataFrame:
