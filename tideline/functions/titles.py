@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the platform's own id, a feed that is not news, the type of a product's own feed
 PLATFORM_APP_ID = 753
 EXCLUDED_FEEDS = ("SteamDB",)
 OWN_FEED_TYPE = 1
@@ -40,6 +41,7 @@ TITLE_RULES = (
     (r"\b(hotfix|changelog)\b", "patch"),
     (r"\b(patch|update|hotfix)\s*#?\s*\d", "patch"),
 )
+# fixed values: words that make or unmake a kind, and what a version looks like
 BETA = r"\b(public test|experimental|exp|beta|test branch|b\d+)\b"
 STABLE = r"\b(stable|public branch)\b"
 NOT_SEASON = (
@@ -60,6 +62,7 @@ PLATFORM_RULES = (
     ),
     (r"\b\w+\s+fest\b", "fest"),
 )
+# fixed values: what a display name takes from a title, and the link of a product
 SALE_SEASON = (
     r"\b(summer|winter|spring|autumn|fall|holiday|black friday|"
     r"halloween|lunar new year|chinese new year|christmas)\s+(?:steam\s+)?sale\b"

@@ -193,9 +193,9 @@ CTE = {
         length(trim(coalesce(t.review_body, ''), ' ')) >= 20 AS is_content
         FROM t_fact f JOIN p_game g USING (game_sk) LEFT JOIN t_text t USING (recommendation_id) WHERE g.app_id > 0""",
     "t_labeled": """SELECT app_id, CAST(created_at AS DATE) AS day, recommendation_id, llm_config_sk, labeling_sk
-        FROM (SELECT * FROM t_label WHERE status <> 'failed')
+        FROM (SELECT * FROM t_label WHERE status IN ('labeled', 'no_opinion'))
         JOIN (SELECT review_text_sk, recommendation_id, text_hash FROM t_version WHERE is_current) USING (review_text_sk)
-        JOIN (SELECT recommendation_id, md5(review_body) AS text_hash FROM t_text WHERE length(trim(review_body, ' ')) > 19)
+        JOIN (SELECT recommendation_id, md5(coalesce(review_body, '')) AS text_hash FROM t_text WHERE length(trim(coalesce(review_body, ''), ' ')) >= 20)
             USING (recommendation_id, text_hash)
         JOIN t_fact USING (recommendation_id) JOIN (SELECT game_sk, app_id FROM p_game WHERE app_id > 0) USING (game_sk)""",
     "t_den": """SELECT r.app_id, r.day, c.llm_config_sk, count(*) AS review_count, count_if(r.is_content) AS content_count,
