@@ -106,6 +106,28 @@ def parse(spark, content, size=2, allowed=("a", "b", "c", "d", "e", "f")):
     return {r.n: (r.status, [(a.id, a.sentiment, a.note) for a in r.aspects or []]) for r in rows}, problems
 
 
+def test_a_cut_answer_fails_its_batch_and_is_paid_for(spark):
+    body = answer([{"n": 1, "aspects": []}, {"n": 2, "aspects": []}])
+
+    def labeler(prompt):
+        return body, "length" if "cut" in prompt else "stop", {"prompt_tokens": 5, "completion_tokens": len(prompt)}
+
+    batches = spark.createDataFrame([(1, 1, 2, "cut"), (1, 2, 2, "whole")], "app_id int, batch int, size int, prompt string")
+    answers = labeling.label_infer(batches, labeler)
+    assert sorted((r.finish, r.prompt_tokens, r.completion_tokens) for r in answers.collect()) == [("length", 5, 3), ("stop", 5, 5)]
+    rows = labeling.label_parse(labeling.whole_answers(answers), ["a"]).collect()
+    assert sorted((r.batch, r.n, r.status) for r in rows) == [(1, 1, "failed"), (1, 2, "failed"), (2, 1, "no_opinion"), (2, 2, "no_opinion")]
+
+
+def test_tags_keep_the_order_of_the_answer(spark):
+    rows = spark.createDataFrame([(1, 0, 1, 70, "a"), (1, 0, 2, 71, None)], "app_id int, batch int, n int, recommendation_id bigint, review_body string")
+    labels = spark.createDataFrame([(1, 0, 1, "labeled", [("b", "-", None), ("a", "+", None)]), (1, 0, 2, "failed", None)],
+                                   "app_id int, batch int, n int, status string, aspects array<struct<id:string,sentiment:string,note:string>>")
+    records = labeling.label_records(labels, rows, 4, "run")
+    assert sorted((r.recommendation_id, r.status, r.llm_config_sk) for r in records.collect()) == [(70, "labeled", 4), (71, "failed", 4)]
+    assert sorted((r.importance, r.aspect_id, r.sentiment) for r in labeling.label_tags(records).collect()) == [(1, "b", "-"), (2, "a", "+")]
+
+
 def tags(*pairs):
     return [{"id": i, "sentiment": s} for i, s in pairs]
 
