@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions.numbers import half_up, percent
 from tideline.operators.marts import DAY_KEYS, SERVICE, fold_sentiment
@@ -312,9 +313,10 @@ def evidence_bundle(
     # texts stay out of the block lists; those only need numbers
     blocks = _rows(numbered.join(strong.select(*POINT), POINT, "left_semi").select(*POINT, "block", "position", "number"),
                    "review_blocks", [F.col("block"), F.col("position")], ["block", "number"])
-    line = F.to_json(F.struct("news_day", "title", "event_type", "weight", "major"))
-    # sums of two hashes do not depend on the order, and equal lines do not cancel out
-    sums = [F.sum(F.xxhash64(F.lit(seed), line).cast("decimal(20,0)")).cast("string") for seed in (1, 2)]
+    told = news.select("news_day", "title", "event_type", "weight", "major")
+    line = F.md5(canonical(F.struct(*told.columns), told.schema))
+    # sums of two parts of a hash do not depend on the order, and equal lines do not cancel out
+    sums = [F.sum(F.conv(F.substr(line, F.lit(at), F.lit(15)), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 17)]
     about = news.groupBy(*POINT).agg(F.count("*").alias("news_count"), F.concat_ws(":", *sums).alias("news_digest"))
     beside = platform.select(*POINT, F.struct("event_date", "event_type", "title").alias("platform_event"))
     out = labels
@@ -332,11 +334,28 @@ def evidence_bundle(
     )
 
 
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """One text per value that any engine can rebuild: texts after their length, fractions in millionths, ``-`` for null."""
+    if isinstance(kind, T.StructType):
+        parts = [canonical(value[f.name], f.dataType) for f in kind.fields]
+        text = F.concat(F.lit("("), F.concat_ws(",", *parts), F.lit(")"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.StringType):
+        text = F.concat(F.char_length(value).cast("string"), F.lit(":"), value)
+    elif isinstance(kind, T.DoubleType):
+        text = F.floor(value * F.lit(1e6) + F.lit(0.5)).cast("string")
+    else:
+        text = value.cast("string")
+    return F.when(value.isNull(), "-").otherwise(text)
+
+
 def evidence_hash(bundle: DataFrame) -> DataFrame:
-    """Adds sha256 of the record without vote counters, which grow with every collection."""
+    """Adds sha256 of the record's canonical text without vote counters, which grow with every collection."""
     still = F.transform("reviews", lambda r: F.struct(r["number"], r["recommendation_id"], r["text"]))
-    fields = [still.alias("reviews") if c == "reviews" else F.col(c) for c in bundle.columns]
-    return bundle.withColumn("evidence_hash", F.sha2(F.to_json(F.struct(*fields)), 256))
+    fields = [still.alias(c) if c == "reviews" else F.col(c) for c in bundle.columns]
+    record = F.struct(*fields)
+    return bundle.withColumn("evidence_hash", F.sha2(canonical(record, bundle.select(*fields).schema), 256))
 
 
 def percent_text(share: Column) -> Column:

@@ -62,7 +62,11 @@ def incremental_pages(
     until: str | None = None,
     full: bool = False,
 ) -> DataFrame:
-    """Pages to load: everything, an explicit ``[since, until)``, or newer than each product's own mark."""
+    """Pages to load: everything, an explicit ``[since, until)``, or newer than each product's own mark.
+
+    Pages of marked products are read from the least mark on, those of other products by product; so neither
+    reading goes through the pages that were loaded before every mark. Every page names its product.
+    """
     if full:
         return raw
     if since is not None or until is not None:
@@ -73,8 +77,11 @@ def incremental_pages(
         return raw
     if marks is None:
         return raw
-    joined = raw.join(marks.select("app_id", F.col("loaded_from").alias("_mark")), "app_id", "left")
-    return joined.filter(F.col("_mark").isNull() | (F.col("fetched_at") > F.col("_mark"))).drop("_mark")
+    own = marks.filter("loaded_from is not null").select("app_id", F.col("loaded_from").alias("_mark"))
+    least = own.agg(F.min("_mark")).scalar()
+    newer = raw.filter(F.col("fetched_at") > least).join(own, "app_id").filter(F.col("fetched_at") > F.col("_mark")).drop("_mark")
+    unmarked = raw.select("app_id").distinct().join(own, "app_id", "left_anti")
+    return newer.unionByName(raw.join(unmarked, "app_id", "left_semi"))
 
 
 def watermark_seed(facts: DataFrame, raw: DataFrame) -> DataFrame:
@@ -211,6 +218,12 @@ def page_batches(reviews: DataFrame, size: int) -> DataFrame:
     )
 
 
+def review_batches(reviews: DataFrame, size: int) -> DataFrame:
+    """The newest copy of each review with the batch of its page; copies that are not loaded do not count."""
+    newest = latest_per_key(reviews, ["recommendation_id"], [F.desc("fetched_at"), F.desc("raw_id")])
+    return newest.join(page_batches(newest, size).select("fetched_at", "batch"), "fetched_at")
+
+
 def depth_stop(pages: DataFrame, days_of_history: int) -> DataFrame:
     """Per product: history held by the pages, and the page on which it crosses the wanted depth.
 

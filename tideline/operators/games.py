@@ -93,6 +93,20 @@ def bridge_replace(old: DataFrame, new: DataFrame, touched: DataFrame, key: str
     return kept.unionByName(new.select(*old.columns).distinct())
 
 
+def upsert_names(dim: DataFrame, incoming: DataFrame, key: str, name: str, stamp: str) -> DataFrame:
+    """Genres or categories by id, with new ones added; of several names the one of the newest card counts, then the least."""
+    latest = incoming.groupBy(key).agg(F.max(stamp).alias("_at"))
+    told = incoming.join(latest, key).filter(F.col(stamp) == F.col("_at")).groupBy(key).agg(F.min(name).alias("_name"))
+    return dim.join(told, key, "full").select(key, F.coalesce("_name", name).alias(name))
+
+
+def upsert_companies(dim: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Companies by name, with new ones added."""
+    fresh = incoming.select("company_name").distinct().join(dim, "company_name", "left_anti")
+    return dim.select("company_sk", "company_name").unionByName(
+        fresh.select(stable_key(F.lit("company"), F.col("company_name")).alias("company_sk"), "company_name"))
+
+
 def mark_status(dim: DataFrame, runs: DataFrame) -> DataFrame:
     """Current versions become ``partial`` once the card is loaded and ``complete`` after all steps."""
     results = runs.select("app_id", "card_loaded", "all_steps")

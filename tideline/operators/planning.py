@@ -19,6 +19,8 @@ BATCH_SIZE = 10
 PROMPT_CHARS_PER_TOKEN = 5.5
 TEXT_CHARS_PER_TOKEN = 3.0
 OUTPUT_TOKENS_PER_REVIEW = 60
+# fixed value: expected output of one verdict
+VERDICT_OUTPUT_TOKENS = 350
 REVIEW_TAG_CHARS = 25
 
 
@@ -221,6 +223,22 @@ def estimate_cost(plan: DataFrame, prompt_chars: int, prices: dict | None, size:
     return out.withColumn("cost", _price(n_in, cached, F.col("n") * OUTPUT_TOKENS_PER_REVIEW, prices))
 
 
+def estimate_verdicts(prompts: DataFrame, prompt_chars: int, prices: dict | None, output_tokens: int = VERDICT_OUTPUT_TOKENS) -> DataFrame:
+    """Expected price of one verdict text per row of ``prompts``, per product; null when prices are unknown."""
+    out = prompts.groupBy("app_id").agg(F.count("*").alias("n"), F.sum(F.char_length("prompt")).cast("bigint").alias("chars"))
+    if prices is None:
+        return out.withColumn("cost", F.lit(None).cast("double"))
+    n_in = F.col("n") * F.lit(prompt_chars / PROMPT_CHARS_PER_TOKEN) + F.col("chars") / F.lit(TEXT_CHARS_PER_TOKEN)
+    return out.withColumn("cost", _price(n_in, F.lit(0), F.col("n") * output_tokens, prices))
+
+
+def call_price(prices: dict | None) -> Column:
+    """Price of one call from prompt_tokens and completion_tokens; null where either, or the price list, is unknown."""
+    if prices is None:
+        return F.lit(None).cast("double")
+    return _price(F.col("prompt_tokens"), F.lit(0), F.col("completion_tokens"), prices)
+
+
 def usage_cost(usage: DataFrame, prices: dict | None) -> DataFrame:
     """Tokens and price of each call. The provider's own price wins; unknown prices give null, not zero."""
     zero = F.lit(0).cast("bigint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -220,3 +221,59 @@ def verdict_report(current: DataFrame) -> DataFrame:
         F.when(shown, strip_references(F.col("what_happened"))).alias("what_happened"),
         F.when(by_model, strip_references(F.coalesce("what_players_say", F.lit("")))).alias("what_players_say"),
     )
+
+
+def verdict_run(points: DataFrame, writer: Callable[[str, int], tuple], vocabulary: list[str], prices: dict | None, today: str) -> DataFrame:
+    """Verdict rows of the points: a template's text, or the model's, asked for once more where its checks fail.
+
+    ``points`` has app_id, point_day (one row each), author, template, prompt and what ``verdict_lint`` needs. ``writer``
+    maps a prompt and the number of the attempt to (answer, finish reason, usage). Of two answers the second counts, and
+    both are paid for; a cut answer fails. An unreadable answer is kept as it came. The price is null as soon as one
+    call's is unknown.
+    """
+    from tideline.operators.labeling import FINISHED, label_infer
+    from tideline.operators.planning import call_price
+    from tideline.session import written
+
+    keys = ["app_id", "point_day"]
+
+    def asked(rows: DataFrame, attempt: int) -> DataFrame:
+        answers = written(label_infer(rows.withColumn("size", F.lit(1)), lambda prompt: writer(prompt, attempt), tuple(keys)), "verdict-answers")
+        judged = verdict_lint(verdict_fields(rows.drop("prompt").join(answers.drop("size"), keys)), vocabulary)
+        problems = F.concat("problems", _once("both", "answer cut", ~F.col("finish").eqNullSafe(F.lit(FINISHED))))
+        return written(judged.withColumn("problems", problems).withColumn("attempts", F.lit(attempt)), "verdict-checks")
+
+    modelled = points.filter("author = 'model'")
+    first = asked(modelled, 1)
+    failed = first.filter(F.size("problems") > 0).select(*keys)
+    second = asked(modelled.join(failed, keys, "left_semi"), 2)
+    calls = first.unionByName(second).select(*keys, "prompt_tokens", "completion_tokens", call_price(prices).alias("cost_usd"))
+    spent = calls.groupBy(*keys).agg(
+        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("output_tokens"),
+        F.when(F.count_if(F.col("cost_usd").isNull()) == 0, F.sum("cost_usd")).alias("cost_usd"))
+    known = F.coalesce(F.col("known_numbers").cast("array<string>"), F.array().cast("array<string>"))
+    cited = F.array_intersect(F.coalesce(_references(F.col("what_players_say")), F.array().cast("array<string>")), known)
+    none = F.array().cast("array<struct<part:string,rule:string,detail:string>>")
+    said = first.join(failed, keys, "left_anti").unionByName(second).join(spent, keys).select(
+        *keys, "author", F.coalesce("what_happened", "content").alias("what_happened"), "what_players_say",
+        F.array_sort(cited.cast("array<bigint>")).alias("support_numbers"), F.col("problems").alias("checks"),
+        "attempts", "input_tokens", "output_tokens", "cost_usd")
+    zero = F.lit(0).cast("bigint")
+    told = points.filter("author = 'template'").select(
+        *keys, "author", F.col("template").alias("what_happened"), F.lit(None).cast("string").alias("what_players_say"),
+        F.array().cast("array<bigint>").alias("support_numbers"), none.alias("checks"), F.lit(1).alias("attempts"),
+        zero.alias("input_tokens"), zero.alias("output_tokens"), F.lit(0.0).alias("cost_usd"))
+    return said.unionByName(told).withColumn("checks_passed", F.size("checks") == 0).withColumn(
+        "status", late_window_status(F.col("point_day"), F.lit(today).cast("date")))
+
+
+def verdict_excerpts(records: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Adds the excerpts to show beside each verdict, picked among the reviews that it cites.
+
+    ``reviews`` has app_id, point_day, number, votes_up, language_code and text.
+    """
+    keys = ["app_id", "point_day"]
+    cited = records.select(*keys, F.explode("support_numbers").alias("number"))
+    picked = excerpt_pick(reviews.join(cited, [*keys, "number"], "left_semi"), keys)
+    shown = picked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("excerpt_rank", "number", "votes_up", "text"))).alias("excerpts"))
+    return records.join(shown, keys, "left")

@@ -8,7 +8,7 @@ from tideline.functions import dates, numbers, text, titles
 from tideline.operators import facts, games, quality
 from tideline.plans.catalog import query
 from tideline.plans.frames import BODY, TITLE, duck
-from tideline.session import scratch_path
+from tideline.session import scratch_path, written
 from tideline.sources import dims, files, raw
 from tideline.streaming import reviews as stream
 
@@ -215,6 +215,28 @@ def _(t):
     return raw.extract_links(raw.pick_card(card_pages(t)))
 
 
+@query("link_dimensions", sql=f"""SELECT * FROM (WITH picked AS (SELECT * FROM part WHERE {PICKED}),
+    told AS (SELECT 'genre' AS kind, p_size AS id, arg_max(p_type, p_partkey) AS name FROM picked GROUP BY 2
+             UNION ALL SELECT 'category', p_size + 100, arg_max(p_brand, p_partkey) FROM picked WHERE p_size % 5 <> 0 GROUP BY 2)
+    SELECT kind, CAST(id AS BIGINT) AS id, name FROM told
+    UNION ALL SELECT 'genre', r_regionkey, r_name FROM region WHERE r_regionkey NOT IN (SELECT id FROM told WHERE kind = 'genre')
+    UNION ALL SELECT 'company', CAST(concat('0x', substr(md5(concat('company|', name)), 1, 15)) AS BIGINT), name
+    FROM (SELECT p_brand AS name FROM picked UNION SELECT p_type FROM picked))""")
+def _(t):
+    """Companies, genres and categories of all cards; stored names of genres are overwritten by the card read last."""
+    links = raw.extract_links(raw.pick_card(card_pages(t)))
+    ids = links.select("link_type", "app_id", F.col("link_id").alias("id"), F.col("link_name").alias("name"))
+    stored = t.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    genres = games.upsert_names(stored, ids.filter("link_type = 'genre'"), "id", "name", "app_id")
+    categories = games.upsert_names(stored.filter("id < 0"), ids.filter("link_type = 'category'"), "id", "name", "app_id")
+    none = t.spark.createDataFrame([], "company_sk bigint, company_name string")
+    companies = games.upsert_companies(none, ids.filter("link_type IN ('developer', 'publisher')").select(F.col("name").alias("company_name")))
+    return (
+        genres.select(F.lit("genre").alias("kind"), F.col("id").cast("bigint").alias("id"), "name")
+        .unionByName(categories.select(F.lit("category").alias("kind"), F.col("id").cast("bigint").alias("id"), "name"))
+        .unionByName(companies.select(F.lit("company").alias("kind"), F.col("company_sk").alias("id"), F.col("company_name").alias("name"))))
+
+
 # --- files, calendar ------------------------------------------------------------------------
 
 
@@ -431,6 +453,49 @@ def _(t):
     return facts.merge_patches(stored, batch)
 
 
+LOAD_CUT = "2024-01-16"
+
+
+def recollected(pages):
+    """Every third page as it is fetched again a month later: comments came in, and a flag that must not change did."""
+    payload = F.replace(F.replace("payload", F.lit('"comment_count":0,'), F.lit('"comment_count":7,')), F.lit('"steam_purchase":true'), F.lit('"steam_purchase":false'))
+    return pages.filter("raw_id % 3 = 0").withColumn("raw_id", F.col("raw_id") + 1000000000).withColumn(
+        "fetched_at", F.col("fetched_at") + F.expr("INTERVAL 30 DAYS")).withColumn("payload", payload)
+
+
+@query("review_load", "p_game", sql=f"""
+    SELECT event_id AS recommendation_id, coalesce(g.game_sk, -1) AS game_sk, CAST(strftime(made, '%Y%m%d') AS INT) AS date_sk, CAST(hour(made) AS SMALLINT) AS time_sk,
+           CASE WHEN lang IS NULL THEN -1 ELSE {STATIC_KEY.format("concat('language|', lang)")} END AS language_sk,
+           CASE WHEN user_id % 7 <> 0 THEN user_id END AS author_steam_id, made AS created_at, event_type <> 'error' AS is_voted_up,
+           CAST(floor(value) AS INT) AS votes_up, CAST(CASE WHEN again AND user_id % 5 = 0 THEN 7 ELSE user_id % 5 END AS INT) AS comment_count,
+           CAST(user_id * 10 AS INT) AS playtime_at_review_min, event_type = 'purchase' AND NOT (again AND fetched_at >= TIMESTAMP '{LOAD_CUT}') AS steam_purchase,
+           fetched_at + CASE WHEN again THEN INTERVAL 30 DAY ELSE INTERVAL 0 DAY END AS loaded_from, props AS review_body
+    FROM (SELECT *, CAST(event_id // 100 % 5 + 1 AS INT) AS app_id, date_trunc('second', ts) AS made, nullif({EVENT_LANGUAGE}, '') AS lang,
+                 event_id // 100 % 3 = 0 AS again, max(ts) OVER (PARTITION BY event_id // 100) AS fetched_at FROM events) e
+    LEFT JOIN p_game g ON g.app_id = e.app_id AND made >= g.valid_from AND made < g.valid_to""")
+def _(t):
+    """Landing pages to facts in two loads: early pages first, then what each product's mark leaves, pages fetched again included."""
+    path, pages = scratch_path(t.spark, "landing"), review_pages(t)
+    raw.append_raw(pages.filter(F.col("fetched_at") < F.lit(LOAD_CUT).cast("timestamp")), path)
+    early = raw.explode_reviews(raw.read_raw(t.spark, path, "reviews"))
+    languages = facts.upsert_languages(t.spark.createDataFrame([], "language_sk bigint, language_code string"), early)
+    store = written(facts.review_facts(early, t.games, languages), "facts")
+    raw.append_raw(pages.filter(F.col("fetched_at") >= F.lit(LOAD_CUT).cast("timestamp")), path)
+    raw.append_raw(recollected(pages), path)
+    fresh = raw.explode_reviews(facts.incremental_pages(raw.read_raw(t.spark, path, "reviews"), facts.load_watermarks(store, t.games)))
+    loaded = facts.merge_reviews(store, facts.review_facts(fresh, t.games, facts.upsert_languages(languages, fresh)))
+    return loaded.select(
+        "recommendation_id", "game_sk", "date_sk", "time_sk", "language_sk", "author_steam_id", _ntz("created_at"), "is_voted_up", "votes_up",
+        "comment_count", "playtime_at_review_min", "steam_purchase", _ntz("loaded_from"), "review_body")
+
+
+@query("review_batches", "p_review", sql=f"""SELECT * FROM (WITH newest AS ({NEWEST.format(where='')}), pages AS (SELECT fetched_at, count(*) AS n FROM newest GROUP BY 1)
+    SELECT recommendation_id, raw_id, CAST(start // {BATCH} AS BIGINT) AS batch
+    FROM newest JOIN (SELECT fetched_at, sum(n) OVER (ORDER BY fetched_at) - n AS start FROM pages) USING (fetched_at))""")
+def _(t):
+    return facts.review_batches(t.reviews, BATCH).select("recommendation_id", "raw_id", "batch")
+
+
 PLATFORM_ITEM = """CASE CAST(o_custkey % 6 AS INT) WHEN 0 THEN 'The Steam Awards are open' WHEN 1 THEN 'Summer Sale starts' WHEN 2 THEN 'Lunar New Year Steam Sale'
     WHEN 3 THEN 'Next Fest returns' WHEN 4 THEN 'A publisher steam sale' ELSE 'New hardware' END"""
 PLATFORM_KIND = """CASE CAST(o_custkey % 6 AS INT) WHEN 0 THEN 'awards' WHEN 1 THEN 'sale' WHEN 2 THEN 'sale' WHEN 3 THEN 'fest' END"""
@@ -610,6 +675,20 @@ def _(t):
     return t.patches.select(F.col("patch_sk").alias("o_orderkey"), "title", titles.news_kind(F.col("title"), F.col("feed_type")).alias("kind"))
 
 
+@query("patch_load", "p_patch", "p_game", sql=f"""
+    SELECT gid, coalesce(g.game_sk, -1) AS game_sk, CAST(strftime(published_at, '%Y%m%d') AS INT) AS date_sk, published_at, title, concat('https://news/', gid) AS url, feed_type,
+           feedname, CAST(body_length AS INT) AS body_length, kind = 'patch' AS is_patch, kind AS event_type, version
+    FROM (SELECT p.* EXCLUDE (app_id, game_sk), CAST(patch_sk // 100 % 5 + 1 AS INT) AS app_id, {EXPECTED_KIND} AS kind, {EXPECTED_VERSION} AS version
+          FROM p_patch p JOIN orders ON o_orderkey = patch_sk WHERE feedname <> 'SteamDB') n
+    LEFT JOIN p_game g ON g.app_id = n.app_id AND published_at >= g.valid_from AND published_at < g.valid_to""")
+def _(t):
+    """News pages to classified events in two loads that overlap."""
+    items = raw.exclude_feeds(raw.explode_news(news_pages(t)))
+    store = facts.patch_facts(items.filter("published_at < TIMESTAMP'1998-01-01'"), t.games)
+    batch = facts.patch_facts(items.filter("published_at >= TIMESTAMP'1996-01-01'"), t.games)
+    return facts.merge_patches(store, batch).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
 @query("extract_version", sql=f"SELECT o_orderkey, {EXPECTED_VERSION} AS version FROM orders")
 def _(t):
     return t.patches.select(F.col("patch_sk").alias("o_orderkey"), titles.news_version(F.col("title"), F.col("feed_type")).alias("version"))
