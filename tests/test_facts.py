@@ -240,3 +240,31 @@ def test_pages_to_facts_from_end_to_end(spark):
 def test_empty_card_pages_are_passed_over(spark):
     pages = spark.createDataFrame([(1, 1, T0, 200, "{}"), (2, 1, T0 + dt.timedelta(1), 429, None)], raw.RAW_SCHEMAS["appdetails"])
     assert [r.raw_id for r in raw.newest_cards(pages).collect()] == [1]
+
+
+def test_increment_reads_by_mark_or_by_product(spark, tmp_path):
+    from tideline.operators.facts import incremental_pages
+
+    schema = "app_id int, fetched_at timestamp, page int"
+    days = [dt.datetime(2024, 1, d) for d in range(1, 7)]
+    rows = [(app, day, app * 10 + i) for app in (1, 2, 3) for i, day in enumerate(days)]
+    spark.createDataFrame(rows, schema).write.partitionBy("app_id").parquet(str(tmp_path / "landing"))
+    landing = spark.read.schema(schema).parquet(str(tmp_path / "landing"))
+    marks = spark.createDataFrame([(1, days[4]), (2, days[2]), (3, None), (9, days[5])], "app_id int, loaded_from timestamp")
+    fresh = incremental_pages(landing, marks)
+    assert sorted(r.page for r in fresh.collect()) == [15, 23, 24, 25, 30, 31, 32, 33, 34, 35]
+    assert incremental_pages(landing, marks.limit(0)).count() == 18
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "fetched_at" in plan and "Subquery" in plan
+
+
+def test_names_follow_the_card_read_last(spark):
+    from tideline.operators.games import upsert_companies, upsert_names
+
+    stored = spark.createDataFrame([(1, "old"), (2, "kept")], "id int, name string")
+    told = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (1, "a", 2), (3, "new", 1)], "id int, name string, at int")
+    assert sorted(map(tuple, upsert_names(stored, told, "id", "name", "at").collect())) == [(1, "a"), (2, "kept"), (3, "new")]
+    companies = spark.createDataFrame([(7, "Ann")], "company_sk bigint, company_name string")
+    fresh = spark.createDataFrame([("Ann",), ("Bob",), ("Bob",)], "company_name string")
+    got = {r.company_name: r.company_sk for r in upsert_companies(companies, fresh).collect()}
+    assert got["Ann"] == 7 and set(got) == {"Ann", "Bob"}

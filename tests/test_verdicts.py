@@ -132,3 +132,38 @@ def test_worklist_states(spark):
                                     (1, dt.date(2024, 1, 3), 8, "c")], "app_id int, change_date date, llm_config_sk int, evidence_hash string")
     rows = verdicts.verdict_worklist(points, stored, 7).orderBy("point_day").collect()
     assert [(r.state, r.author) for r in rows] == [("same", None), ("changed", "template"), ("new", "model")]
+
+
+def test_run_asks_once_more_and_keeps_what_came(spark):
+    rows = [(1, "model", "fair"), (2, "model", "twice"), (3, "model", "never"), (4, "template", None), (5, "model", "raises")]
+    points = spark.createDataFrame(rows, "app_id int, author string, prompt string").withColumn("point_day", F.lit(dt.date(2025, 5, 23))).withColumns(
+        {"template": F.lit("steady"), "news": F.lit("yes"), "character": F.lit("focused"), "volume": F.lit("enough"), "main_diff": F.lit(0.14),
+         "before_negative": F.lit(0.21), "after_negative": F.lit(0.30), "known_numbers": F.array(F.lit(2), F.lit(6), F.lit(9)).cast("array<bigint>")})
+    good = json.dumps({"what_happened": WHAT, "what_players_say": TALK}, ensure_ascii=False)
+
+    def writer(prompt, attempt):
+        if prompt == "raises":
+            raise ValueError(prompt)
+        if prompt == "never":
+            return "no JSON", "stop", {"prompt_tokens": 5, "completion_tokens": 1}
+        return good, "length" if prompt == "twice" and attempt == 1 else "stop", {"prompt_tokens": 5, "completion_tokens": 1}
+
+    run = verdicts.verdict_run(points, writer, VOCABULARY, {"input": 1.0, "output": 2.0}, "2025-06-01")
+    got = {r.app_id: r for r in run.collect()}
+    assert [got[i].attempts for i in range(1, 6)] == [1, 2, 2, 1, 2]
+    assert [got[i].checks_passed for i in range(1, 6)] == [True, True, False, True, False]
+    assert got[1].support_numbers == [2, 6, 9] and got[4].support_numbers == []
+    assert got[3].what_happened == "no JSON" and got[4].what_happened == "steady" and got[5].what_happened is None
+    assert [got[i].input_tokens for i in range(1, 6)] == [5, 10, 10, 0, 0]
+    assert got[2].cost_usd == pytest.approx(14e-6) and got[4].cost_usd == 0 and got[5].cost_usd is None
+    assert {p.rule for p in got[5].checks} == {"missing field", "answer cut"}
+
+
+def test_canonical_text_tells_values_apart(spark):
+    def shown(value, kind):
+        df = spark.createDataFrame([(value,)], f"x {kind}")
+        return one(spark, F.lit(df.select(evidence.canonical(F.col("x"), df.schema["x"].dataType)).first()[0]))
+
+    assert shown("a,b", "string") == "3:a,b" and shown(None, "string") == "-" and shown("", "string") == "0:"
+    assert shown(0.1234565, "double") == "123457" and shown(-0.25, "double") == "-250000"
+    assert shown([("a", None), None], "array<struct<p:string,q:int>>") == "[(1:a,-),-]" and shown([], "array<int>") == "[]"
