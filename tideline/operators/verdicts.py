@@ -211,7 +211,7 @@ def verdict_fields(answers: DataFrame, content: str = "content") -> DataFrame:
 
 
 def verdict_report(current: DataFrame) -> DataFrame:
-    """Display cards. Texts of a verdict that failed its checks are hidden; what players say is the model's only."""
+    """Display cards. Texts of a verdict that failed its checks are hidden; what players say, and excerpts, are the model's only."""
     shown = F.col("checks_passed")
     by_model = shown & (F.col("author") == "model")
     return current.select(
@@ -220,6 +220,7 @@ def verdict_report(current: DataFrame) -> DataFrame:
         percent(F.col("before_negative")).alias("negative_before"), percent(F.col("after_negative")).alias("negative_after"),
         F.when(shown, strip_references(F.col("what_happened"))).alias("what_happened"),
         F.when(by_model, strip_references(F.coalesce("what_players_say", F.lit("")))).alias("what_players_say"),
+        F.when(by_model, F.transform("excerpts", lambda e: e["text"])).alias("excerpts"),
     )
 
 

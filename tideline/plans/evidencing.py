@@ -401,6 +401,7 @@ def stored(t):
                concat(c_name, ' fell [1, 2] after') AS what_happened, CASE WHEN c_custkey % 5 <> 0 THEN concat(c_mktsegment, ' [3]. ') END AS what_players_say,
                c_custkey % 4 <> 0 AS checks_passed, CAST(c_custkey % 1000 AS DOUBLE) / 1000D AS before_negative,
                CASE WHEN c_custkey % 9 <> 0 THEN CAST(c_custkey % 200 AS DOUBLE) / 1000D END AS after_negative,
+               array(named_struct('text', concat('q', c_custkey)), named_struct('text', c_mktsegment)) AS excerpts,
                md5(CAST(c_custkey % 2 AS STRING)) AS evidence_hash, date_add(DATE'1998-03-01', CAST(c_custkey % 50 AS INT)) AS created_at FROM {customer}""",
         customer=t.table("customer"))
 
@@ -412,7 +413,7 @@ STORED = """SELECT c_custkey AS verdict_sk, CAST(c_nationkey % 5 + 1 AS INT) AS
     concat(c_name, ' fell after') AS what_happened, CASE WHEN c_custkey % 5 <> 0 THEN concat(c_mktsegment, '.') END AS what_players_say,
     c_custkey % 4 <> 0 AS checks_passed, CAST(c_custkey % 1000 AS DOUBLE) / 1000.0::DOUBLE AS before_negative,
     CASE WHEN c_custkey % 9 <> 0 THEN CAST(c_custkey % 200 AS DOUBLE) / 1000.0::DOUBLE END AS after_negative,
-    md5(CAST(c_custkey % 2 AS VARCHAR)) AS evidence_hash, DATE '1998-03-01' + CAST(c_custkey % 50 AS INT) AS created_at FROM customer"""
+    concat('q', CAST(c_custkey AS VARCHAR), '; ', c_mktsegment) AS excerpts, md5(CAST(c_custkey % 2 AS VARCHAR)) AS evidence_hash, DATE '1998-03-01' + CAST(c_custkey % 50 AS INT) AS created_at FROM customer"""
 CURRENT = f"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY app_id, change_date ORDER BY created_at DESC, verdict_sk DESC) AS k
     FROM ({STORED}) WHERE llm_config_sk IN (1, 2) AND labeling_config_sk = 1) WHERE k = 1"""
 
@@ -440,18 +441,23 @@ def _(t):
 @query("verdict_finalize", sql=f"""SELECT * FROM (WITH s AS ({STORED}), same AS (
     SELECT verdict_sk FROM (SELECT verdict_sk, row_number() OVER (PARTITION BY app_id, change_date ORDER BY created_at DESC, verdict_sk DESC) AS k
         FROM s WHERE llm_config_sk = 1 AND evidence_hash = md5('1')) WHERE k = 1)
-    SELECT verdict_sk, CASE WHEN verdict_sk IN (SELECT verdict_sk FROM same) AND DATE '{TODAY}' >= change_date + 10 THEN 'final' ELSE status END AS status FROM s)""")
+    SELECT verdict_sk, CASE WHEN verdict_sk IN (SELECT verdict_sk FROM same) AND DATE '{TODAY}' >= change_date + 10 THEN 'final' ELSE status END AS status,
+           CASE WHEN verdict_sk IN (SELECT verdict_sk FROM same) AND verdict_sk % 3 = 0 THEN concat('n', CAST(verdict_sk AS VARCHAR)) ELSE excerpts END AS excerpts FROM s)""")
 def _(t):
     rows = stored(t)
     fresh = rows.select("app_id", F.col("change_date").alias("point_day"), F.md5(F.lit("1")).alias("evidence_hash")).distinct()
-    return verdicts.verdict_finalize(rows, fresh, TODAY, 1).select("verdict_sk", "status")
+    # a third of the verdicts have their excerpts picked anew; only those whose evidence still holds show them
+    picked = rows.filter("verdict_sk % 3 = 0").select("verdict_sk", F.expr("array(named_struct('text', concat('n', verdict_sk)))").alias("excerpts"))
+    shown = F.array_join(F.transform("excerpts", lambda e: e["text"]), "; ")
+    return verdicts.verdict_finalize(rows, fresh, TODAY, 1, picked).select("verdict_sk", "status", shown.alias("excerpts"))
 
 
 @query("verdict_report", sql=f"""SELECT app_id, change_date AS "day", before_from, after_to, status = 'preliminary' AS preliminary, checks_passed AS checked,
     CAST(floor(before_negative * 100 + 0.5) AS INT) AS negative_before, CAST(floor(after_negative * 100 + 0.5) AS INT) AS negative_after,
-    CASE WHEN checks_passed THEN what_happened END AS what_happened, CASE WHEN checks_passed AND author = 'model' THEN what_players_say END AS what_players_say FROM ({CURRENT})""")
+    CASE WHEN checks_passed THEN what_happened END AS what_happened, CASE WHEN checks_passed AND author = 'model' THEN what_players_say END AS what_players_say,
+    CASE WHEN checks_passed AND author = 'model' THEN excerpts END AS excerpts FROM ({CURRENT})""")
 def _(t):
-    return verdicts.verdict_report(current(t))
+    return verdicts.verdict_report(current(t)).withColumn("excerpts", F.array_join("excerpts", "; "))
 
 
 @lru_cache(maxsize=1)
