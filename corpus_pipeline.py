@@ -39,11 +39,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
+    """Documents without a word inside a benchmark window.
+
+    Each row is judged by its own text, whatever its id: hits are named by the digest of the text that was read.
+    """
+    digest = F.unhex(F.sha2(docs["text"], 256))
+    found = decontaminate(docs.select(digest.alias("hit"), "text"), table(spark, sf_dir, "benchmark"), id_col="hit")
+    hit = found.where("n_hit > 0").select("hit").distinct()
     # hits may be few or many: written, so that their size decides how they are joined
-    return docs.join(written(hit, "contaminated"), "doc_id", "left_anti")
+    hit = written(hit, "contaminated")
+    return docs.join(hit, digest == hit["hit"], "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,12 @@ def test_pipeline_stage_drops_hit_documents_only(spark):
     rows = [(1, f"before {item.text} after"), (2, "a clean text of some words that no item holds in this order"), (3, None), (None, "without an id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.drop_contaminated(spark, docs, SMALL).collect()) == [0, 2, 3]
+
+
+def test_pipeline_stage_judges_each_row_by_its_own_text(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()
+    dirty, clean = f"before {item.text} after", "a clean text of some words that no item holds in this order"
+    rows = [(None, dirty, 1), (None, dirty, 2), (None, clean, 3), (7, dirty, 4), (7, clean, 5), (None, None, 6), (8, clean, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit int")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, SMALL)
+    assert kept.columns == docs.columns and sorted(r.hit for r in kept.collect()) == [3, 5, 6, 7]
