@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tideline.llm import queries
+from tideline.llm import queries, repeats
 from tideline.llm.repeats import merged, remove_repeats
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,3 +70,15 @@ def test_empty_table(spark):
 def test_touching_ranges_are_one_run():
     spans = [{"from": 0, "to": 5}, {"from": 5, "to": 7}, {"from": 6, "to": 6}, {"from": 9, "to": 10}]
     assert merged(spans) == [(0, 7), (9, 10)]
+
+
+def test_strings_of_equal_polynomial_hash_are_no_repeat(spark):
+    # these two strings of 2,048 letters agree in every polynomial hash modulo 2 ** 64
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    asked = pa.array([[{"place": 0, "near": 0, "far": 0}]] * 2, pa.list_(pa.struct([("place", pa.int32()), ("near", pa.int32()), ("far", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts), asked], names=["tid", "text", "todo"])
+    rows = [r for out in repeats._scan_pieces(1, 2048, 16, 8, False)(iter([batch])) for r in out.to_pylist()]
+    assert len(rows) == 2 and rows[0]["core"] == rows[1]["core"]
+    pieces = spark.createDataFrame([tuple(r.values()) for r in rows], repeats._PIECE)
+    assert repeats.settle(pieces)[0].collect() == []

@@ -129,6 +129,12 @@ _PIECE = "tid long, place int, near int, far int, part int, core long, hull long
 _PIECE_NAMES = ["tid", "place", "near", "far", "part", "core", "hull"]
 
 
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a digest of each range of bytes; unlike the polynomial hash, no two texts are built to share it."""
+    body = data.tobytes()
+    return np.frombuffer(b"".join(hashlib.blake2b(body[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist())), "<i8")
+
+
 def _scan_pieces(width: int, length: int, reach: int, gram: int, from_index: bool):
     """Pieces of ``width`` distances of the anchors asked for: by number among the anchors, or by place and distances."""
 
@@ -159,8 +165,8 @@ def _scan_pieces(width: int, length: int, reach: int, gram: int, from_index: boo
                 near, far = np.maximum(near, part * width), np.minimum(far, part * width + width - 1)
                 # common to all strings whose distance is in this part, whoever asks
                 core = tx.span_hash(sums, place - part * width, place - part * width - width + 1 + length)
-                hull = tx.span_hash(sums, place - far, place - near + length)
-                columns = [tids[doc], (place - block.offsets[doc]).astype(np.int32), near.astype(np.int32), far.astype(np.int32), part.astype(np.int32), core.astype(np.int64), hull.astype(np.int64)]
+                hull = _digests(block.data, place - far, place - near + length)
+                columns = [tids[doc], (place - block.offsets[doc]).astype(np.int32), near.astype(np.int32), far.astype(np.int32), part.astype(np.int32), core.astype(np.int64), hull]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_PIECE_NAMES)
 
     return run
@@ -169,7 +175,8 @@ def _scan_pieces(width: int, length: int, reach: int, gram: int, from_index: boo
 def settle(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pieces all of whose strings repeat, and one member of each group that has to be looked at more closely.
 
-    A hull is told apart within its core's class, so two hashes of 64 bits have to agree.
+    A hull is told apart within its core's class, and its digest has nothing to do with the core's polynomial hash, so two
+    hashes of 64 bits have to agree, also where core and hull are the same bytes.
     """
     member = F.struct("tid", "place", "near", "far")
     groups = written(
