@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from tideline.llm import lm
 from tideline.llm.bytebpe import round_trip
 from tideline.llm.decontaminate import decontaminate
+from tideline.llm.infill import fill_in_middle
 from tideline.llm.neardup import near_duplicates
 from tideline.llm.quality import quality
 from tideline.llm.repeats import remove_repeats
 from tideline.llm.rules import fit_rules, judge
 from tideline.llm.secrets import scan_secrets
 from tideline.llm.shared import fold, table
+from tideline.llm.superkmers import drop_repeated_windows
 from tideline.llm.tokens import count_tokens
+from tideline.llm.turns import repair
 from tideline.llm.urls import UrlRule, judge_urls
 
 TOKEN_LIMIT = 4096
@@ -189,6 +192,65 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(docs, *lm.fit(docs.where(~held_out))).withColumn("held_out", held_out)
 
 
+def op11_superkmers(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_windows(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce(doc_id, 9223372036854775807) AS own, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (SELECT uid, own, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT uid, own, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
+low AS (SELECT s, min(own) AS low FROM win GROUP BY s HAVING min(own) < max(own)),
+gone AS (SELECT DISTINCT uid, unnest(range(i, i + 13)) AS k FROM win JOIN low USING (s) WHERE own > low),
+per_doc AS (SELECT uid, list(k) AS ks FROM gone GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ks, []), i)), ' ')) AS kept_sha256
+FROM doc LEFT JOIN per_doc USING (uid)
+"""
+
+
+def op12_infill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle(table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+unit AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, len(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]')) AS n,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM doc),
+cut AS (
+  SELECT doc_id, text, n, array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p, array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+         array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM unit)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The turns as the contract damages them; nulls other than of ids and turns become one blank."""
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(name.cast("binary")) % 20).alias("damage")).where("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("damage") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")
+
+
+def op13_repair_turns(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    found = repair(damaged(turns)).withColumnRenamed("conv_id", "conv")
+    every = turns.select("conv_id").distinct()
+    out = every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left").drop("conv")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill("", ["audit"]).withColumn("repaired_sha256", F.coalesce("repaired_sha256", nothing))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -200,10 +262,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_lm_scores": op10_lm_scores,
+    "op11_superkmers": op11_superkmers,
+    "op12_infill": op12_infill,
+    "op13_repair_turns": op13_repair_turns,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "op4_url_filter": OP4_SQL,
     "op6_secrets": OP6_SQL,
+    "op11_superkmers": OP11_SQL,
+    "op12_infill": OP12_SQL,
 }
