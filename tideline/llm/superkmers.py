@@ -5,8 +5,8 @@ with a smaller id. Equal windows have to meet without shipping every window with
 
 1. The minimiser of a window is the least hash among its runs of ``GRAM`` words. Consecutive windows mostly share one, and
    all windows of such a stretch, a super-k-mer, travel as one packed string of words to the bucket of their minimiser. Equal
-   windows have equal minimisers, so they meet in one bucket. Equal strings of one batch of documents travel once, with the
-   least and the greatest id that has them.
+   windows have equal minimisers, so they meet in one bucket. Equal strings of a part of a task travel once, with the
+   least and the greatest id that has them, and all strings of a task for one bucket are one compressed value.
 2. In a bucket the windows of all its strings are sorted by hash; windows of equal hash are compared word by word, and every
    run of equal ones knows its least and greatest id. Strings with a window that some owner has to drop are named by digest,
    with the least id of each of their windows.
@@ -43,21 +43,31 @@ GRAM = 3
 HOT_SHARE = 1 << 16
 #: strings of a bucket, some 6 MB
 BUCKET = 50_000
+#: bytes of strings that a task holds before it packs them, and rows handed over at once
+HELD, HANDED = 1 << 25, 10_000
 LAST = (1 << 63) - 1
 _U = np.uint64
 
 
+def packed_words(data: np.ndarray, w: tx.Words, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted words, each with one blank behind it, and where each begins."""
+    lengths = w.end - w.start
+    letters = data[tx.SPACED[data]]
+    if not wanted.all():
+        letters, lengths = letters[np.repeat(wanted, lengths)], lengths[wanted]
+    at = np.append(0, np.cumsum(lengths + 1))
+    packed = np.full(int(at[-1]), 32, np.uint8)
+    packed[np.arange(letters.size) + np.repeat(np.arange(lengths.size), lengths)] = letters
+    return packed, at
+
+
 class Strings:
     """The packed strings of a block: first word, words, minimiser, document, and the text they are slices of."""
 
     def __init__(self, block: tx.Block, window: int, gram: int, hot: np.ndarray):
         w = tx.words(block, block.data, tx.SPACED)
         self.words = w
-        lengths = w.end - w.start
-        # all words, each with one blank behind it
-        self.at = np.append(0, np.cumsum(lengths + 1))
-        packed = np.full(int(self.at[-1]), 32, np.uint8)
-        packed[np.arange(int(lengths.sum())) + np.repeat(np.arange(lengths.size), lengths)] = block.data[tx.SPACED[block.data]]
+        packed, self.at = packed_words(block.data, w, np.ones(w.start.size, bool))
         self.packed = packed
         sums = tx.running(block.data)
         self.hashes = tx.span_hash(sums, w.start, w.end)
@@ -118,10 +128,44 @@ def _count_minimisers(window: int, gram: int, share: int):
     return run
 
 
-def _emit(window: int, gram: int, hot: np.ndarray, buckets: int):
-    """Strings with the least and greatest id that has them; those of frequent minimisers have no bucket."""
+def pack(bodies: pa.Array, low: np.ndarray, high: np.ndarray) -> bytes:
+    """Strings and their ids as one compressed string of bytes."""
+    lengths = np.asarray(pc.binary_length(bodies)).astype("<i4")
+    raw = b"".join([np.array([lengths.size], "<i8").tobytes(), low.astype("<i8").tobytes(), high.astype("<i8").tobytes(), lengths.tobytes(), *bodies.to_pylist()])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Least ids, greatest ids, lengths and the joined strings."""
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    ids = np.frombuffer(raw, "<i8", 2 * n, 8)
+    return ids[:n], ids[n:], np.frombuffer(raw, "<i4", n, 8 + 16 * n), raw[8 + 20 * n:]
+
+
+def _emit(window: int, gram: int, hot: np.ndarray, buckets: int, most: int):
+    """Per bucket the strings of a part of a task, packed; those of frequent minimisers one by one, without a bucket.
+
+    Equal strings of a part, some ``most`` bytes, travel once, with the least and greatest id that has them.
+    """
+
+    def flush(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        merged = pa.concat_tables(parts).group_by(["bucket", "body"]).aggregate([("doc", "min"), ("doc", "max")]).sort_by("bucket").combine_chunks()
+        bucket = np.asarray(merged["bucket"].fill_null(-1))
+        bodies, low, high = merged["body"].combine_chunks(), np.asarray(merged["doc_min"]), np.asarray(merged["doc_max"])
+        alone = int((bucket < 0).sum())
+        cold = bucket.size - alone
+        heads = np.append(_runs(bucket[:cold]), cold)
+        blobs = [pack(bodies.slice(x, y - x), low[x:y], high[x:y]) for x, y in zip(heads[:-1].tolist(), heads[1:].tolist())]
+        nothing = [None] * len(blobs)
+        names = ["bucket", "body", "low", "high"]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[heads[:-1]]), pa.array(blobs, pa.binary()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64())], names=names)
+        for x in range(cold, bucket.size, HANDED):
+            part = merged.slice(x, HANDED).rename_columns(names).combine_chunks()
+            yield from part.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for block in tx.blocks(batch.column(1)):
@@ -129,76 +173,98 @@ def _emit(window: int, gram: int, hot: np.ndarray, buckets: int):
                 if not found.first.size:
                     continue
                 bucket = pa.array((found.mini % _U(buckets)).astype(np.int64), mask=found.hot)
-                bodies = pa.array(found.bodies(np.arange(found.first.size)), pa.binary())
-                owners = ids[block.first + found.doc]
-                merged = pa.table({"bucket": bucket, "body": bodies, "doc": owners}).group_by(["bucket", "body"]).aggregate([("doc", "min"), ("doc", "max")])
-                yield from merged.rename_columns(["bucket", "body", "low", "high"]).to_batches()
+                bodies = found.bodies(np.arange(found.first.size))
+                parts.append(pa.table({"bucket": bucket, "body": pa.array(bodies, pa.binary()), "doc": ids[block.first + found.doc]}))
+                size += parts[-1].nbytes
+                if size >= most:
+                    yield from flush(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from flush(parts)
 
     return run
 
 
-def _same_as_head(words: np.ndarray, starts: np.ndarray, heads: np.ndarray, window: int) -> np.ndarray:
-    """Whether the windows at ``starts`` have the words of those at ``heads``; ``words`` holds the number of each word."""
-    same = np.ones(starts.size, bool)
+def _runs(values: np.ndarray) -> np.ndarray:
+    """First places of runs of equal values."""
+    head = np.ones(values.size, bool)
+    head[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(head)
+
+
+def _word_numbers(data: np.ndarray, w: tx.Words, wanted: np.ndarray) -> np.ndarray:
+    """A number for each wanted word, equal for equal words alone; -1 for the others."""
+    at = np.flatnonzero(wanted)
+    lengths = w.end[at] - w.start[at]
+    ends = np.append(0, np.cumsum(lengths))
+    letters = data[np.repeat(w.start[at] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), at.size, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)])
+    out = np.full(wanted.size, -1, np.int64)
+    out[at] = np.asarray(spans.dictionary_encode().indices)
+    return out
+
+
+def _classes(code: np.ndarray, several: np.ndarray, starts: np.ndarray, data: np.ndarray, w: tx.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in an order in which equal ones stand together, and a number that equal ones alone have in common.
+
+    ``several`` come in the order of their hash; the words decide.
+    """
+    words = _word_numbers(data, w, tx.covered(starts[several], window, w.start.size))
+    at = _runs(code[several])
+    heads = several[at][np.repeat(np.arange(at.size), np.diff(np.append(at, several.size)))]
+    same = np.ones(several.size, bool)
     for j in range(window):
-        same &= words[starts + j] == words[heads + j]
-    return same
+        same &= words[starts[several] + j] == words[starts[heads] + j]
+    if same.all():
+        return several, code[several]
+    number = np.unique(np.stack([words[starts[several] + j] for j in range(window)], axis=1), axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(number)
+    return several[order], number[order]
 
 
-def bucket_lows(bodies: pa.Array, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, place of the window in it, least id with that window) of every window that some owner of its string drops."""
-    block = next(tx.blocks(bodies, 1 << 62))
-    w = tx.words(block, block.data, tx.SPACED)
+def bucket_lows(body: bytes, lengths: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, place of the window in it, least id with that window) of every window that some owner of its string drops.
+
+    ``body`` holds the strings one behind the other, as long as ``lengths`` say.
+    """
+    data = np.frombuffer(body, np.uint8)
+    block = tx.Block(0, data, np.append(0, np.cumsum(lengths.astype(np.int64))))
+    w = tx.words(block, data, tx.SPACED)
     starts = np.flatnonzero(tx.within(w.doc, window))
-    code = tx.gram_hash(tx.span_hash(tx.running(block.data), w.start, w.end), window)[starts]
-    # exact numbers of words, for the windows whose hashes agree
-    spans = pa.BinaryArray.from_buffers(pa.binary(), w.start.size, [None, pa.py_buffer(_word_offsets(w)), pa.py_buffer(block.data[tx.SPACED[block.data]])])
-    words = np.asarray(pc.dictionary_encode(spans).indices)
     owner = w.doc[starts]
-    order = np.argsort(code, kind="stable")
-    head = np.ones(order.size, bool)
-    head[1:] = code[order[1:]] != code[order[:-1]]
-    heads = order[np.flatnonzero(head)[np.cumsum(head) - 1]] if order.size else order
-    if not _same_as_head(words, starts[order], starts[heads], window).all():
-        # different windows share a hash: all are told apart by the numbers of their words
-        rows = np.stack([words[starts + j] for j in range(window)], axis=1)
-        code = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
-        order = np.argsort(code, kind="stable")
-        head[1:] = code[order[1:]] != code[order[:-1]]
-    at = np.flatnonzero(head)
-    if not at.size:
-        return at, at, at
-    least = np.minimum.reduceat(low[owner[order]], at)[np.cumsum(head) - 1]
-    dropped = least < high[owner[order]]
-    chosen = order[dropped]
-    by_place = np.argsort(chosen)
-    chosen, least = chosen[by_place], least[dropped][by_place]
-    return owner[chosen], starts[chosen] - w.bounds[owner[chosen]], least
-
-
-def _word_offsets(w: tx.Words) -> np.ndarray:
-    return np.append(0, np.cumsum(w.end - w.start)).astype(np.int32)
-
-
-_NAMED = "fp long, key binary, windows array<int>, lows array<long>"
+    least = low[owner]
+    code = tx.gram_hash(tx.span_hash(tx.running(data), w.start, w.end), window)[starts]
+    order = np.argsort(code)
+    twice = np.flatnonzero(code[order[1:]] == code[order[:-1]])
+    paired = np.zeros(order.size, bool)
+    paired[twice] = paired[twice + 1] = True
+    if twice.size:
+        several, number = _classes(code, order[paired], starts, data, w, window)
+        at = _runs(number)
+        least[several] = np.repeat(np.minimum.reduceat(low[owner[several]], at), np.diff(np.append(at, several.size)))
+    chosen = np.flatnonzero(least < high[owner])
+    return owner[chosen], starts[chosen] - w.bounds[owner[chosen]], least[chosen]
+
+
+#: windows ``from .. to - 1`` of a string stand first in the document ``low``
+_NAMED = "fp long, key binary, from int, to int, low long"
 
 
 def _settle(window: int):
     def run(group: pa.Table) -> pa.Table:
-        bodies = group.column("body").combine_chunks()
-        low, high = (np.asarray(group.column(c).combine_chunks()) for c in ("low", "high"))
-        string, place, least = bucket_lows(bodies, low, high, window)
-        which, begin = np.unique(string, return_index=True)
-        ends = np.append(begin, string.size).astype(np.int32)
-        named = bodies.take(pa.array(which)).to_pylist()
-        return pa.table(
-            {
-                "fp": pa.array(_body_hashes(named), pa.int64()),
-                "key": pa.array([string_key(b) for b in named], pa.binary()),
-                "windows": pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32))),
-                "lows": pa.ListArray.from_arrays(pa.array(ends), pa.array(least)),
-            }
-        )
+        parts = [unpack(blob) for blob in group.column("body").to_pylist()]
+        low, high, lengths = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        body = b"".join(p[3] for p in parts)
+        string, place, least = bucket_lows(body, lengths, low, high, window)
+        # stretches of windows with one least id
+        head = np.ones(string.size, bool)
+        head[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1) | (least[1:] != least[:-1])
+        at = np.flatnonzero(head)
+        size = np.diff(np.append(at, string.size))
+        ends = np.cumsum(lengths.astype(np.int64))
+        named = [body[a:b] for a, b in zip((ends - lengths)[string[at]].tolist(), ends[string[at]].tolist())]
+        columns = [pa.array(_body_hashes(named), pa.int64()), pa.array([string_key(b) for b in named], pa.binary()), pa.array(place[at], pa.int32()), pa.array(place[at] + size, pa.int32()), pa.array(least[at], pa.int64())]
+        return pa.table(columns, names=["fp", "key", "from", "to", "low"])
 
     return run
 
@@ -210,20 +276,13 @@ def _body_hashes(bodies: list[bytes]) -> np.ndarray:
     return tx.span_hash(sums, ends[:-1], ends[1:]).astype(np.int64)
 
 
-def _name_single():
+def _name_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names of the strings that are one window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = batch.column(0).to_pylist()
-            ends = pa.array(np.arange(len(bodies) + 1, dtype=np.int32))
-            zeros = pa.array(np.zeros(len(bodies), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_body_hashes(bodies), pa.int64()), pa.array([string_key(b) for b in bodies], pa.binary()), pa.ListArray.from_arrays(ends, zeros), pa.ListArray.from_arrays(ends, batch.column(1))],
-                names=["fp", "key", "windows", "lows"],
-            )
-
-    return run
+    for batch in batches:
+        bodies = batch.column(0).to_pylist()
+        n = len(bodies)
+        columns = [pa.array(_body_hashes(bodies), pa.int64()), pa.array([string_key(b) for b in bodies], pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, np.int32)), batch.column(1)]
+        yield pa.RecordBatch.from_arrays(columns, names=["fp", "key", "from", "to", "low"])
 
 
 def _look_up(window: int, gram: int, hot: np.ndarray, bits):
@@ -254,7 +313,7 @@ def hot_minimisers(base: DataFrame, window: int, gram: int, share: int) -> tuple
 
 
 def dropped_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, share: int = HOT_SHARE, bucket: int = BUCKET) -> DataFrame:
-    """(doc, body_key, starts): by id and text, the first words of windows that stand in a document with a smaller id.
+    """(doc, body_key, stretches): by id and text, ranges of first words of windows that stand in a document with a smaller id.
 
     A row without an id has the greatest integer as ``doc``.
     """
@@ -263,18 +322,18 @@ def dropped_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(owner(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(text_col).alias("body_key")).where("text <> ''")
     hot, total = hot_minimisers(base.select("doc", "text"), window, gram, share)
     buckets = max(1, -(-total // bucket))
-    strings = base.select("doc", "text").mapInArrow(_emit(window, gram, hot, buckets), "bucket long, body binary, low long, high long")
-    named = strings.where("bucket is not null").groupBy("bucket").applyInArrow(_settle(window), _NAMED)
+    strings = base.select("doc", "text").mapInArrow(_emit(window, gram, hot, buckets, HELD), "bucket long, body binary, low long, high long")
+    named = strings.where("bucket is not null").select("bucket", "body").groupBy("bucket").applyInArrow(_settle(window), _NAMED)
     if hot.size:
         single = strings.where("bucket is null").groupBy("body").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-        named = named.unionByName(single.select("body", "low").mapInArrow(_name_single(), _NAMED))
+        named = named.unionByName(single.select("body", "low").mapInArrow(_name_single, _NAMED))
     named = written(named, "named-strings")
     bits = spark.sparkContext.broadcast(bitmap_of(named))
     asked = base.mapInArrow(_look_up(window, gram, hot, bits), "key binary, doc long, body_key binary, first int")
-    # windows of a string whose least id is below the document's own
-    starts = F.expr("transform(filter(sequence(0, size(windows) - 1), i -> lows[i] < doc), i -> first + windows[i])")
-    found = asked.join(named.drop("fp"), "key").select("doc", "body_key", starts.alias("starts")).where("size(starts) > 0")
-    return found.groupBy("doc", "body_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
+    # stretches whose least id is below the document's own
+    found = asked.join(named.drop("fp"), "key").where("low < doc")
+    stretch = F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to")).alias("to"))
+    return found.select("doc", "body_key", stretch.alias("stretch")).groupBy("doc", "body_key").agg(F.collect_list("stretch").alias("stretches"))
 
 
 def owner(id_col: str):
@@ -285,13 +344,20 @@ def text_key(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def _kept(text: str, starts: list[int], window: int) -> tuple[int, int, bytes]:
-    """Words of a text, dropped ones among them, and the rest joined by blanks."""
-    block = next(tx.blocks(pa.array([text], pa.string())))
+def _kept(block: tx.Block, stretches: list, window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of a block's documents: words, dropped ones among them, and the rest joined by blanks."""
     w = tx.words(block, block.data, tx.SPACED)
-    gone = tx.covered(np.asarray(starts, np.int64), window, w.start.size)
-    body = block.data.tobytes()
-    return w.start.size, int(gone.sum()), b" ".join(body[a:b] for a, b in zip(w.start[~gone].tolist(), w.end[~gone].tolist()))
+    edge = np.zeros(w.start.size + 1, np.int64)
+    for d, own in enumerate(stretches):
+        for s in own or ():
+            edge[w.bounds[d] + s["from"]] += 1
+            edge[w.bounds[d] + s["to"] + window - 1] -= 1
+    gone = np.cumsum(edge[:-1]) > 0
+    packed, at = packed_words(block.data, w, ~gone)
+    left = np.append(0, np.cumsum(~gone))[w.bounds]
+    body = packed.tobytes()
+    rest = [body[a: b - 1] if b > a else b"" for a, b in zip(at[left[:-1]].tolist(), at[left[1:]].tolist())]
+    return w.counts, tx.per_document(gone, w.bounds), rest
 
 
 def drop_repeated_windows(
@@ -308,15 +374,18 @@ def drop_repeated_windows(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that surely lose nothing are done here; only the others travel."""
         for batch in batches:
-            maybe = in_bitmap(bits.value, np.asarray(batch.column(0)).astype(np.uint64)).tolist()
-            texts = batch.column(4).to_pylist()
-            done = [None if m else _kept(t, [], window) for m, t in zip(maybe, texts)]
+            maybe = in_bitmap(bits.value, np.asarray(batch.column(0)).astype(np.uint64))
+            texts = batch.column(4)
+            travel = pc.if_else(pa.array(maybe), texts, pa.scalar(None, texts.type))
+            here = pc.if_else(pa.array(maybe), pa.scalar(None, texts.type), texts)
+            words, digests, kept = [], [], []
+            for block in tx.blocks(here):
+                counts, _, rest = _kept(block, [], window)
+                words += counts.tolist()
+                digests += [hashlib.sha256(b).hexdigest() for b in rest]
+                kept += [b.decode() for b in rest] if keep_text else [None] * len(rest)
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[1:4], pa.array([t if d is None else None for t, d in zip(texts, done)], pa.string()),
-                    pa.array([d and d[0] for d in done], pa.int64()), pa.array([d and hashlib.sha256(d[2]).hexdigest() for d in done], pa.string()),
-                    pa.array([d[2].decode() if d and keep_text else None for d in done], pa.string()),
-                ],
+                [*batch.columns[1:4], travel, pa.array(words, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())],
                 names=["doc", "own", "body_key", "text", "n_words", "digest", "kept"],
             )
 
@@ -325,21 +394,20 @@ def drop_repeated_windows(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in range(1, 6)))
-            words, gone, digests, kept = [], [], [], []
-            for text, n, digest, rest, starts in rows:
-                dropped = 0
-                if text is not None:
-                    n, dropped, body = _kept(text, starts or [], window)
-                    digest, rest = hashlib.sha256(body).hexdigest(), body.decode() if keep_text else None
-                words.append(n)
-                gone.append(dropped)
-                digests.append(digest)
-                kept.append(rest)
+            done = pc.is_null(batch.column(1)).to_pylist()
+            words, digests, kept = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            stretches, gone = batch.column(5).to_pylist(), [0] * len(done)
+            for block in tx.blocks(batch.column(1)):
+                counts, dropped, rest = _kept(block, stretches[block.first: block.first + block.size], window)
+                for d, body in enumerate(rest):
+                    k = block.first + d
+                    if not done[k]:
+                        words[k], gone[k], digests[k] = int(counts[d]), int(dropped[d]), hashlib.sha256(body).hexdigest()
+                        kept[k] = body.decode() if keep_text else None
             columns = [batch.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_words", "n_removed", "kept_sha256", "kept"])
 
     renamed = found.withColumnRenamed("doc", "own")
-    joined = first.join(renamed, ["own", "body_key"], "left").select("doc", "text", "n_words", "digest", "kept", "starts")
+    joined = first.join(renamed, ["own", "body_key"], "left").select("doc", "text", "n_words", "digest", "kept", "stretches")
     out = joined.mapInArrow(cut, f"doc {kind}, n_words long, n_removed long, kept_sha256 string, kept string").withColumnRenamed("doc", id_col)
     return out if keep_text else out.drop("kept")
