@@ -344,14 +344,15 @@ def text_key(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def _kept(block: tx.Block, stretches: list, window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _kept(block: tx.Block, stretches: pa.Array | None, window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Of a block's documents: words, dropped ones among them, and the rest joined by blanks."""
     w = tx.words(block, block.data, tx.SPACED)
     edge = np.zeros(w.start.size + 1, np.int64)
-    for d, own in enumerate(stretches):
-        for s in own or ():
-            edge[w.bounds[d] + s["from"]] += 1
-            edge[w.bounds[d] + s["to"] + window - 1] -= 1
+    if stretches is not None:
+        lengths = np.asarray(pc.list_value_length(stretches).fill_null(0))
+        flat, begin = pc.list_flatten(stretches), np.repeat(w.bounds[:-1], lengths)
+        np.add.at(edge, begin + np.asarray(pc.struct_field(flat, "from")), 1)
+        np.add.at(edge, begin + np.asarray(pc.struct_field(flat, "to")) + window - 1, -1)
     gone = np.cumsum(edge[:-1]) > 0
     packed, at = packed_words(block.data, w, ~gone)
     left = np.append(0, np.cumsum(~gone))[w.bounds]
@@ -380,7 +381,7 @@ def drop_repeated_windows(
             here = pc.if_else(pa.array(maybe), pa.scalar(None, texts.type), texts)
             words, digests, kept = [], [], []
             for block in tx.blocks(here):
-                counts, _, rest = _kept(block, [], window)
+                counts, _, rest = _kept(block, None, window)
                 words += counts.tolist()
                 digests += [hashlib.sha256(b).hexdigest() for b in rest]
                 kept += [b.decode() for b in rest] if keep_text else [None] * len(rest)
@@ -396,9 +397,9 @@ def drop_repeated_windows(
         for batch in batches:
             done = pc.is_null(batch.column(1)).to_pylist()
             words, digests, kept = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            stretches, gone = batch.column(5).to_pylist(), [0] * len(done)
+            gone = [0] * len(done)
             for block in tx.blocks(batch.column(1)):
-                counts, dropped, rest = _kept(block, stretches[block.first: block.first + block.size], window)
+                counts, dropped, rest = _kept(block, batch.column(5).slice(block.first, block.size), window)
                 for d, body in enumerate(rest):
                     k = block.first + d
                     if not done[k]:
