@@ -1,13 +1,14 @@
 """Loading: merges in any order, versions, page batches, titles, cards."""
 
 import datetime as dt
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, titles
-from tideline.operators import events, facts, games, marts
+from tideline.operators import events, facts, games, marts, paging
 from tideline.sources import dims, files, raw
 from tideline.streaming import reviews as stream
 
@@ -67,18 +68,32 @@ def test_version_boundaries_are_half_open(spark):
     assert [r.game_sk for r in out] == [-1, 1, 2, -1]
 
 
-def test_batches_never_split_a_page(spark):
-    rng = random.Random(2)
-    rows = [(T0 + dt.timedelta(seconds=rng.choice([1, 60, 90_000]) * p, microseconds=p % 3), i)
-            for p in range(40) for i in range(rng.randint(1, 9))]
-    df = spark.createDataFrame(rows, "fetched_at timestamp, id int")
-    pages = facts.page_batches(df, 10).orderBy("fetched_at").collect()
-    total = 0
-    for p in pages:
-        assert p.batch == total // 10
-        total += p.page_rows
-        assert p.page_end == total
-    assert total == len(rows) and len({p.fetched_at for p in pages}) == len(pages)
+def cut_one_by_one(sizes, size):
+    """Batch of each page, by going through the pages: a batch ends with the page of row first + size."""
+    total, ends, out = sum(sizes), list(itertools.accumulate(sizes)), []
+    first, batch, last = 0, 0, 0
+    for end in ends:
+        if end > last:
+            first, batch = last, batch + (last > 0)
+            last = total if first + size >= total else next(e for e in ends if e >= first + size)
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("size, largest", [(1, 9), (10, 9), (10, 60), (7, 1), (1000, 9), (199, 30)])
+def test_batches_end_with_the_page_that_fills_them(spark, size, largest):
+    rng = random.Random(size + largest)
+    sizes = [rng.randint(1, largest) for _ in range(120)]
+    at = [T0 + dt.timedelta(seconds=90_000 * (p // 50) + p // 3, microseconds=p % 3) for p in range(len(sizes))]
+    df = spark.createDataFrame([(t, i) for t, n in zip(at, sizes) for i in range(n)], "fetched_at timestamp, id int")
+    pages = paging.page_batches(df, size).orderBy("fetched_at").collect()
+    assert [p.page_rows for p in pages] == sizes
+    assert [p.page_end for p in pages] == list(itertools.accumulate(sizes))
+    assert [p.batch for p in pages] == cut_one_by_one(sizes, size)
+
+
+def test_batches_of_an_empty_table(spark):
+    assert paging.page_batches(spark.createDataFrame([], "fetched_at timestamp, id int"), 10).collect() == []
 
 
 def test_incremental_marks_are_strict_and_per_product(spark):

@@ -183,47 +183,6 @@ def new_records(batch: DataFrame, store: DataFrame, key: str, page: str | None =
     )
 
 
-def page_batches(reviews: DataFrame, size: int) -> DataFrame:
-    """Batch number of each page in load order; a batch never splits a page.
-
-    Rows are counted per page first. The running total over all pages is then built from sums
-    at three grains (day, second, page), so no window partition is larger than the seconds of a
-    day or the microseconds of a second, whatever the volume.
-    """
-    pages = (
-        reviews.groupBy("fetched_at").agg(F.count("*").alias("page_rows"))
-        .withColumn("_day", F.to_date("fetched_at"))
-        .withColumn("_second", F.unix_seconds("fetched_at"))
-    )
-    seconds = pages.groupBy("_day", "_second").agg(F.sum("page_rows").alias("n"))
-    days = seconds.groupBy("_day").agg(F.sum("n").alias("n"))
-
-    def before(window):
-        return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    day_start = days.select("_day", before(Window.partitionBy(F.lit(0)).orderBy("_day")).alias("_days_before"))
-    second_start = seconds.select(
-        "_day", "_second", before(Window.partitionBy("_day").orderBy("_second")).alias("_seconds_before"))
-    within = Window.partitionBy("_second").orderBy("fetched_at").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        pages.withColumn("_upto", F.sum("page_rows").over(within))
-        .join(second_start, ["_day", "_second"])
-        .join(day_start, "_day")
-    )
-    page_end = F.col("_days_before") + F.col("_seconds_before") + F.col("_upto")
-    first = page_end - F.col("page_rows")
-    return numbered.select(
-        "fetched_at", "page_rows", page_end.alias("page_end"),
-        F.floor(first / F.lit(size)).cast("bigint").alias("batch"),
-    )
-
-
-def review_batches(reviews: DataFrame, size: int) -> DataFrame:
-    """The newest copy of each review with the batch of its page; copies that are not loaded do not count."""
-    newest = latest_per_key(reviews, ["recommendation_id"], [F.desc("fetched_at"), F.desc("raw_id")])
-    return newest.join(page_batches(newest, size).select("fetched_at", "batch"), "fetched_at")
-
-
 def depth_stop(pages: DataFrame, days_of_history: int) -> DataFrame:
     """Per product: history held by the pages, and the page on which it crosses the wanted depth.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, numbers, text, titles
-from tideline.operators import facts, games, quality
+from tideline.operators import facts, games, paging, quality
 from tideline.plans.catalog import query
 from tideline.plans.frames import BODY, TITLE, duck
 from tideline.session import scratch_path, written
@@ -377,12 +377,21 @@ def _(t):
 BATCH = 1000
 
 
-@query("page_aligned_batches", "p_review", sql=f"""
-    SELECT fetched_at, page_rows, CAST(upto AS BIGINT) AS page_end, CAST((upto - page_rows) // {BATCH} AS BIGINT) AS batch FROM (
-        SELECT fetched_at, page_rows, sum(page_rows) OVER (ORDER BY fetched_at) AS upto FROM (
-            SELECT fetched_at, count(*) AS page_rows FROM p_review GROUP BY 1))""")
+def _batches_sql(pages: str) -> str:
+    """Batches one behind the other, each to the end of the page that holds its first row plus ``BATCH``."""
+    return f"""RECURSIVE
+    placed AS (SELECT fetched_at, page_rows, CAST(sum(page_rows) OVER (ORDER BY fetched_at) AS BIGINT) AS page_end, CAST(sum(page_rows) OVER () AS BIGINT) AS total FROM ({pages})),
+    cut(batch, first, last, total) AS (
+        SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), coalesce(min(page_end) FILTER (page_end >= {BATCH}), max(total)), max(total) FROM placed
+        UNION ALL
+        SELECT c.batch + 1, c.last, coalesce(min(p.page_end), c.total), c.total
+        FROM cut c LEFT JOIN placed p ON p.page_end >= c.last + {BATCH} WHERE c.last < c.total GROUP BY c.batch, c.last, c.total),
+    numbered AS (SELECT fetched_at, page_rows, page_end, batch FROM placed JOIN cut ON page_end > first AND page_end <= last)"""
+
+
+@query("page_aligned_batches", "p_review", sql=f"""SELECT * FROM (WITH {_batches_sql("SELECT fetched_at, count(*) AS page_rows FROM p_review GROUP BY 1")} SELECT * FROM numbered)""")
 def _(t):
-    return facts.page_batches(t.reviews, BATCH).withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+    return paging.page_batches(t.reviews, BATCH).withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
 
 
 MARKS = "SELECT app_id, max(fetched_at) AS loaded_from FROM p_review WHERE app_id <> 3 AND created_at < TIMESTAMP '1997-01-01' + to_days(app_id * 200) GROUP BY 1"
@@ -489,11 +498,10 @@ def _(t):
         "comment_count", "playtime_at_review_min", "steam_purchase", _ntz("loaded_from"), "review_body")
 
 
-@query("review_batches", "p_review", sql=f"""SELECT * FROM (WITH newest AS ({NEWEST.format(where='')}), pages AS (SELECT fetched_at, count(*) AS n FROM newest GROUP BY 1)
-    SELECT recommendation_id, raw_id, CAST(start // {BATCH} AS BIGINT) AS batch
-    FROM newest JOIN (SELECT fetched_at, sum(n) OVER (ORDER BY fetched_at) - n AS start FROM pages) USING (fetched_at))""")
+@query("review_batches", "p_review", sql=f"""SELECT * FROM (WITH {_batches_sql("SELECT fetched_at, count(*) AS page_rows FROM (" + NEWEST.format(where="") + ") GROUP BY 1")}
+    SELECT recommendation_id, raw_id, batch FROM ({NEWEST.format(where='')}) JOIN numbered USING (fetched_at))""")
 def _(t):
-    return facts.review_batches(t.reviews, BATCH).select("recommendation_id", "raw_id", "batch")
+    return paging.review_batches(t.reviews, BATCH).select("recommendation_id", "raw_id", "batch")
 
 
 PLATFORM_ITEM = """CASE CAST(o_custkey % 6 AS INT) WHEN 0 THEN 'The Steam Awards are open' WHEN 1 THEN 'Summer Sale starts' WHEN 2 THEN 'Lunar New Year Steam Sale'
