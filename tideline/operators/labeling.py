@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.numbers import half_up, stable_key
 from tideline.functions.text import strip_all, text_hash
+from tideline.operators.ledger import Ledger, answered, ask
 from tideline.operators.marts import OVERALL, SIGNS
 
 MAX_ASPECTS = 5
@@ -20,28 +21,22 @@ ASPECT_ARRAY = "array<struct<id:string,sentiment:string,note:string>>"
 ELEMENTS = f"array<struct<pos:int,n:int,problem:string,aspects:{ASPECT_ARRAY}>>"
 
 
-def label_infer(batches: DataFrame, labeler: Callable[[str], tuple], keys: tuple = ("app_id", "batch")) -> DataFrame:
+def label_infer(batches: DataFrame, labeler: Callable[[str], tuple], keys: tuple = ("app_id", "batch"), ledger: Ledger | None = None) -> DataFrame:
     """Sends each batch text to ``labeler``; a failed call gives a null answer.
 
     ``labeler`` maps a text to (answer, finish reason) or (answer, finish reason, usage), where usage
-    holds prompt_tokens and completion_tokens. Write the result before using it twice: the calls
-    leave the cluster and are paid for.
+    holds prompt_tokens and completion_tokens. The calls leave the cluster and are paid for: with a ``ledger`` each prompt
+    is asked once, whatever tasks fail; without one, write the result before using it twice.
     """
+    if ledger is not None:
+        return answered(batches, labeler, keys, ledger).drop("asked")
     fields = {f.name: f.dataType.simpleString() for f in batches.schema.fields}
     schema = ", ".join(f"{k} {fields[k]}" for k in keys) + (
         ", size int, content string, finish string, prompt_tokens bigint, completion_tokens bigint")
 
-    def one(text: str) -> tuple:
-        try:
-            content, finish, *usage = labeler(text)
-            spent = usage[0] if usage else {}
-            return content, finish, spent.get("prompt_tokens"), spent.get("completion_tokens")
-        except Exception as problem:  # whatever a caller's function raises: a repeated task would pay again
-            return None, f"error: {type(problem).__name__}", None, None
-
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = [one(text) for text in frame["prompt"]]
+            answers = [ask(labeler, text) for text in frame["prompt"]]
             out = frame[[*keys, "size"]].copy()
             out["content"] = [a[0] for a in answers]
             out["finish"] = [a[1] for a in answers]
@@ -157,26 +152,27 @@ def label_status(aspects: Column) -> Column:
     return F.when(aspects.isNull(), "failed").when(F.size(aspects) == 0, "no_opinion").otherwise("labeled")
 
 
-def label_run(rows: DataFrame, batches: DataFrame, labeler: Callable, allowed: list[str]) -> DataFrame:
+def label_run(rows: DataFrame, batches: DataFrame, labeler: Callable, allowed: list[str], ledger: Ledger | None = None) -> DataFrame:
     """The labels of ``label_run_calls`` alone."""
-    return label_run_calls(rows, batches, labeler, allowed)[0]
+    return label_run_calls(rows, batches, labeler, allowed, ledger)[0]
 
 
-def label_run_calls(rows: DataFrame, batches: DataFrame, labeler: Callable, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+def label_run_calls(rows: DataFrame, batches: DataFrame, labeler: Callable, allowed: list[str], ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame]:
     """Labels every batch, then retries what failed one review at a time. ``rows`` is ``planning.batch_rows``.
 
-    Returns the labels and the calls with what they spent. A cut answer fails its whole batch.
+    Returns the labels and the calls with what they spent. A cut answer fails its whole batch. A run that is started again
+    with its ``ledger`` asks only what it has no answer to yet.
     """
     from tideline.session import written
 
     keys = ("app_id", "batch", "n")
-    whole = written(label_infer(batches, labeler), "answers")
+    whole = written(label_infer(batches, labeler, ledger=ledger), "answers")
     first = label_parse(whole_answers(whole), allowed)
     again = rows.join(first.filter("status = 'failed'").select(*keys), [*keys], "left_semi")
     singles = again.select(
         *keys, F.lit(1).alias("size"),
         F.concat(F.lit('<review n="1">'), F.coalesce("review_body", F.lit("")), F.lit("</review>")).alias("prompt"))
-    answers = written(label_infer(singles, labeler, keys), "retries")
+    answers = written(label_infer(singles, labeler, keys, ledger), "retries")
     # the single review of a retry is number 1 of its own answer; its place in the batch is kept aside
     second = label_parse(whole_answers(answers).withColumnRenamed("n", "place"), allowed, ("app_id", "batch", "place")).drop("n")
     done = first.filter("status <> 'failed'").select(*keys, "status", "aspects")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tideline.functions.numbers import half_up
 from tideline.operators import labeling, planning
+from tideline.operators.ledger import Ledger, answered
 from tideline.plans.catalog import query
 from tideline.plans.frames import with_ctes
-from tideline.session import written
+from tideline.session import scratch_path, written
 
 CONFIG = 1
 LIMIT, SPIKE, LEAST = 2, 4, 3
@@ -227,6 +228,25 @@ def _(t):
         F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
 
 
+@query("label_ledger", sql=f"""SELECT * FROM (WITH x AS (SELECT *, concat('<review n="', CAST(n AS VARCHAR), '">', text, '</review>') AS marked FROM ({TODO})),
+    b AS (SELECT app_id, batch, string_agg(marked, chr(10) ORDER BY n) AS prompt FROM x GROUP BY 1, 2),
+    p AS (SELECT prompt, min(app_id) AS app_id FROM b GROUP BY 1)
+    SELECT run, app_id, count(*) AS batches, count(*) FILTER (asked) AS asked, CAST(sum(CASE WHEN pays THEN length(prompt) END) AS BIGINT) AS prompt_tokens FROM (
+        SELECT 1 AS run, b.app_id, b.prompt, b.app_id <= 2 AND pays AS asked, pays FROM (SELECT app_id, prompt, row_number() OVER (PARTITION BY prompt ORDER BY app_id, batch) = 1 AS pays FROM b WHERE app_id <= 2) b
+        UNION ALL SELECT 2, b.app_id, b.prompt, pays AND (SELECT min(q.app_id) FROM p q WHERE q.prompt = b.prompt) > 2, pays
+        FROM (SELECT app_id, prompt, row_number() OVER (PARTITION BY prompt ORDER BY app_id, batch) = 1 AS pays FROM b) b)
+    GROUP BY ALL)""")
+def _(t):
+    # a run that stopped after two of the products, and the same run started again over all of them
+    rows = written(todo(t), "todo")
+    batches = planning.label_batches(rows)
+    book = Ledger(scratch_path(t.spark, "ledger"), "run-1")
+    keys = ("app_id", "batch")
+    out = [written(answered(part, metered_labeler(), keys, book), "run").withColumn("run", F.lit(k + 1)) for k, part in enumerate((batches.where("app_id <= 2"), batches))]
+    return out[0].unionByName(out[1]).groupBy("run", "app_id").agg(
+        F.count("*").alias("batches"), F.count_if("asked").alias("asked"), F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
 def answers(t):
     """Answers of ten reviews each, built from the line items, with the faults models make."""
     line = t.table("lineitem")
