@@ -9,9 +9,14 @@ stored reviews are never rewritten for a batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.operators.facts import IMMUTABLE, MUTABLE, latest_per_key, scd2_lookup
 from tideline.sources.raw import RAW_SCHEMAS, explode_reviews
@@ -73,37 +78,120 @@ def current_reviews(log: DataFrame, key: str = "recommendation_id") -> DataFrame
     ).select(key, *[f"_first.{c}" for c in first], *[f"_last.{c}" for c in last])
 
 
-def stream_review_daily(reviews: DataFrame, log: str, target: str, checkpoint: str) -> StreamingQuery:
+#: a day's reviews are dealt over so many states, so that none holds all of a busy day
+STATES = 16
+#: the newest vote of each review of a state, by rising id: three arrays of numbers
+_VOTES = "ids binary, fetched binary, votes binary"
+_VOTE = "recommendation_id bigint, app_id int, day date, voted_up boolean, fetched_at timestamp"
+_CORRECTION = f"app_id int, day date, review_count bigint, positive_count bigint, {_VOTES}"
+
+
+def _newest(ids: np.ndarray, fetched: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One vote a review, the one fetched last; of several fetched at once a positive one."""
+    order = np.lexsort((votes, fetched, ids))
+    last = np.append(ids[order[1:]] != ids[order[:-1]], True) if order.size else np.zeros(0, bool)
+    return tuple(x[order[last]] for x in (ids, fetched, votes))
+
+
+def _packed(ids: np.ndarray, fetched: np.ndarray, votes: np.ndarray) -> tuple[bytes, ...]:
+    return ids.astype("<i8").tobytes(), fetched.astype("<i8").tobytes(), votes.astype("u1").tobytes()
+
+
+def _unpacked(ids: bytes, fetched: bytes, votes: bytes) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(ids, "<i8"), np.frombuffer(fetched, "<i8"), np.frombuffer(votes, "u1").astype(bool)
+
+
+def correct(known: tuple[np.ndarray, ...], new: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], int, int]:
+    """Votes after newer copies came, the votes that are new or changed, and what reviews and positive ones they add."""
+    place = np.searchsorted(known[0], new[0])
+    at = np.minimum(place, max(known[0].size - 1, 0))
+    old = (known[0][at] == new[0]) if known[0].size else np.zeros(new[0].size, bool)
+    taken = ~old
+    taken[old] = new[1][old] >= known[1][at[old]]
+    positive = int(new[2][taken].sum()) - int(known[2][at[taken & old]].sum())
+    new = tuple(x[taken] for x in new)
+    kept = np.ones(known[0].size, bool)
+    kept[at[taken & old]] = False
+    after = tuple(np.concatenate([k[kept], n]) for k, n in zip(known, new))
+    order = np.argsort(after[0], kind="stable")
+    return tuple(x[order] for x in after), new, int((taken & ~old).sum()), positive
+
+
+def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Brings one state up to date; leaves what its day gains or loses, and the votes behind it."""
+    rows = pd.concat(list(frames))
+    known = _unpacked(*state.get) if state.exists else _unpacked(b"", b"", b"")
+    fetched = rows["fetched_at"].to_numpy().astype("datetime64[us]").astype(np.int64)
+    columns = (rows["recommendation_id"].to_numpy().astype(np.int64), fetched, rows["voted_up"].to_numpy().astype(bool))
+    seed = rows["seeded"].to_numpy().astype(bool)
+    # what earlier runs have counted is known, and not counted again
+    known = correct(known, _newest(*(c[seed] for c in columns)))[0]
+    known, changed, reviews, positive = correct(known, _newest(*(c[~seed] for c in columns)))
+    state.update(_packed(*known))
+    if changed[0].size:
+        yield pd.DataFrame([(key[0], key[1], reviews, positive, *_packed(*changed))], columns=["app_id", "day", "review_count", "positive_count", "ids", "fetched", "votes"])
+
+
+def stream_review_daily(reviews: DataFrame, log: str, target: str, checkpoint: str, states: int = STATES) -> StreamingQuery:
     """Keeps daily counts of a stream of reviews right, however late, repeated or out of order they come.
 
-    ``reviews`` has recommendation_id, app_id, created_at, voted_up and fetched_at. Every batch is logged by day, and
-    the days it touches are counted anew from the newest copy of each of their reviews; other days are not read.
+    ``reviews`` has recommendation_id, app_id, created_at, voted_up and fetched_at, and a review stays on its day. The newest
+    votes are Spark's keyed state, ``states`` keys a product and day; a batch meets the states of its own reviews and
+    adds the corrections to their days, so it reads nothing of the batches before it. Corrections are logged with the votes
+    behind them: a run with a fresh checkpoint begins with the votes that earlier runs have logged.
     """
+    spark = reviews.sparkSession
+    votes = reviews.select(
+        "recommendation_id", F.col("app_id").cast("int"), F.to_date("created_at").alias("day"), "voted_up", F.col("fetched_at").cast("timestamp"), F.lit(False).alias("seeded"))
+    seed = f"{checkpoint.rstrip('/')}.seed"
+    if not _known(spark, f"{checkpoint}/metadata"):
+        _logged_votes(spark, log).write.mode("overwrite").parquet(seed)
+    seeded = spark.readStream.schema(_VOTE).parquet(seed).withColumn("seeded", F.lit(True))
+    rows = votes.unionByName(seeded).where("day is not null").withColumn("part", F.pmod(F.hash("recommendation_id"), F.lit(states)))
+    corrections = rows.groupBy("app_id", "day", "part").applyInPandasWithState(_follow, _CORRECTION, _VOTES, "update", GroupStateTimeout.NoTimeout)
+    runs: list[str] = []
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        run = run_id(spark, checkpoint)
-        folder = f"{log}/run={run}/batch={batch_id}"
-        batch.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(folder)
-        logged = spark.read.option("basePath", log).parquet(log)
-        days = spark.read.parquet(folder).select("day").distinct()
-        touched = spark.read.parquet(folder).select("app_id", "day").distinct()
-        newest = F.struct("fetched_at", "run", "batch")
-        state = logged.join(days, "day", "left_semi").groupBy("app_id", "day", "recommendation_id").agg(F.max_by("voted_up", newest).alias("voted_up"))
-        counts = state.join(touched, ["app_id", "day"], "left_semi").groupBy("app_id", "day").agg(
-            F.count("*").alias("review_count"), F.count_if("voted_up").alias("positive_count"))
-        counts.withColumn("counted_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/run={run}/batch={batch_id}")
+        session = batch.sparkSession
+        # the id of a checkpoint stays, so it is read once
+        runs[:] = runs or [run_id(session, checkpoint)]
+        folder = f"run={runs[0]}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(f"{log}/{folder}")
+        sums = session.read.schema(_CORRECTION).parquet(f"{log}/{folder}").select("app_id", "day", "review_count", "positive_count")
+        sums.write.mode("overwrite").parquet(f"{target}/{folder}")
 
     return (
-        reviews.writeStream.foreachBatch(land)
+        corrections.writeStream.foreachBatch(land)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _known(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, wherever Spark reads it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _logged_votes(spark: SparkSession, log: str) -> DataFrame:
+    """Newest vote of each review in the logs of all runs."""
+    if not _known(spark, log):
+        return spark.createDataFrame([], _VOTE)
+
+    def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for app, day, *block in zip(*(frame[c] for c in ("app_id", "day", "ids", "fetched", "votes"))):
+                ids, fetched, up = _unpacked(*block)
+                yield pd.DataFrame({"recommendation_id": ids, "app_id": app, "day": day, "voted_up": up, "fetched_at": fetched.astype("datetime64[us]")})
+
+    logged = spark.read.parquet(log).select("app_id", "day", "ids", "fetched", "votes").mapInPandas(votes, _VOTE)
+    newest = F.max_by("voted_up", F.struct("fetched_at", "voted_up"))
+    return logged.groupBy("recommendation_id", "app_id", "day").agg(newest.alias("voted_up"), F.max("fetched_at").alias("fetched_at"))
+
+
 def read_daily(spark: SparkSession, target: str) -> DataFrame:
-    """Newest counts of each day."""
-    newest = F.struct("counted_at", "batch")
+    """Counts of each day that has reviews: the sums of all corrections."""
     return spark.read.parquet(target).groupBy("app_id", "day").agg(
-        F.max_by("review_count", newest).alias("review_count"), F.max_by("positive_count", newest).alias("positive_count"))
+        F.sum("review_count").alias("review_count"), F.sum("positive_count").alias("positive_count")).where("review_count > 0")
