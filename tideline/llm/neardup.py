@@ -191,30 +191,31 @@ def central_links(groups: DataFrame, percent: int) -> DataFrame:
     return linked.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def open_links(groups: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def open_links(groups: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across components between the nodes around one centre.
 
-    Two sets differ in what they have apart from the centre, less what they have apart from it in common; so the small
-    differences decide, exactly. One side of every pair is outside the centre's component. Sizes, reaches and the
-    numbers of shingles apart rule most pairs out before their differences are compared.
+    A component one of whose nodes is linked to the centre has joined it. Two sets differ in what they have apart from the
+    centre, less what they have apart from it in common; so the small differences decide, exactly. One side of every pair
+    has not joined. Sizes, reaches and the numbers of shingles apart rule most pairs out before their differences
+    are compared.
     """
-    labelled = groups.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    centres = labelled.where("node = centre").select("centre", F.col("component").alias("home"))
-    floors = labelled.groupBy("centre").agg(
-        F.min(F.when(F.col("alive"), F.col("size"))).alias("floor"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low < high")
-    kept = labelled.join(floors, "centre").where("alive or reach >= floor").join(centres, "centre")
-    kept = written(kept.select("centre", "home", "node", "component", "size", "reach", "alive", "apart", F.size("apart").alias("n")), "open-members")
-    columns = ("node", "component", "size", "reach", "alive", "apart", "n")
-    one = kept.where("component <> home").select("centre", *[F.col(c).alias(f"{c}_a") for c in columns])
-    two = kept.select("centre", "home", *[F.col(c).alias(f"{c}_b") for c in columns])
+    both_sizes = F.col("size") + F.col("centre_size")
+    linked = (F.col("node") == F.col("centre")) | _enough(both_sizes - F.size("apart"), both_sizes, percent)
+    joined = groups.groupBy("centre", "component").agg(F.bool_or(linked).alias("joined"), F.min(F.when(F.col("alive"), F.col("size"))).alias("least"))
+    # groups all of whose components have joined are done
+    floors = joined.groupBy("centre").agg(F.min("least").alias("floor"), F.bool_and("joined").alias("done")).where("not done").select("centre", "floor")
+    kept = groups.join(joined.drop("least").join(floors, "centre"), ["centre", "component"]).where("alive or reach >= floor")
+    kept = written(kept.select("centre", "joined", "node", "component", "size", "reach", "alive", "apart", F.size("apart").alias("n")), "open-members")
+    columns = ("joined", "node", "component", "size", "reach", "alive", "apart", "n")
+    one = kept.where("not joined").select("centre", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = kept.select("centre", *[F.col(c).alias(f"{c}_b") for c in columns])
     sizes = F.col("size_a") + F.col("size_b")
     inside = sizes - F.col("n_a") - F.col("n_b")
     return (
         one.join(
             two,
-            (one["centre"] == two["centre"]) & (F.col("component_a") != F.col("component_b"))
-            & ((F.col("component_b") == F.col("home")) | (F.col("node_a") < F.col("node_b")))
+            (one["centre"] == two["centre"])
+            & (F.col("joined_b") | ((F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))))
             & (F.col("alive_a") | F.col("alive_b")) & (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a"))
             & _enough(inside + 2 * F.least("n_a", "n_b"), sizes, percent)
             & _enough(inside + 2 * F.size(F.array_intersect("apart_a", "apart_b")), sizes, percent),
@@ -242,14 +243,10 @@ def near_duplicates(
     pairs = members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = written(confirmed(pairs, sets, percent), "links")
     found = components(links)
-    # buckets that still hold several components meet the node most like the others
+    # buckets that still hold several components meet the node most like the others, then what is still open: all pairs
     groups = written(around_centres(open_members(members.drop("least"), found, sets, percent), sets), "groups")
-    links = links.unionByName(written(central_links(groups, percent), "links"))
-    found = components(links)
-    # what is still open: all pairs across components
-    more = written(open_links(groups, found, percent), "links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    more = open_links(groups, percent).unionByName(central_links(groups, percent))
+    found = components(links.unionByName(more))
     linked = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     # a text without words belongs to no class; its own id as a key spreads such rows over the tasks
     by = F.when(F.col("n_shingles") > 0, F.col("digest")).otherwise(F.col("doc").cast("string").cast("binary"))
