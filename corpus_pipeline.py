@@ -26,16 +26,35 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
 
 
+def with_text_ids(docs: DataFrame, name: str) -> DataFrame:
+    """Adds a number for each id and text: the id itself, but numbers above all ids for the further texts of one id."""
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    own = docs.select("doc_id", digest.alias("digest")).where("doc_id is not null")
+    several = own.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last")
+    further = own.join(several.select("doc_id", "first"), "doc_id").where("digest <> first").select("doc_id", "digest").distinct()
+    # numbered once and written, so that a number means the same text everywhere
+    further = written(further.withColumn("place", F.monotonically_increasing_id()), "further-texts")
+    most = docs.agg(F.max("doc_id").alias("most")).first().most
+    same = (docs["doc_id"] == further["doc_id"]) & (digest == further["digest"])
+    number = F.coalesce(F.lit(most) + 1 + F.col("place"), docs["doc_id"])
+    return docs.join(further, same, "left").select(*[docs[c] for c in docs.columns], number.cast("long").alias(name))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id, and of rows with one id one row.
+    """One document of each group of near duplicates, the one with the least id, and of equal rows one row.
 
-    Rows without an id are in no group and all stay.
+    Rows that share an id but not their text are documents of their own, each kept or dropped by its own text. Rows without
+    an id are in no group and all stay.
     """
-    kept = near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, collections=COLLECTIONS).where("kept and doc_id is not null").select("doc_id").distinct()
-    # of repeated rows the least in the order of all their columns
-    rest = [c for c in docs.columns if c != "doc_id"]
-    first = docs.join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    name = "text_id"
+    while name in docs.columns:
+        name += "_"
+    numbered = with_text_ids(docs, name)
+    found = near_duplicates(numbered, id_col=name, shingle=SHINGLE, percent=PERCENT, collections=COLLECTIONS)
+    kept = found.where("kept").where(F.col(name).isNotNull()).select(name).distinct()
+    # of rows with one id and text the least in the order of all their columns
+    first = numbered.join(kept, name).groupBy(name).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return first.unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
