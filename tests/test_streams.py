@@ -1,12 +1,16 @@
 """Streams: keyed state of the daily counts, and what a batch reads."""
 
 import datetime as dt
+import json
 import random
 
 import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tideline.session import scratch_path
+from tideline.sources import raw
 from tideline.streaming import reviews as stream
 
 SCHEMA = "recommendation_id long, app_id int, created_at timestamp, voted_up boolean, fetched_at timestamp"
@@ -71,3 +75,68 @@ def test_corrections_of_one_state():
     nothing = tuple(x[:0] for x in known)
     assert stream.correct(nothing, nothing)[2:] == (0, 0)
     assert stream.correct(nothing, new)[2:] == (4, 2)
+
+
+def review_page(raw_id, fetched, votes, ids, language="english"):
+    reviews = [{"recommendationid": str(i), "language": language, "review": f"text {raw_id}", "timestamp_created": 1700000000 + i, "voted_up": i % 2 == 0,
+                "votes_up": votes, "author": {"steamid": str(i)}} for i in ids]
+    return raw_id, 1, "*", fetched, json.dumps({"cursor": "x", "reviews": reviews})
+
+
+def collect_pages(spark, base, pages, checkpoint="checkpoint"):
+    dim = spark.createDataFrame([(5, 1, dt.datetime(2000, 1, 1), dt.datetime(2099, 1, 1))], "game_sk int, app_id int, valid_from timestamp, valid_to timestamp")
+    languages = spark.createDataFrame([(3, "english")], "language_sk int, language_code string")
+    raw.append_raw(spark.createDataFrame(pages, raw.RAW_SCHEMAS["reviews"]), f"{base}/landing")
+    stream.stream_review_merge(stream.raw_stream(spark, f"{base}/landing", "reviews"), dim, f"{base}/log", f"{base}/{checkpoint}", languages).awaitTermination()
+
+
+def state_of(spark, base):
+    return sorted(tuple(r) for r in stream.current_reviews(stream.read_log(spark, f"{base}/log")).collect())
+
+
+def test_compaction_keeps_the_state_while_a_batch_lands(spark):
+    base, t0 = scratch_path(spark, "merge"), dt.datetime(2024, 1, 1)
+    collect_pages(spark, base, [review_page(1, t0, 5, [1, 2, 3])])
+    collect_pages(spark, base, [review_page(2, t0 + dt.timedelta(2), 7, [2, 4])])
+    seen = stream.landed(spark, f"{base}/log")
+    assert len(seen) == 2
+    # an older copy, a newer one and a new review come while the first two batches are compacted
+    collect_pages(spark, base, [review_page(3, t0 + dt.timedelta(1), 1, [2, 5], "klingon"), review_page(4, t0 + dt.timedelta(9), 9, [1], "")])
+    before = state_of(spark, base)
+    assert [(r[0], r[before_column("votes_up")], r[before_column("review_body")]) for r in before] == [
+        (1, 9, "text 4"), (2, 7, "text 2"), (3, 5, "text 1"), (4, 7, "text 2"), (5, 1, "text 3")]
+    assert stream.compact(spark, f"{base}/log", seen) == 0
+    assert state_of(spark, base) == before
+    log = stream.read_log(spark, f"{base}/log")
+    assert (log.where("in_base").count(), log.where("not in_base").count()) == (4, 3)
+    # a base without its list does not count, swept deltas are not missed, and the next base goes on from this one
+    spark.range(1).write.parquet(f"{base}/log/base/gen=7/rows")
+    stream.sweep(spark, f"{base}/log")
+    assert len(stream.landed(spark, f"{base}/log")) == 1 and state_of(spark, base) == before
+    assert stream.compact(spark, f"{base}/log") == 1 and state_of(spark, base) == before
+    assert stream.read_log(spark, f"{base}/log").where("not in_base").count() == 0
+    # another run lands behind the base
+    collect_pages(spark, base, [review_page(5, t0 + dt.timedelta(20), 30, [3])], "other")
+    after = {r[0]: r[before_column("votes_up")] for r in state_of(spark, base)}
+    assert after == {1: 9, 2: 7, 3: 30, 4: 7, 5: 1}
+
+
+def before_column(name):
+    return [stream.KEY, *stream.FIRST_VALUE, *stream.NEWEST_VALUE].index(name)
+
+
+def test_log_has_language_date_and_time_keys(spark):
+    base = scratch_path(spark, "merge")
+    collect_pages(spark, base, [review_page(1, dt.datetime(2024, 1, 1), 1, [1]), review_page(2, dt.datetime(2024, 1, 1), 1, [2], ""), review_page(3, dt.datetime(2024, 1, 1), 1, [3], "new")])
+    rows = {r.recommendation_id: r for r in stream.current_reviews(stream.read_log(spark, f"{base}/log")).collect()}
+    assert {(r.date_sk, r.time_sk) for r in rows.values()} == {(20231114, 22)}
+    assert rows[1].language_sk == 3 and rows[2].language_sk == -1 and rows[3].language_sk > 3
+
+
+def test_a_log_without_a_column_fails(spark):
+    base = scratch_path(spark, "merge")
+    collect_pages(spark, base, [review_page(1, dt.datetime(2024, 1, 1), 1, [1])])
+    log = spark.read.parquet(f"{base}/log/deltas").drop("votes_up", "run", "batch")
+    log.write.parquet(f"{base}/other/deltas/run=r/batch=0")
+    with pytest.raises(AnalysisException):
+        stream.read_log(spark, f"{base}/other")

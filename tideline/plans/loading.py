@@ -758,7 +758,9 @@ STREAMED = """SELECT event_id AS recommendation_id, CAST(event_id // 100 % 5 + 1
     CAST(floor(value) AS INT) AS votes_up, props AS review_body FROM events"""
 
 
-@query("stream_review_merge", sql=f"SELECT recommendation_id, is_voted_up, votes_up, review_body FROM ({STREAMED})")
+@query("stream_review_merge", sql=f"""SELECT event_id AS recommendation_id, is_voted_up, votes_up, review_body, CAST(strftime(ts, '%Y%m%d') AS INT) AS date_sk, CAST(hour(ts) AS INT) AS time_sk,
+    CASE WHEN language = '' THEN -1 ELSE {STATIC_KEY.format("concat('language|', language)")} END AS language_sk
+    FROM ({STREAMED}) JOIN (SELECT event_id, ts, {EVENT_LANGUAGE} AS language FROM events) ON event_id = recommendation_id""")
 def _(t):
     base = scratch_path(t.spark, "stream")
     # two landings: the second repeats every page, as an incremental collection does
@@ -766,8 +768,12 @@ def _(t):
         raw.append_raw(review_pages(t), f"{base}/landing")
         stream.stream_review_merge(
             stream.raw_stream(t.spark, f"{base}/landing", "reviews"), t.games, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    # the first landings become the base; the last one repeats some pages and stays a delta behind it
+    stream.compact(t.spark, f"{base}/log")
+    raw.append_raw(review_pages(t).where("raw_id % 3 = 0"), f"{base}/landing")
+    stream.stream_review_merge(stream.raw_stream(t.spark, f"{base}/landing", "reviews"), t.games, f"{base}/log", f"{base}/checkpoint").awaitTermination()
     state = stream.current_reviews(stream.read_log(t.spark, f"{base}/log"))
-    return state.select("recommendation_id", "is_voted_up", "votes_up", "review_body")
+    return state.select("recommendation_id", "is_voted_up", "votes_up", "review_body", "date_sk", "time_sk", "language_sk")
 
 
 @query("stream_review_daily", sql="""

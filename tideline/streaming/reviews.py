@@ -1,24 +1,26 @@
 """Continuous loading: a file stream of landing pages into a review log, and daily counts.
 
-The log is append-only: each micro-batch of whole pages lands in its own folder, named by the run (the
-id that Spark gives a checkpoint) and the batch, so replaying a batch after a failure replaces that folder
-and nothing else, and a run with a fresh checkpoint adds folders of its own. Reading the log
-resolves first-value and newest-value columns per review, whatever order the pages arrived in; the
-stored reviews are never rewritten for a batch.
+The log is append-only: each micro-batch of whole pages lands in its own folder, a delta named by the run (the id that Spark
+gives a checkpoint) and the batch, so replaying a batch after a failure replaces that folder and nothing else, and a run with
+a fresh checkpoint adds folders of its own. ``compact`` turns the deltas landed so far into one row a review, the base, and
+notes up to which batch of each run it goes; readers take the newest base that is complete and the deltas behind it,
+so a batch may land meanwhile. Reading the log resolves first-value and newest-value columns per review, whatever order
+the pages arrived in; stored reviews are never rewritten for a batch.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tideline.operators.facts import IMMUTABLE, MUTABLE, latest_per_key, scd2_lookup
+from tideline.operators.facts import IMMUTABLE, MUTABLE, review_facts, upsert_languages
 from tideline.sources.raw import RAW_SCHEMAS, explode_reviews
 
 def raw_stream(spark: SparkSession, path: str, kind: str, files_per_batch: int | None = None) -> DataFrame:
@@ -33,19 +35,25 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
-def typed_batch(pages: DataFrame, dim: DataFrame) -> DataFrame:
-    """Landing pages -> newest copy of each review with the version valid when it was written."""
-    newest = latest_per_key(explode_reviews(pages), ["recommendation_id"], [F.desc("fetched_at"), F.desc("raw_id")])
-    return scd2_lookup(newest, dim, "created_at").withColumn("loaded_from", F.col("fetched_at"))
+def typed_batch(pages: DataFrame, dim: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """Landing pages -> newest copy of each review as a fact row with all its dimension keys.
+
+    A language that ``languages`` lacks has the key that ``upsert_languages`` will give it.
+    """
+    reviews = explode_reviews(pages)
+    if languages is None:
+        languages = reviews.sparkSession.createDataFrame([], "language_sk bigint, language_code string")
+    known = languages.select(F.col("language_sk").cast("bigint").alias("language_sk"), "language_code")
+    return review_facts(reviews, dim, upsert_languages(known, reviews))
 
 
-def stream_review_merge(pages: DataFrame, dim: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+def stream_review_merge(pages: DataFrame, dim: DataFrame, log: str, checkpoint: str, languages: DataFrame | None = None) -> StreamingQuery:
     """Loads all waiting pages into the review log, each page exactly once."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
         run = run_id(batch.sparkSession, checkpoint)
-        landed = typed_batch(batch, dim).withColumn("landed_at", F.current_timestamp())
-        landed.write.mode("overwrite").parquet(f"{log}/run={run}/batch={batch_id}")
+        landed = typed_batch(batch, dim, languages).withColumn("landed_at", F.current_timestamp())
+        landed.write.mode("overwrite").parquet(f"{log}/deltas/run={run}/batch={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(land)
@@ -55,27 +63,109 @@ def stream_review_merge(pages: DataFrame, dim: DataFrame, log: str, checkpoint:
     )
 
 
-def read_log(spark: SparkSession, log: str) -> DataFrame:
-    """All logged rows; ``batch`` orders the loads, of whatever run."""
-    return spark.read.parquet(log).withColumn("batch", F.struct("landed_at", "run", "batch"))
+KEY = "recommendation_id"
+FIRST_VALUE = IMMUTABLE
+NEWEST_VALUE = (*MUTABLE, "review_body")
 
 
-def current_reviews(log: DataFrame, key: str = "recommendation_id") -> DataFrame:
-    """State of each review: immutable columns of its first load, mutable ones of its newest page.
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, wherever Spark reads them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return [f.getPath().toString() for f in found or ()]
+
+
+def landed(spark: SparkSession, log: str) -> set[tuple[str, int]]:
+    """(run, batch) of the deltas that are there as a whole."""
+    done = _found(spark, f"{log}/deltas/run=*/batch=*/_SUCCESS")
+    return {(m[1], int(m[2])) for p in done if (m := re.search(r"/run=([^/]+)/batch=(\d+)/_SUCCESS$", p))}
 
-    Both are aggregates, so copies of a review are reduced on the map side before the shuffle.
-    """
-    columns = set(log.columns)
-    first = [c for c in (*IMMUTABLE, "language_code") if c in columns]
-    last = [c for c in (*MUTABLE, "review_body") if c in columns]
-    newest = F.struct("loaded_from", "batch")
 
-    def pack(names: list[str]) -> Column:
-        return F.struct(*names)
+def newest_base(spark: SparkSession, log: str) -> tuple[int, dict[str, int]]:
+    """Number of the newest complete base, -1 if there is none, and the last batch of each run that it holds."""
+    done = [int(m[1]) for p in _found(spark, f"{log}/base/gen=*/covers/_SUCCESS") if (m := re.search(r"/gen=(\d+)/", p))]
+    if not done:
+        return -1, {}
+    number = max(done)
+    return number, {r.run: r.upto for r in spark.read.parquet(f"{log}/base/gen={number}/covers").collect()}
 
-    return log.groupBy(key).agg(
-        F.min_by(pack(first), "batch").alias("_first"), F.max_by(pack(last), newest).alias("_last")
-    ).select(key, *[f"_first.{c}" for c in first], *[f"_last.{c}" for c in last])
+
+def read_log(spark: SparkSession, log: str, batches: set[tuple[str, int]] | None = None) -> DataFrame:
+    """The newest base and the deltas behind it, of ``batches`` or of all that landed.
+
+    ``opened`` and ``batch`` order the loads, of whatever run: that of a review's first copy and that of the row's own. A log
+    without one of the columns of a fact fails.
+    """
+    number, covers = newest_base(spark, log)
+    fresh = sorted((r, b) for r, b in (landed(spark, log) if batches is None else batches) if b > covers.get(r, -1))
+    parts = []
+    wanted = [KEY, *FIRST_VALUE, *NEWEST_VALUE]
+    if number >= 0:
+        parts.append(spark.read.parquet(f"{log}/base/gen={number}/rows").select(*wanted, "opened", "batch", F.lit(True).alias("in_base")))
+    if fresh or not parts:
+        paths = [f"{log}/deltas/run={r}/batch={b}" for r, b in fresh] or [f"{log}/deltas"]
+        deltas = spark.read.option("basePath", f"{log}/deltas").parquet(*paths)
+        stamp = F.struct("landed_at", F.col("run").cast("string").alias("run"), F.col("batch").cast("bigint").alias("batch"))
+        parts.append(deltas.select(*wanted, stamp.alias("opened"), stamp.alias("batch"), F.lit(False).alias("in_base")))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
+def _resolved(log: DataFrame, key: str, first: list[str], last: list[str]) -> DataFrame:
+    """One row a review: its first and newest values, with the stamps of both.
+
+    Ids and stamps decide, in a partial aggregate without bodies; only the first and the newest row of a review go on.
+    """
+    rows = log if "opened" in log.columns else log.withColumn("opened", F.col("batch"))
+    rows = rows.withColumn("_newest", F.struct("loaded_from", "batch"))
+    stamps = rows.groupBy(key).agg(F.min("opened").alias("_first_at"), F.max("_newest").alias("_last_at"))
+    won = rows.join(stamps, key).where(F.col("opened").eqNullSafe(F.col("_first_at")) | F.col("_newest").eqNullSafe(F.col("_last_at")))
+    return won.groupBy(key).agg(
+        F.min_by(F.struct(*first), "opened").alias("_first"), F.max_by(F.struct(*last), "_newest").alias("_last"),
+        F.min("opened").alias("opened"), F.max("_newest")["batch"].alias("batch"),
+    ).select(key, *[f"_first.{c}" for c in first], *[f"_last.{c}" for c in last], "opened", "batch")
+
+
+def current_rows(log: DataFrame, key: str = KEY) -> DataFrame:
+    """One row a review with its stamps; rows of the base that no delta touches pass through as they are."""
+    first, last = ([c for c in names if c in log.columns] for names in (FIRST_VALUE, NEWEST_VALUE))
+    if "in_base" not in log.columns:
+        return _resolved(log, key, first, last)
+    base, deltas = log.where("in_base"), log.where("not in_base")
+    touched = deltas.select(key).distinct()
+    busy = base.join(touched, key, "left_semi").unionByName(deltas)
+    quiet = base.join(touched, key, "left_anti").select(key, *first, *last, "opened", "batch")
+    return quiet.unionByName(_resolved(busy, key, first, last))
+
+
+def current_reviews(log: DataFrame, key: str = KEY) -> DataFrame:
+    """State of each review: immutable columns of its first load, mutable ones of its newest page."""
+    return current_rows(log, key).drop("opened", "batch")
+
+
+def compact(spark: SparkSession, log: str, batches: set[tuple[str, int]] | None = None) -> int:
+    """Makes the next base of the newest one and the deltas of ``batches``, or of all that landed; returns its number.
+
+    The base counts from the moment that its list of covered batches is there, which is written last; what lands meanwhile
+    stays a delta. One compaction runs at a time; a second one of the same number fails.
+    """
+    batches = landed(spark, log) if batches is None else batches
+    number, covers = newest_base(spark, log)
+    folder = f"{log}/base/gen={number + 1}"
+    current_rows(read_log(spark, log, batches)).write.mode("errorifexists").parquet(f"{folder}/rows")
+    for run, batch in batches:
+        covers[run] = max(batch, covers.get(run, -1))
+    spark.createDataFrame(list(covers.items()), "run string, upto bigint").coalesce(1).write.parquet(f"{folder}/covers")
+    return number + 1
+
+
+def sweep(spark: SparkSession, log: str) -> None:
+    """Removes the deltas that the newest base holds, and older bases. Readers planned before have to be through."""
+    number, covers = newest_base(spark, log)
+    gone = [f"{log}/deltas/run={r}/batch={b}" for r, b in landed(spark, log) if b <= covers.get(r, -1)]
+    gone += [p for p in _found(spark, f"{log}/base/gen=*") if int(p.rpartition("=")[2]) < number]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: a day's reviews are dealt over so many states, so that none holds all of a busy day
