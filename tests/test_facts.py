@@ -273,6 +273,40 @@ def test_increment_reads_by_mark_or_by_product(spark, tmp_path):
     assert "fetched_at" in plan and "Subquery" in plan
 
 
+def test_increment_by_an_index_is_one_scan(spark, tmp_path):
+    schema = "app_id int, fetched_at timestamp, page int"
+    days = [dt.datetime(2024, 1, d) for d in range(1, 7)]
+    rows = [(app, day, app * 10 + i) for app in (1, 2, 3, 4) for i, day in enumerate(days)]
+    spark.createDataFrame(rows, schema).write.partitionBy("app_id").parquet(str(tmp_path / "landing"))
+    landing = spark.read.schema(schema).parquet(str(tmp_path / "landing"))
+    facts.landing_index(landing).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    # product 4 has nothing new, 3 has no mark, 9 has no pages
+    marks = spark.createDataFrame([(1, days[4]), (2, days[2]), (3, None), (4, days[5]), (9, days[5])], "app_id int, loaded_from timestamp")
+    fresh = facts.incremental_pages(landing, marks, index=index)
+    assert sorted(r.page for r in fresh.collect()) == [15, 23, 24, 25, 30, 31, 32, 33, 34, 35]
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0 and "Distinct" not in plan
+
+
+def test_a_second_append_reads_ids_alone(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    shape = "raw_id bigint, app_id int, cursor_in string, fetched_at timestamp, payload string"
+
+    def land(pages):
+        rows = spark.createDataFrame([(p, 1, "*", T0 + dt.timedelta(p), "x" * 50) for p in pages], shape)
+        items = spark.createDataFrame([(p, i) for p, ids in pages.items() for i in ids], "raw_id bigint, recommendation_id bigint")
+        return sorted(r.raw_id for r in raw.append_new(rows, items, path).collect())
+
+    assert land({1: [10, 11], 2: [12]}) == [1, 2]
+    assert land({3: [11, 12], 4: [12, 13], 5: []}) == [4]
+    assert land({6: [13]}) == []
+    assert sorted(r.raw_id for r in raw.read_raw(spark, path, "reviews").collect()) == [1, 2, 4]
+    assert sorted(r.recommendation_id for r in raw.known_ids(spark, path).collect()) == [10, 11, 12, 13]
+    files = raw.known_ids(spark, path).inputFiles()
+    assert files and all("landing.ids/bucket=" in f for f in files)
+
+
 def test_names_follow_the_card_read_last(spark):
     from tideline.operators.games import upsert_companies, upsert_names
 

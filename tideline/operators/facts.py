@@ -55,17 +55,24 @@ def load_watermarks(facts: DataFrame, dim: DataFrame) -> DataFrame:
     return per_version.join(games, "game_sk").groupBy("app_id").agg(F.max("loaded_from").alias("loaded_from"))
 
 
+def landing_index(raw: DataFrame) -> DataFrame:
+    """(app_id, first_page, last_page): the page times of each product, a small table kept beside the landing log."""
+    return raw.groupBy("app_id").agg(F.min("fetched_at").alias("first_page"), F.max("fetched_at").alias("last_page"))
+
+
 def incremental_pages(
     raw: DataFrame,
     marks: DataFrame | None = None,
     since: str | None = None,
     until: str | None = None,
     full: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Pages to load: everything, an explicit ``[since, until)``, or newer than each product's own mark.
 
-    Pages of marked products are read from the least mark on, those of other products by product; so neither
-    reading goes through the pages that were loaded before every mark. Every page names its product.
+    The landing index tells the products without a mark and those with nothing new, so all pages come from one scan
+    that begins at the earliest page wanted. Without an index it is made here, which reads the page times of the log.
+    Every page names its product.
     """
     if full:
         return raw
@@ -78,10 +85,13 @@ def incremental_pages(
     if marks is None:
         return raw
     own = marks.filter("loaded_from is not null").select("app_id", F.col("loaded_from").alias("_mark"))
-    least = own.agg(F.min("_mark")).scalar()
-    newer = raw.filter(F.col("fetched_at") > least).join(own, "app_id").filter(F.col("fetched_at") > F.col("_mark")).drop("_mark")
-    unmarked = raw.select("app_id").distinct().join(own, "app_id", "left_anti")
-    return newer.unionByName(raw.join(unmarked, "app_id", "left_semi"))
+    index = landing_index(raw) if index is None else index
+    # pages behind the mark; of a product without one, all from the first on
+    wanted = index.join(own, "app_id", "left").filter("_mark is null or last_page > _mark")
+    wanted = wanted.select("app_id", "_mark", F.coalesce("_mark", "first_page").alias("_from"))
+    least = wanted.agg(F.min("_from")).scalar()
+    newer = F.col("_mark").isNull() | (F.col("fetched_at") > F.col("_mark"))
+    return raw.filter(F.col("fetched_at") >= least).join(wanted, "app_id").filter(newer).drop("_mark", "_from")
 
 
 def watermark_seed(facts: DataFrame, raw: DataFrame) -> DataFrame:

@@ -78,16 +78,10 @@ def _(t):
 @query("append_raw_pages", sql="SELECT event_id // 100 AS raw_id, CAST(event_id // 100 % 5 + 1 AS INT) AS app_id FROM events GROUP BY 1, 2")
 def _(t):
     path = scratch_path(t.spark, "landing")
-    pages = review_pages(t)
-    raw.append_raw(pages.filter(F.col("fetched_at") < F.lit("2024-01-16").cast("timestamp")), path)
-    stored = raw.read_raw(t.spark, path, "reviews")
-    known = raw.explode_reviews(stored).select("recommendation_id")
-    fetched = raw.explode_reviews(pages).select("raw_id", "recommendation_id")
+    pages = written(review_pages(t), "fetched")
     # all pages are fetched again; only those with something new are appended
-    fresh = raw.pages_with_news(pages, fetched, known, "raw_id", "recommendation_id")
-    late = scratch_path(t.spark, "late")
-    raw.append_raw(fresh, late)
-    raw.append_raw(raw.read_raw(t.spark, late, "reviews"), path)
+    for fetched in (pages.filter(F.col("fetched_at") < F.lit("2024-01-16").cast("timestamp")), pages):
+        raw.append_new(fetched, raw.explode_reviews(fetched), path)
     return raw.read_raw(t.spark, path, "reviews").select("raw_id", "app_id")
 
 

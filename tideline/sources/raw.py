@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +62,42 @@ def pages_with_news(pages: DataFrame, items: DataFrame, known_ids: DataFrame, pa
     return pages.join(fresh, page_key, "left_semi")
 
 
+#: folders that the ids of a landing log are dealt over
+ID_BUCKETS = 64
+
+
+def known_ids(spark: SparkSession, path: str, id_col: str = "recommendation_id") -> DataFrame:
+    """(id, bucket) of everything landed with ``append_new``, from the small table beside the landing log."""
+    schema = f"{id_col} bigint, bucket int"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}.ids")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_new(pages: DataFrame, items: DataFrame, path: str, page_key: str = "raw_id", id_col: str = "recommendation_id") -> DataFrame:
+    """Lands the pages that hold an id never landed before, with their ids beside them; returns these pages.
+
+    ``items`` has the page and id of everything on ``pages``. What is known comes from the ids alone, by their buckets, so no
+    stored payload is read. Pages are written before their ids: a stop in between lands them once more, and loads take the
+    newest copy of a review anyway.
+    """
+    from tideline.session import written
+
+    spark = pages.sparkSession
+    bucket = F.pmod(F.hash(F.col(id_col).cast("bigint")), F.lit(ID_BUCKETS)).cast("int")
+    named = items.select(page_key, F.col(id_col).cast("bigint").alias(id_col), bucket.alias("bucket"))
+    new = named.join(known_ids(spark, path, id_col), ["bucket", id_col], "left_anti")
+    # written once: what is known changes with the first append
+    new = written(new, "new-ids")
+    fresh = written(pages.join(new.select(page_key).distinct(), page_key, "left_semi"), "new-pages")
+    append_raw(fresh, path)
+    new.select(id_col, "bucket").distinct().repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}.ids")
+    return fresh
+
+
 def explode_reviews(raw: DataFrame) -> DataFrame:
     """One typed row per review of a page. Zero epochs mean "never", missing counters mean zero."""
     item = raw.select(
