@@ -68,6 +68,28 @@ def test_version_boundaries_are_half_open(spark):
     assert [r.game_sk for r in out] == [-1, 1, 2, -1]
 
 
+def test_a_thousand_versions_of_one_product_make_no_pairs(spark):
+    rng = random.Random(4)
+    cuts = sorted(rng.sample(range(100_000), 1001))
+    spans = [(k, 10, T0 + dt.timedelta(minutes=a), T0 + dt.timedelta(minutes=b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    dim = spark.createDataFrame([*spans, (5000, 11, T0, T0 + dt.timedelta(1)), (5001, 11, T0, T0 + dt.timedelta(2))], "game_sk int, app_id int, valid_from timestamp, valid_to timestamp")
+    minutes = [*rng.choices(range(100_100), k=400), *cuts[:50]]
+    rows = spark.createDataFrame([(10, T0 + dt.timedelta(minutes=m)) for m in minutes] + [(11, T0), (12, T0), (10, None), (None, T0)], "app_id int, at timestamp")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = facts.scd2_lookup(rows, dim, "at")
+        got = sorted(((r.app_id or 0, r.at or T0, r.game_sk) for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = []
+    for m in minutes:
+        hits = [k for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a <= m < b]
+        want += [(10, T0 + dt.timedelta(minutes=m), k) for k in hits or [-1]]
+    want += [(11, T0, 5000), (11, T0, 5001), (12, T0, -1), (10, T0, -1), (0, T0, -1)]
+    assert got == sorted(want)
+
+
 def cut_one_by_one(sizes, size):
     """Batch of each page, by going through the pages: a batch ends with the page of row first + size."""
     total, ends, out = sum(sizes), list(itertools.accumulate(sizes)), []
