@@ -339,3 +339,10 @@ def test_names_follow_the_card_read_last(spark):
     fresh = spark.createDataFrame([("Ann",), ("Bob",), ("Bob",)], "company_name string")
     got = {r.company_name: r.company_sk for r in upsert_companies(companies, fresh).collect()}
     assert got["Ann"] == 7 and set(got) == {"Ann", "Bob"}
+
+
+def test_lines_that_are_no_ids_are_told(spark, tmp_path):
+    (tmp_path / "ids.txt").write_text("# list\n 7 \n\n12x\n9223372036854775808\n-3\n")
+    path = str(tmp_path / "ids.txt")
+    assert sorted(r.recommendation_id for r in files.read_ids(spark, path).collect()) == [-3, 7]
+    assert sorted(r.line for r in files.bad_id_lines(spark, path).collect()) == ["12x", "9223372036854775808"]

@@ -62,15 +62,20 @@ def gold_rows(gold: DataFrame) -> DataFrame:
     )
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Review ids, one per line; blank lines and comment lines are skipped."""
+def _id_lines(spark: SparkSession, path: str) -> DataFrame:
     line = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return (
-        spark.read.text(path)
-        .select(line.alias("line"))
-        .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-        .select(F.col("line").cast("bigint").alias("recommendation_id"))
-    )
+    lines = spark.read.text(path).select(line.alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    return lines.withColumn("recommendation_id", F.col("line").try_cast("bigint"))
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Review ids, one per line; blank lines and comment lines are skipped, lines that are no id are left to ``bad_id_lines``."""
+    return _id_lines(spark, path).filter("recommendation_id is not null").select("recommendation_id")
+
+
+def bad_id_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of an id list that are neither an id nor a comment."""
+    return _id_lines(spark, path).filter("recommendation_id is null").select("line")
 
 
 def write_mart(df: DataFrame, target: str, kind: str = "table") -> DataFrame:
