@@ -1,5 +1,6 @@
 """URL parts, rules and host reputation; the query itself is compared with its SQL."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm.queries import URL_RULES
@@ -43,7 +44,7 @@ def test_longest_rule_wins(spark):
 def test_hosts_shrink_to_their_domain(spark):
     rows = [("bad.one.org", 1)] * 200 + [("good.one.org", 0)] * 200 + [("few.bad.info", 1)] + [("many.bad.info", 1)] * 300 + [("few.good.info", 1)] + [("many.good.info", 0)] * 300
     rows += [("new.bad.info", None), ("new.good.info", None), ("", None)]
-    found = {r.host: r for r in reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    found = {r.host: r for r in reputation(spark.createDataFrame(rows, "host string, bad int"))[0].collect()}
     assert found["bad.one.org"].bound > 0.9 > 0.1 > found["good.one.org"].mean
     assert found["few.bad.info"].mean > found["few.good.info"].mean
     assert found["new.bad.info"].n == 0 and found["new.bad.info"].mean > found["new.good.info"].mean
@@ -57,6 +58,31 @@ def test_one_bad_page_does_not_block_a_host(spark):
     assert verdicts[0] == verdicts[900] == "allow" and verdicts[1000] == "block"
 
 
+@pytest.mark.parametrize("bad", [2, 3, 4, 20, 39])
+def test_hosts_of_one_rate_are_not_blocked(spark, bad):
+    """40 hosts of 40 pages each, all at one rate: just below 5 %, at 5 % and above; and one host that is bad throughout."""
+    rows = [(100 * h + k, f"http://h{h}.d{h % 8}.org/", int(k < bad)) for h in range(40) for k in range(40)]
+    even = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    clean = spark.createDataFrame([(5000 + k, "http://clean.org/", 0) for k in range(13)], even.schema)
+    verdicts = {r.page_id: r.verdict for r in judge_urls(even.unionByName(clean), (), F.col("bad")).collect()}
+    assert all(verdicts[5000 + k] == "allow" for k in range(13))
+    if bad <= 20:
+        assert set(verdicts.values()) == {"allow"}
+        farm = spark.createDataFrame([(9000 + k, "http://farm.org/", 1) for k in range(60)], even.schema)
+        verdicts = {r.page_id: r.verdict for r in judge_urls(even.unionByName(farm), (), F.col("bad")).collect()}
+        assert {v for p, v in verdicts.items() if p >= 9000} == {"block"} and {v for p, v in verdicts.items() if p < 9000} == {"allow"}
+    else:
+        assert {v for p, v in verdicts.items() if p < 5000} == {"block"}
+
+
+def test_prior_rests_on_the_other_hosts(spark):
+    """A domain of one host lends it nothing of its own; a host without own bad pages falls with a bad domain only where it has little to say."""
+    rows = [("a.bad.org", 1)] * 50 + [("b.bad.org", 1)] * 50 + [("c.bad.org", 0)] * 100 + [("alone.org", 1)] * 2 + [(f"x{k}.ok.net", 0) for k in range(300)]
+    found = {r.host: r for r in reputation(spark.createDataFrame(rows, "host string, bad int"))[0].collect()}
+    assert found["a.bad.org"].bound > 0.8 and found["c.bad.org"].bound < 0.1
+    assert found["alone.org"].mean > found["x0.ok.net"].mean and found["alone.org"].bound < found["a.bad.org"].bound
+
+
 def test_empty_null_and_repeated_pages(spark):
     pages = spark.createDataFrame([(1, None), (None, "http://a.com/x"), (None, "http://a.com/x")], "page_id long, url string")
     rows = judge_urls(pages, URL_RULES, F.lit(None)).collect()
@@ -66,4 +92,4 @@ def test_empty_null_and_repeated_pages(spark):
 
 def test_two_part_suffixes(spark):
     rows = spark.createDataFrame([("a.b.co.uk", 1), ("c.b.co.uk", 0), ("a.d.co.uk", 0)], "host string, bad int")
-    assert reputation(rows, ("co.uk",)).count() == 3
+    assert reputation(rows, ("co.uk",))[0].count() == 3

@@ -109,20 +109,21 @@ host AS (
          count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM page GROUP BY ALL),
 domain AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM host GROUP BY ALL),
 suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domain GROUP BY ALL),
-total AS (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM suffix),
-sums AS (
-  SELECT level, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad, count(*) AS k, sum(CAST(n AS DOUBLE) * n) AS nn, sum(CAST(bad AS DOUBLE) * bad / n) AS bb
-  FROM (SELECT 'host' AS level, n, bad FROM host UNION ALL SELECT 'domain', n, bad FROM domain UNION ALL SELECT 'suffix', n, bad FROM suffix) WHERE n > 0 GROUP BY level),
-inside AS (
-  SELECT level, CASE WHEN k < 2 OR bad = 0 OR bad = n THEN 0
-                     WHEN n - nn / n - (k - 1) <= 0 THEN 0
-                     ELSE ((bb - bad * bad / n) / (bad / n * (1 - bad / n)) - (k - 1)) / (n - nn / n - (k - 1)) END AS rho FROM sums),
-strength AS (SELECT level, CASE WHEN rho <= 0 THEN 1e6 ELSE least(greatest((1 - rho) / rho, 1.0), 1e6) END AS m FROM inside),
-s AS (SELECT max(m) FILTER (level = 'host') AS mh, max(m) FILTER (level = 'domain') AS md, max(m) FILTER (level = 'suffix') AS ms FROM strength),
-above_domain AS (SELECT suffix, (suffix.bad + ms * (total.bad / total.n)) / (suffix.n + ms) AS a FROM suffix, total, s),
-above_host AS (SELECT domain, (bad + md * a) / (n + md) AS a FROM domain JOIN above_domain USING (suffix), s),
-posterior AS (SELECT host, bad + mh * a AS b, n - bad + mh * (1 - a) AS g FROM host JOIN above_host USING (domain), s),
-judged AS (SELECT host, greatest(0.0, b / (b + g) - 1.645 * sqrt(b * g / ((b + g) * (b + g) * (b + g + 1)))) > 0.05 AS blocked FROM posterior)
+whole AS (SELECT n, bad, CASE WHEN n > 0 THEN bad / n ELSE 0 END AS r FROM (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM host)),
+-- mean squared distance of the rates from the rate of the whole, in units of a single page's variance
+apart AS (
+  SELECT level, sum(g.n * pow(CAST(g.bad AS DOUBLE) / g.n - r, 2)) / nullif(any_value(r * (1 - r)), 0) AS spread, count(*) - 1 AS k,
+         any_value(w.n) - sum(CAST(g.n AS DOUBLE) * g.n) / any_value(w.n) - (count(*) - 1) AS free
+  FROM (SELECT 'host' AS level, n, bad FROM host UNION ALL SELECT 'domain', n, bad FROM domain UNION ALL SELECT 'suffix', n, bad FROM suffix) g, whole w
+  WHERE g.n > 0 GROUP BY level),
+worth AS (SELECT level, CASE WHEN k > 0 AND free > 0 AND spread > k THEN greatest(free / (spread - k) - 1, 1.0) END AS m FROM apart),
+p_suffix AS (SELECT s.suffix, s.n, s.bad, (w.bad - s.bad + w.r) / (w.n - s.n + 1) AS mean, least(w.n - s.n + 1, (SELECT m FROM worth WHERE level = 'suffix')) AS pages FROM suffix s, whole w),
+p_domain AS (SELECT d.domain, d.n, d.bad, (s.bad - d.bad + s.pages * s.mean) / (s.n - d.n + s.pages) AS mean, least(s.n - d.n + s.pages, (SELECT m FROM worth WHERE level = 'domain')) AS pages
+             FROM domain d JOIN p_suffix s USING (suffix)),
+p_host AS (SELECT h.host, h.n, h.bad, (d.bad - h.bad + d.pages * d.mean) / (d.n - h.n + d.pages) AS mean, least(d.n - h.n + d.pages, (SELECT m FROM worth WHERE level = 'host')) AS pages
+           FROM host h JOIN p_domain d USING (domain)),
+posterior AS (SELECT host, (bad + pages * mean) / (n + pages) AS q, n + pages AS weight FROM p_host),
+judged AS (SELECT host, q - 1.645 * sqrt(greatest(q * (1 - q), 0) / (weight + 1)) > (SELECT greatest(0.05, least(r, 0.5)) FROM whole) AS blocked FROM posterior)
 SELECT page_id, p.host, p.path, r.rule, coalesce(r.verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM page p LEFT JOIN ruled r ON p.host = r.host AND p.path = r.path LEFT JOIN judged j ON p.host = j.host
 """
