@@ -1,5 +1,6 @@
 """Classifier and rules: held-out accuracy, independence of other columns, counts against plain Python."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import quality, queries, rules
+from tideline.llm import labelled, quality, queries, rules
 from tideline.llm import text as tx
 
 MIDDLE, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -97,3 +98,18 @@ def test_pipeline_stage_keeps_the_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = corpus_pipeline.keep_quality(spark, docs, SMALL)
     assert kept.columns == docs.columns and 0.7 * docs.count() < kept.count() < docs.count()
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    rows = [(1, "good words here")] * 300 + [(1, "zz other text"), (2, "bad bad bad"), (None, "x"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+
+    def learn(got):
+        return np.array([len(got), sum(label for label, _, _ in got)], float)
+
+    once = spark.createDataFrame([(1, min("good words here", "zz other text", key=lambda t: hashlib.md5(t.encode()).digest())), (2, "bad bad bad"), (3, "")], docs.schema)
+    sized = [labelled.fitted(d, labels, learn, 1 << 10, (3,)).tolist() for d in (docs, once)]
+    assert sized == [[3.0, 1.0]] * 2
+    features = [labelled.fitted(d, labels, lambda got: np.concatenate([b for _, b, _ in got]).astype(float), 1 << 10, (3,)).tolist() for d in (docs, once)]
+    assert features[0] == features[1]

@@ -33,11 +33,11 @@ def sample(labels: DataFrame, label_col: str, rows: int, folds: int, held_out: i
 def fitted(docs: DataFrame, labels: DataFrame, fit: Callable[[Rows], np.ndarray], buckets: int, sizes: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Parameters that ``fit`` learns from the features of the labelled documents, a vector of fixed size.
 
-    Features are made where the documents are read; only the rows of the sample, bounded by its size, are shuffled to
-    one task and meet there in a fixed order.
+    Features are made where the documents are read; rows of one id are reduced to the one with the least digest of its
+    text, so that at most one row for each id of the sample reaches the one task, where they meet in a fixed order.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(labels, id_col).select("label", "text", F.col(id_col).cast("string").alias("key"))
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(labels, id_col).select("label", "text", F.col(id_col).cast("string").alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,10 +47,11 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Callable[[Rows], np.ndarray]
                     [
                         batch.column(0).slice(block.first, block.size).cast(pa.float64()),
                         batch.column(2).slice(block.first, block.size),
+                        batch.column(3).slice(block.first, block.size),
                         pa.array([k.tobytes() for k, _ in found], pa.binary()),
                         pa.array([s.tobytes() for _, s in found], pa.binary()),
                     ],
-                    names=["label", "key", "buckets", "shares"],
+                    names=["label", "key", "digest", "buckets", "shares"],
                 )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,5 +63,6 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Callable[[Rows], np.ndarray]
         model = fit([(label, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for _, label, b, s in rows])
         yield pa.RecordBatch.from_arrays([pa.array([np.asarray(model, np.float64).tobytes()], pa.binary())], names=["model"])
 
-    found = texts.mapInArrow(features, "label double, key string, buckets binary, shares binary")
+    found = texts.mapInArrow(features, "label double, key string, digest string, buckets binary, shares binary")
+    found = found.groupBy("key").agg(F.min(F.struct("digest", "label", "buckets", "shares")).alias("row")).select("key", "row.label", "row.buckets", "row.shares")
     return np.frombuffer(found.repartition(1).mapInArrow(learn, "model binary").first()["model"], np.float64)
