@@ -63,6 +63,15 @@ def test_kept_bytes_and_repeated_rows(spark):
     assert got == [(0, 450, 1, b""), (1, 452, 1, b"startend"), (2, 452, 1, b"otherclose"), (3, 0, 0, b"alone"), (3, 0, 0, b"alone")]
 
 
+def test_a_rank_of_a_third_of_all_places_and_many_rare_ones(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "FREQUENT", 4)
+    monkeypatch.setattr(repeats, "SALTS", 3)
+    rows = [(t, 0, 7) for t in range(40)] + [(t, 1, 100 + t // 2) for t in range(41)]
+    ranked = spark.createDataFrame(rows, "tid long, idx int, rank long")
+    got = sorted(tuple(r) for r in repeats.doubled(ranked, 1).collect())
+    assert got == sorted([(t, 0) for t in range(40)] + [(t, 1) for t in range(40)])
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

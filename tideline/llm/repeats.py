@@ -44,6 +44,8 @@ REACH = 96
 GRAM = 8
 #: each round cuts open ranges into parts this many times narrower
 NARROWER = 4
+#: a rank that holds more than this part of all repeated places is dealt over ``SALTS`` tasks
+FREQUENT, SALTS = 1024, 64
 _U = np.uint64
 
 
@@ -112,9 +114,16 @@ def doubled(ranked: DataFrame, phrases: int) -> DataFrame:
     """(tid, idx) of anchors whose next ``phrases`` phrases stand elsewhere too; ``ranked`` has tid, idx and rank."""
 
     def repeated(rows: DataFrame) -> DataFrame:
-        place = F.struct("tid", "idx")
-        several = rows.groupBy("rank").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("rank")
-        return rows.join(several, "rank")
+        # each place has one rank, so more than one row of a rank is more than one place
+        several = written(rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1"), "several")
+        total = several.agg(F.sum("n")).first()[0] or 0
+        # fewer than FREQUENT ranks can each hold that share of the places, whatever the corpus
+        frequent = several.where(F.col("n") * FREQUENT > total).select("rank", F.lit(True).alias("frequent"))
+        salts = F.when(F.col("n") * FREQUENT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        salted = rows.join(F.broadcast(frequent), "rank", "left").withColumn(
+            "salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("tid", "idx"), F.lit(SALTS)).cast("int")).otherwise(0)
+        )
+        return salted.join(several.select("rank", F.explode(salts).alias("salt")), ["rank", "salt"]).drop("salt", "frequent")
 
     offset = 1
     left = written(repeated(ranked), "ranks")
