@@ -209,12 +209,17 @@ def _(t):
     return raw.extract_links(raw.pick_card(card_pages(t)))
 
 
+# the surrogate key of a text whose parts are already marked by their lengths
+STATIC_KEY = """CAST(CAST(concat('0x', substr(md5({0}), 1, 15)) AS BIGINT)::HUGEINT * 1152921504606846976
+    + CAST(concat('0x', substr(md5({0}), 16, 15)) AS BIGINT) AS VARCHAR)"""
+
+
 @query("link_dimensions", sql=f"""SELECT * FROM (WITH picked AS (SELECT * FROM part WHERE {PICKED}),
     told AS (SELECT 'genre' AS kind, p_size AS id, arg_max(p_type, p_partkey) AS name FROM picked GROUP BY 2
              UNION ALL SELECT 'category', p_size + 100, arg_max(p_brand, p_partkey) FROM picked WHERE p_size % 5 <> 0 GROUP BY 2)
-    SELECT kind, CAST(id AS BIGINT) AS id, name FROM told
-    UNION ALL SELECT 'genre', r_regionkey, r_name FROM region WHERE r_regionkey NOT IN (SELECT id FROM told WHERE kind = 'genre')
-    UNION ALL SELECT 'company', CAST(concat('0x', substr(md5(concat('company|', name)), 1, 15)) AS BIGINT), name
+    SELECT kind, CAST(id AS VARCHAR) AS id, name FROM told
+    UNION ALL SELECT 'genre', CAST(r_regionkey AS VARCHAR), r_name FROM region WHERE r_regionkey NOT IN (SELECT id FROM told WHERE kind = 'genre')
+    UNION ALL SELECT 'company', {STATIC_KEY.format("concat('7:company', length(name), ':', name)")}, name
     FROM (SELECT p_brand AS name FROM picked UNION SELECT p_type FROM picked))""")
 def _(t):
     """Companies, genres and categories of all cards; stored names of genres are overwritten by the card read last."""
@@ -223,12 +228,12 @@ def _(t):
     stored = t.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
     genres = games.upsert_names(stored, ids.filter("link_type = 'genre'"), "id", "name", "app_id")
     categories = games.upsert_names(stored.filter("id < 0"), ids.filter("link_type = 'category'"), "id", "name", "app_id")
-    none = t.spark.createDataFrame([], "company_sk bigint, company_name string")
+    none = t.spark.createDataFrame([], f"company_sk {numbers.KEY_TYPE}, company_name string")
     companies = games.upsert_companies(none, ids.filter("link_type IN ('developer', 'publisher')").select(F.col("name").alias("company_name")))
     return (
-        genres.select(F.lit("genre").alias("kind"), F.col("id").cast("bigint").alias("id"), "name")
-        .unionByName(categories.select(F.lit("category").alias("kind"), F.col("id").cast("bigint").alias("id"), "name"))
-        .unionByName(companies.select(F.lit("company").alias("kind"), F.col("company_sk").alias("id"), F.col("company_name").alias("name"))))
+        genres.select(F.lit("genre").alias("kind"), F.col("id").cast("string").alias("id"), "name")
+        .unionByName(categories.select(F.lit("category").alias("kind"), F.col("id").cast("string").alias("id"), "name"))
+        .unionByName(companies.select(F.lit("company").alias("kind"), F.col("company_sk").cast("string").alias("id"), F.col("company_name").alias("name"))))
 
 
 # --- files, calendar ------------------------------------------------------------------------
@@ -432,16 +437,13 @@ def _(t):
         "days_held", F.col("days_held").cast("bigint"))
 
 
-STATIC_KEY = "CAST(concat('0x', substr(md5({0}), 1, 15)) AS BIGINT)"
-
-
 @query("language_upsert", sql=f"""
-    SELECT DISTINCT CASE WHEN lang IN ('en', 'fr') THEN ascii(lang)::BIGINT ELSE {STATIC_KEY.format("concat('language|', lang)")} END AS language_sk,
+    SELECT DISTINCT CASE WHEN lang IN ('en', 'fr') THEN ascii(lang)::VARCHAR ELSE {STATIC_KEY.format("concat('8:language', length(lang), ':', lang)")} END AS language_sk,
            lang AS language_code FROM documents""")
 def _(t):
     docs = t.table("documents").select(F.col("lang").alias("language_code"))
     stored = docs.filter("language_code IN ('en', 'fr')").distinct().select(F.ascii("language_code").cast("bigint").alias("language_sk"), "language_code")
-    return facts.upsert_languages(stored, docs)
+    return facts.upsert_languages(stored, docs).withColumn("language_sk", F.col("language_sk").cast("string"))
 
 
 @query("patch_merge", "p_patch", sql="""
@@ -468,7 +470,7 @@ def recollected(pages):
 
 @query("review_load", "p_game", sql=f"""
     SELECT event_id AS recommendation_id, coalesce(g.game_sk, -1) AS game_sk, CAST(strftime(made, '%Y%m%d') AS INT) AS date_sk, CAST(hour(made) AS SMALLINT) AS time_sk,
-           CASE WHEN lang IS NULL THEN -1 ELSE {STATIC_KEY.format("concat('language|', lang)")} END AS language_sk,
+           CASE WHEN lang IS NULL THEN '-1' ELSE {STATIC_KEY.format("concat('8:language', length(lang), ':', lang)")} END AS language_sk,
            CASE WHEN user_id % 7 <> 0 THEN user_id END AS author_steam_id, made AS created_at, event_type <> 'error' AS is_voted_up,
            CAST(floor(value) AS INT) AS votes_up, CAST(CASE WHEN again AND user_id % 5 = 0 THEN 7 ELSE user_id % 5 END AS INT) AS comment_count,
            CAST(user_id * 10 AS INT) AS playtime_at_review_min, event_type = 'purchase' AND NOT (again AND fetched_at >= TIMESTAMP '{LOAD_CUT}') AS steam_purchase,
@@ -481,14 +483,14 @@ def _(t):
     path, pages = scratch_path(t.spark, "landing"), review_pages(t)
     raw.append_raw(pages.filter(F.col("fetched_at") < F.lit(LOAD_CUT).cast("timestamp")), path)
     early = raw.explode_reviews(raw.read_raw(t.spark, path, "reviews"))
-    languages = facts.upsert_languages(t.spark.createDataFrame([], "language_sk bigint, language_code string"), early)
+    languages = facts.upsert_languages(t.spark.createDataFrame([], f"language_sk {numbers.KEY_TYPE}, language_code string"), early)
     store = written(facts.review_facts(early, t.games, languages), "facts")
     raw.append_raw(pages.filter(F.col("fetched_at") >= F.lit(LOAD_CUT).cast("timestamp")), path)
     raw.append_raw(recollected(pages), path)
     fresh = raw.explode_reviews(facts.incremental_pages(raw.read_raw(t.spark, path, "reviews"), facts.load_watermarks(store, t.games)))
     loaded = facts.merge_reviews(store, facts.review_facts(fresh, t.games, facts.upsert_languages(languages, fresh)))
     return loaded.select(
-        "recommendation_id", "game_sk", "date_sk", "time_sk", "language_sk", "author_steam_id", _ntz("created_at"), "is_voted_up", "votes_up",
+        "recommendation_id", "game_sk", "date_sk", "time_sk", F.col("language_sk").cast("string").alias("language_sk"), "author_steam_id", _ntz("created_at"), "is_voted_up", "votes_up",
         "comment_count", "playtime_at_review_min", "steam_purchase", _ntz("loaded_from"), "review_body")
 
 
@@ -753,7 +755,7 @@ STREAMED = """SELECT event_id AS recommendation_id, CAST(event_id // 100 % 5 + 1
 
 
 @query("stream_review_merge", sql=f"""SELECT event_id AS recommendation_id, is_voted_up, votes_up, review_body, CAST(strftime(ts, '%Y%m%d') AS INT) AS date_sk, CAST(hour(ts) AS INT) AS time_sk,
-    CASE WHEN language = '' THEN -1 ELSE {STATIC_KEY.format("concat('language|', language)")} END AS language_sk
+    CASE WHEN language = '' THEN '-1' ELSE {STATIC_KEY.format("concat('8:language', length(language), ':', language)")} END AS language_sk
     FROM ({STREAMED}) JOIN (SELECT event_id, ts, {EVENT_LANGUAGE} AS language FROM events) ON event_id = recommendation_id""")
 def _(t):
     base = scratch_path(t.spark, "stream")
@@ -767,7 +769,7 @@ def _(t):
     raw.append_raw(review_pages(t).where("raw_id % 3 = 0"), f"{base}/landing")
     stream.stream_review_merge(stream.raw_stream(t.spark, f"{base}/landing", "reviews"), t.games, f"{base}/log", f"{base}/checkpoint").awaitTermination()
     state = stream.current_reviews(stream.read_log(t.spark, f"{base}/log"))
-    return state.select("recommendation_id", "is_voted_up", "votes_up", "review_body", "date_sk", "time_sk", "language_sk")
+    return state.select("recommendation_id", "is_voted_up", "votes_up", "review_body", "date_sk", "time_sk", F.col("language_sk").cast("string").alias("language_sk"))
 
 
 @query("stream_review_daily", sql="""

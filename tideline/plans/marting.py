@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import facts, labeling, marts, quality
 from tideline.plans.catalog import query
+from tideline.plans.loading import STATIC_KEY
 
 # --- review marts ---------------------------------------------------------------------------
 
@@ -284,12 +285,12 @@ def taxonomy(t, parts=None):
 
 @query("aspect_sync", sql="""
     SELECT concat('v', CAST(p_partkey % 3 AS VARCHAR)) AS codebook_version, concat('a', CAST(p_partkey AS VARCHAR)) AS aspect_id, p_name AS aspect_name,
-           CASE WHEN p_size > 25 THEN p_partkey ELSE CAST(concat('0x', substr(md5(concat('v', CAST(p_partkey % 3 AS VARCHAR), '|a', CAST(p_partkey AS VARCHAR))), 1, 15)) AS BIGINT) END AS aspect_sk
-    FROM part""")
+           CASE WHEN p_size > 25 THEN CAST(p_partkey AS VARCHAR) ELSE {key} END AS aspect_sk
+    FROM part""".format(key=STATIC_KEY.format("concat('2:v', CAST(p_partkey % 3 AS VARCHAR), length(CAST(p_partkey AS VARCHAR)) + 1, ':a', CAST(p_partkey AS VARCHAR))")))
 def _(t):
     rows = taxonomy(t)
     stored = taxonomy(t, t.table("part").filter("p_size > 25")).withColumn("aspect_sk", F.substring("aspect_id", 2, 20).cast("bigint"))
-    return labeling.sync_aspects(stored, rows).select("codebook_version", "aspect_id", "aspect_name", "aspect_sk")
+    return labeling.sync_aspects(stored, rows).select("codebook_version", "aspect_id", "aspect_name", F.col("aspect_sk").cast("string").alias("aspect_sk"))
 
 
 @query("config_upsert", sql="""

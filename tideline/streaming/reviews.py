@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.functions.numbers import KEY_TYPE
 from tideline.operators.facts import IMMUTABLE, MUTABLE, review_facts, upsert_languages
 from tideline.sources.raw import RAW_SCHEMAS, explode_reviews
 
@@ -42,8 +43,8 @@ def typed_batch(pages: DataFrame, dim: DataFrame, languages: DataFrame | None =
     """
     reviews = explode_reviews(pages)
     if languages is None:
-        languages = reviews.sparkSession.createDataFrame([], "language_sk bigint, language_code string")
-    known = languages.select(F.col("language_sk").cast("bigint").alias("language_sk"), "language_code")
+        languages = reviews.sparkSession.createDataFrame([], f"language_sk {KEY_TYPE}, language_code string")
+    known = languages.select(F.col("language_sk").cast(KEY_TYPE).alias("language_sk"), "language_code")
     return review_facts(reviews, dim, upsert_languages(known, reviews))
 
 
