@@ -93,6 +93,22 @@ def _(t):
     return planning.run_cap(plan(t), 500).select("app_id", "recommendation_id", "day", "day_rank")
 
 
+@query("plan_counts", sql=planned_sql(f"""
+    SELECT c.app_id, count(*) AS reviews, count(*) FILTER (WHERE c.length < 20) AS too_short,
+           count(*) FILTER (WHERE c.length >= 20 AND c.status IN ('labeled', 'no_opinion')) AS done,
+           count(p.recommendation_id) AS to_label, count(*) FILTER (WHERE p.retry) AS retry,
+           count(*) FILTER (WHERE c.length >= 20 AND (c.status IS NULL OR c.status = 'failed') AND p.recommendation_id IS NULL) AS over_limit
+    FROM cand c LEFT JOIN plan p ON p.app_id = c.app_id AND p.recommendation_id = c.recommendation_id GROUP BY 1"""))
+def _(t):
+    rows = written(candidates(t), "candidates")
+    return planning.plan_counts(rows, planning.label_plan(rows, limits(rows), day_limit=LIMIT))
+
+
+@query("run_left", sql=planned_sql("SELECT count(*) AS planned, count(*) FILTER (WHERE place > 500) AS left_over FROM (SELECT row_number() OVER () AS place FROM plan)"))
+def _(t):
+    return planning.run_left(plan(t), 500)
+
+
 @query("label_plan_listed", *NEEDED, sql=f"""
     SELECT 'planned' AS part, c.recommendation_id, coalesce(c.status = 'failed', false) AS retry FROM ({CANDIDATES}) c JOIN documents ON doc_id * 16 = c.recommendation_id WHERE {OPEN}
     UNION ALL SELECT 'missing', doc_id * 16, NULL FROM documents WHERE doc_id * 16 NOT IN (SELECT o_orderkey FROM orders)""")
@@ -294,6 +310,16 @@ def _(t):
     return labeling.label_parse(answers(t), ANSWER_ALLOWED).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("answer_problems", sql=f"""SELECT * FROM (WITH {PARSED}
+    SELECT DISTINCT batch, CAST(NULL AS INT) AS n, CASE WHEN batch % 19 = 0 THEN 'not JSON' ELSE 'not an array' END AS problem
+    FROM numbers WHERE batch % 17 <> 0 AND (batch % 19 = 0 OR batch % 23 = 0)
+    UNION ALL SELECT x.batch, x.n, CASE WHEN r.l_orderkey IS NULL THEN 'number left out' WHEN x.l_orderkey % 13 = 0 THEN 'no list of aspects' ELSE 'bad aspects' END
+    FROM numbers x LEFT JOIN rejected r ON r.l_orderkey = x.l_orderkey
+    WHERE (x.batch % 17 = 0 OR x.batch % 19 <> 0 AND x.batch % 23 <> 0) AND (r.l_orderkey IS NULL OR r.bad))""")
+def _(t):
+    return labeling.answer_problems(answers(t), ANSWER_ALLOWED, ("batch",))
+
+
 # --- cost -----------------------------------------------------------------------------------
 
 

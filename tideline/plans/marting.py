@@ -293,6 +293,18 @@ def _(t):
     return labeling.sync_aspects(stored, rows).select("codebook_version", "aspect_id", "aspect_name", F.col("aspect_sk").cast("string").alias("aspect_sk"))
 
 
+@query("aspect_conflicts", sql="""
+    SELECT concat('v', CAST(p_partkey % 3 AS VARCHAR)) AS codebook_version, concat('a', CAST(p_partkey AS VARCHAR)) AS aspect_id
+    FROM part WHERE p_partkey % 3 < 2 AND (p_size = 30 OR p_size > 40)""")
+def _(t):
+    # the file lacks a version and some aspects of the others; stored names and definitions of some have been changed
+    part = t.table("part")
+    rows = taxonomy(t, part.filter("p_size <> 30 AND p_partkey % 3 < 2"))
+    changed = part.withColumn("p_name", F.expr("CASE WHEN p_size > 45 THEN concat(p_name, '.') ELSE p_name END")).withColumn(
+        "p_type", F.expr("CASE WHEN p_size > 45 OR p_size <= 40 THEN p_type END"))
+    return labeling.aspect_conflicts(taxonomy(t, changed.filter("p_size > 25")), rows)
+
+
 @query("config_upsert", sql="""
     SELECT model, prompt_hash, params, min(stored) AS stored FROM (
         SELECT c_mktsegment AS model, sha256(c_name) AS prompt_hash, CAST(c_nationkey AS VARCHAR) AS params, CASE WHEN c_acctbal > 0 THEN 1 ELSE 2 END AS stored FROM customer) GROUP BY 1, 2, 3""")
