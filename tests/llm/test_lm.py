@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,15 @@ def test_scores_equal_plain_counts(spark, ranges):
     assert abs(total - 1) < 1e-9
 
 
+def test_counts_beyond_32_bits_are_stored_whole(tmp_path):
+    pairs, counts = np.array([3, 5], np.uint64), np.array([7, 5_000_000_000], np.int64)
+    table = pa.table({"once": pa.array([b""], pa.binary()), "several": [pairs.tobytes()], "times": [counts.tobytes()]})
+    lm._store_pairs(str(tmp_path), 7)((pa.scalar(0),), table)
+    model = lm.Model(str(tmp_path), {"vocabulary": [(8, 0)], "pair_tokens": 10})
+    zero = np.zeros(3, np.int64)
+    assert model.pair_counts(zero, np.array([5, 3, 4]), zero).tolist() == [5_000_000_000, 7, 0]
+
+
 def test_no_training_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = lm.score(docs, *lm.fit(docs.where("doc_id > 9"))).collect()

@@ -246,7 +246,8 @@ def _store_pairs(folder: str, word_range: int):
         shard = key[0].as_py()
         pairs, counts = _gather(table)
         _save(folder, f"pair-{shard}", pairs)
-        _save(folder, f"times-{shard}", np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
+        # as wide as the greatest count needs: most ranges fit two bytes, none is cut
+        _save(folder, f"times-{shard}", counts.astype(np.min_scalar_type(counts.max(initial=0))))
         rows = [(-1, "pairs", np.array([shard]), np.zeros(0), pairs.size, *(int((counts == n).sum()) for n in (1, 2, 3, 4)))]
         left, right = (pairs >> _U(32)).astype(np.int64), (pairs & _U(0xFFFFFFFF)).astype(np.int64)
         stats = []
