@@ -167,3 +167,26 @@ def test_canonical_text_tells_values_apart(spark):
     assert shown("a,b", "string") == "3:a,b" and shown(None, "string") == "-" and shown("", "string") == "0:"
     assert shown(0.1234565, "double") == "123457" and shown(-0.25, "double") == "-250000"
     assert shown([("a", None), None], "array<struct<p:string,q:int>>") == "[(1:a,-),-]" and shown([], "array<int>") == "[]"
+
+
+def test_lint_is_dealt_over_tasks_and_reads_an_answer_once(spark):
+    answers = spark.createDataFrame([(1, '{"what_happened": "a b", "what_players_say": "c [2]"}'), (2, "no JSON")], "k int, content string").coalesce(1)
+    fields = verdicts.verdict_fields(answers)
+    assert fields.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert fields._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert {r.k: (r.what_happened, r.what_players_say) for r in fields.collect()} == {1: ("a b", "c [2]"), 2: (None, None)}
+
+
+def test_lint_finds_names_and_pairs_at_the_borders(spark):
+    talk = "Хорошо [1]."
+    cases = {
+        "Queue": ["taxonomy name"], "xQueue": [], "Queues": [], "xqueue queue": ["taxonomy name"], "сqueue": [], "(QUEUE)": ["taxonomy name"],
+        "жалоб с 21% до 30%": ["vote share called complaints"], "с 21% до 30% жалоб": [], "критика: С 21% до 30%": ["vote share called complaints"],
+        "жалоб" + " о" * 37 + " 21% -> 30%": ["vote share called complaints"], "жалоб" + " о" * 38 + " 21% -> 30%": [],
+    }
+    rows = [(w, talk, "no", "spread", "small", 0.0, 0.21, 0.30, [1]) for w in cases]
+    given = spark.createDataFrame(rows, "what_happened string, what_players_say string, news string, character string, volume string, "
+                                  "main_diff double, before_negative double, after_negative double, known_numbers array<bigint>")
+    asked = ("taxonomy name", "vote share called complaints")
+    out = {r.what_happened: sorted({p.rule for p in r.problems if p.rule in asked}) for r in verdicts.verdict_lint(given, ["Queue"]).collect()}
+    assert out == cases
