@@ -26,3 +26,24 @@ def test_written_tables_keep_rows_and_types(spark):
 
 def test_an_empty_result_can_be_written(spark):
     assert session.written(spark.range(5).filter("id > 9"), "empty").count() == 0
+
+
+def test_tasks_are_bounded_by_size_and_not_by_number(spark):
+    """A shuffle is dealt finely and merged up to a fixed size, so a task's part does not grow with the tables."""
+    from tideline.session import LEAST_PARTITIONS
+
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= LEAST_PARTITIONS
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_tags_are_counted_before_they_are_folded(spark):
+    """The count over a review keeps the order of the join below it; above the fold it would need a sort of its own."""
+    from tideline.operators.marts import review_aspect_tag
+
+    tags = spark.sql("""SELECT 1 AS app_id, DATE'2020-01-01' AS day, 1 AS llm_config_sk, k AS labeling_sk, 'c' AS category_id, a AS aspect_id, s AS sentiment
+        FROM VALUES (1, 'overall_impression', '+'), (2, 'overall_impression', '+'), (2, 'x', '-'), (3, 'x', '+'), (3, 'x', '-'),
+                    (4, 'overall_impression', '+'), (4, 'overall_impression', '-') AS v(k, a, s)""")
+    out = review_aspect_tag(tags)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Window")
+    assert sorted((r.labeling_sk, r.aspect_id, r.sentiment) for r in out.collect()) == [(1, "overall_impression", "+"), (2, "x", "-"), (3, "x", "±")]
