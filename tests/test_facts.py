@@ -346,3 +346,12 @@ def test_lines_that_are_no_ids_are_told(spark, tmp_path):
     path = str(tmp_path / "ids.txt")
     assert sorted(r.recommendation_id for r in files.read_ids(spark, path).collect()) == [-3, 7]
     assert sorted(r.line for r in files.bad_id_lines(spark, path).collect()) == ["12x", "9223372036854775808"]
+
+
+def test_a_card_document_is_parsed_once(spark):
+    from tideline.sources import raw
+
+    pages = spark.createDataFrame([(7, '{"7": {"success": true, "data": {"steam_appid": 7, "name": "x"}}}'), (8, "{}"), (9, None)], "app_id int, payload string")
+    cards = raw.pick_card(pages)
+    assert cards._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert {r.app_id: r.card.data.name if r.card else None for r in cards.collect()} == {7: "x", 8: None, 9: None}

@@ -8,7 +8,7 @@ from tideline.functions import dates, numbers, text, titles
 from tideline.operators import facts, games, paging, quality
 from tideline.plans.catalog import query
 from tideline.plans.frames import BODY, TITLE, duck
-from tideline.session import scratch_path, written
+from tideline.session import scratch_path, spread, written
 from tideline.sources import dims, files, raw
 from tideline.streaming import reviews as stream
 
@@ -134,7 +134,7 @@ CARD_CASE = "CAST(p_partkey % 6 AS INT)"
 
 def card_pages(t):
     """The part table as product cards, with the keys and inner ids landing pages really show."""
-    part = t.table("part").withColumn("release_raw", F.expr(_release_raw("spark")))
+    part = spread(t.table("part")).withColumn("release_raw", F.expr(_release_raw("spark")))
 
     def card(inner):
         return F.struct(
@@ -223,7 +223,8 @@ STATIC_KEY = """CAST(CAST(concat('0x', substr(md5({0}), 1, 15)) AS BIGINT)::HUGE
     FROM (SELECT p_brand AS name FROM picked UNION SELECT p_type FROM picked))""")
 def _(t):
     """Companies, genres and categories of all cards; stored names of genres are overwritten by the card read last."""
-    links = raw.extract_links(raw.pick_card(card_pages(t)))
+    # written once: every dimension reads the links again
+    links = written(raw.extract_links(raw.pick_card(card_pages(t))), "links")
     ids = links.select("link_type", "app_id", F.col("link_id").alias("id"), F.col("link_name").alias("name"))
     stored = t.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
     genres = games.upsert_names(stored, ids.filter("link_type = 'genre'"), "id", "name", "app_id")
@@ -552,9 +553,9 @@ def _(t):
     return games.enabled_games(t.daily, switch)
 
 
-def _stored_games(t):
+def _stored_games(picked):
     """Versions stored earlier: low scores are not known yet, high ones differ in a tracked attribute."""
-    return picked_games(t).filter("metacritic_score > 10").select(
+    return picked.filter("metacritic_score > 10").select(
         F.col("app_id").alias("game_sk"), "app_id", F.concat(F.lit("old "), "game_name").alias("game_name"),
         F.lit("old link").alias("metacritic_url"), "app_type", "is_free",
         F.expr("CASE WHEN metacritic_score > 40 THEN required_age + 1 ELSE required_age END").alias("required_age"), "metacritic_score",
@@ -576,7 +577,9 @@ NOW, OPEN, START = "2025-01-01 00:00:00", games.OPEN_END, "2000-01-01 00:00:00"
     UNION ALL {_version_sql("metacritic_score > 40", "game_name", "metacritic_url", "required_age", NOW, OPEN, "true", "NULL")}
     UNION ALL {_version_sql("metacritic_score <= 10", "game_name", "metacritic_url", "required_age", START, OPEN, "true", "NULL")})""")
 def _(t):
-    out = games.scd2_apply(_stored_games(t), picked_games(t), NOW)
+    # both sides read the cards several times
+    picked = written(picked_games(t), "cards")
+    out = games.scd2_apply(_stored_games(picked), picked, NOW)
     stamp = "yyyy-MM-dd HH:mm:ss"
     return out.select(
         "app_id", "game_name", "metacritic_url", "required_age", F.date_format("valid_from", stamp).alias("valid_from"),
@@ -687,7 +690,8 @@ def _(t):
     LEFT JOIN p_game g ON g.app_id = n.app_id AND published_at >= g.valid_from AND published_at < g.valid_to""")
 def _(t):
     """News pages to classified events in two loads that overlap."""
-    items = raw.exclude_feeds(raw.explode_news(news_pages(t)))
+    # pages are parsed once, without their bodies; the batch is read by the merge twice
+    items = written(raw.exclude_feeds(raw.explode_news(news_pages(t))), "items")
     store = facts.patch_facts(items.filter("published_at < TIMESTAMP'1998-01-01'"), t.games)
     batch = facts.patch_facts(items.filter("published_at >= TIMESTAMP'1996-01-01'"), t.games)
     return facts.merge_patches(store, batch).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))

@@ -167,18 +167,18 @@ def pick_card(raw: DataFrame) -> DataFrame:
     only entry unless its inner id belongs to another product.
     """
     wanted = F.col("app_id").cast("string")
-    cards = F.from_json("payload", CARD_DOCUMENT)
-    entries = F.map_values(cards)
-    own = F.filter(entries, lambda c: c["success"] & (c["data"]["steam_appid"] == wanted))
-    only = F.get(entries, F.lit(0))
-    inner = only["data"]["steam_appid"]
+    # a projection for each step, so that a document is parsed once however often its entries are looked at
+    parsed = raw.withColumn("_cards", F.from_json("payload", CARD_DOCUMENT)).withColumn("_entries", F.map_entries("_cards"))
+    own = F.filter("_entries", lambda e: e["value"]["success"] & (e["value"]["data"]["steam_appid"] == wanted))
+    keyed = F.filter("_entries", lambda e: e["key"] == wanted)
+    found = parsed.withColumn("_own", F.get(own, F.lit(0))).withColumn("_keyed", F.get(keyed, F.lit(0))).withColumn("_first", F.get("_entries", F.lit(0)))
+    only, inner = F.col("_first.value"), F.col("_first.value.data.steam_appid")
     card = (
-        F.when(F.size(own) > 0, F.get(own, F.lit(0)))
-        .when(F.map_contains_key(cards, wanted), F.get(F.filter(
-            F.map_entries(cards), lambda e: e["key"] == wanted), F.lit(0))["value"])
-        .when((F.size(entries) == 1) & (inner.isNull() | (inner == wanted)), only)
+        F.when(F.col("_own").isNotNull(), F.col("_own.value"))
+        .when(F.col("_keyed").isNotNull(), F.col("_keyed.value"))
+        .when((F.size("_entries") == 1) & (inner.isNull() | (inner == wanted)), only)
     )
-    return raw.withColumn("card", card)
+    return found.withColumn("card", card).drop("_cards", "_entries", "_own", "_keyed", "_first")
 
 
 def only_games(cards: DataFrame) -> DataFrame:
