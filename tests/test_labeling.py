@@ -234,3 +234,16 @@ def test_frozen_taxonomy(spark):
     assert labeling.sync_aspects(stored, rows).count() == 2
     with pytest.raises(ValueError):
         labeling.sync_aspects(stored.withColumn("aspect_name", F.lit("changed")), rows)
+
+
+def test_few_prompts_are_in_python_at_a_time(spark):
+    """Rows that travel to Python come in small batches: ten thousand prompts of ten reviews each would be held at once."""
+    from tideline.session import PYTHON_ROWS, settle
+
+    settle(spark)
+
+    def sizes(frames):
+        for frame in frames:
+            yield frame.assign(id=len(frame))
+
+    assert max(r.id for r in spark.range(0, 5000, 1, 1).mapInPandas(sizes, "id long").collect()) <= PYTHON_ROWS
