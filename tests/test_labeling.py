@@ -247,3 +247,22 @@ def test_few_prompts_are_in_python_at_a_time(spark):
             yield frame.assign(id=len(frame))
 
     assert max(r.id for r in spark.range(0, 5000, 1, 1).mapInPandas(sizes, "id long").collect()) <= PYTHON_ROWS
+
+
+def marks(spark):
+    rows = [("ann", 1, "overall_impression"), ("ann", 1, "a"), ("ann", 1, "a"), ("ann", 2, "overall_impression"), ("bob", 1, "a"), ("bob", 2, None),
+            ("bob", 2, "overall_impression"), ("model", 1, "b"), ("model", 2, "overall_impression"), ("ann", 3, "a"), ("model", 3, "a"), ("bob", 3, "c"),
+            ("ann", 3, "c"), (None, 4, "d"), ("ann", 5, "d")]
+    return spark.createDataFrame(rows, "rater string, recommendation_id long, aspect_id string")
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_the_general_impression_beside_others_takes_one_shuffle_of_marks(spark):
+    out = labeling.overall_violations(marks(spark))
+    assert shuffles(out) == 2  # the marks by review, then counts by rater
+    assert {r.rater: (r.reviews, r.with_overall, r.mixed) for r in out.collect()} == {
+        "ann": (4, 2, 1), "bob": (3, 1, 0), "model": (3, 1, 0), None: (1, 0, 0)}
+

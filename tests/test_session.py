@@ -47,3 +47,7 @@ def test_tags_are_counted_before_they_are_folded(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Window")
     assert sorted((r.labeling_sk, r.aspect_id, r.sentiment) for r in out.collect()) == [(1, "overall_impression", "+"), (2, "x", "-"), (3, "x", "±")]
+
+
+def test_a_task_reads_a_bounded_part_of_a_file(spark):
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "8m"

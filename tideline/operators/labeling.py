@@ -351,9 +351,11 @@ def label_bias(labels: DataFrame, people: list[str], model: str, top: int = 10)
 
 
 def overall_violations(labels: DataFrame) -> DataFrame:
-    """Per rater: reviews with the general impression, and those where it stands beside specific aspects."""
-    per_review = labels.groupBy("rater", "recommendation_id").agg(
-        F.bool_or(F.col("aspect_id") == OVERALL).alias("_overall"), F.count_distinct("aspect_id").alias("_aspects"))
+    """Per rater: reviews with the general impression, and those where it stands beside specific aspects.
+
+    Both are bits of a review, so the marks are shuffled once.
+    """
+    overall = F.col("aspect_id") == OVERALL
+    per_review = labels.groupBy("rater", "recommendation_id").agg(F.bool_or(overall).alias("_overall"), F.bool_or(~overall).alias("_specific"))
     return per_review.groupBy("rater").agg(
-        F.count("*").alias("reviews"), F.count_if("_overall").alias("with_overall"),
-        F.count_if(F.col("_overall") & (F.col("_aspects") > 1)).alias("mixed"))
+        F.count("*").alias("reviews"), F.count_if("_overall").alias("with_overall"), F.count_if(F.col("_overall") & F.col("_specific")).alias("mixed"))
