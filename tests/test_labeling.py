@@ -266,3 +266,8 @@ def test_the_general_impression_beside_others_takes_one_shuffle_of_marks(spark):
     assert {r.rater: (r.reviews, r.with_overall, r.mixed) for r in out.collect()} == {
         "ann": (4, 2, 1), "bob": (3, 1, 0), "model": (3, 1, 0), None: (1, 0, 0)}
 
+
+def test_bias_takes_one_shuffle_of_marks(spark):
+    out = labeling.label_bias(marks(spark), ["ann", "bob"], "model")
+    assert shuffles(out) == 3  # the marks by pair, counts by aspect, ranks by kind
+    assert sorted((r.bias, r.aspect_id, r.n, r["rank"]) for r in out.collect()) == [("extra", "b", 1, 1), ("missed", "a", 1, 1), ("missed", "c", 1, 2)]

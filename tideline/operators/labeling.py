@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -338,13 +340,17 @@ def rater_overlap(labels: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def label_bias(labels: DataFrame, people: list[str], model: str, top: int = 10) -> DataFrame:
-    """Aspects only the model gives, and aspects all people give but the model misses, most frequent first."""
+    """Aspects only the model gives, and aspects all people give but the model misses, most frequent first.
+
+    Each rater is one bit of a pair, so the pairs are shuffled once.
+    """
+    bits = [f"_person_{i}" for i in range(len(people))]
     per_pair = labels.filter(F.col("aspect_id") != OVERALL).groupBy("recommendation_id", "aspect_id").agg(
         F.bool_or(F.col("rater") == model).alias("_model"),
-        F.count_distinct(F.when(F.col("rater").isin(*people), F.col("rater"))).alias("_people"))
-    kind = (
-        F.when(F.col("_model") & (F.col("_people") == 0), "extra")
-        .when(~F.col("_model") & (F.col("_people") == len(people)), "missed"))
+        *[F.bool_or(F.col("rater").eqNullSafe(F.lit(p))).alias(b) for p, b in zip(people, bits, strict=True)])
+    anyone = reduce(or_, [F.col(b) for b in bits], F.lit(False))
+    everyone = reduce(and_, [F.col(b) for b in bits], F.lit(True))
+    kind = F.when(F.col("_model") & ~anyone, "extra").when(~F.col("_model") & everyone, "missed")
     counts = per_pair.withColumn("bias", kind).filter("bias is not null").groupBy("bias", "aspect_id").agg(F.count("*").alias("n"))
     order = Window.partitionBy("bias").orderBy(F.desc("n"), "aspect_id")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
