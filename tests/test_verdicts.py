@@ -190,3 +190,18 @@ def test_lint_finds_names_and_pairs_at_the_borders(spark):
     asked = ("taxonomy name", "vote share called complaints")
     out = {r.what_happened: sorted({p.rule for p in r.problems if p.rule in asked}) for r in verdicts.verdict_lint(given, ["Queue"]).collect()}
     assert out == cases
+
+
+def test_run_deals_the_calls_over_tasks(spark):
+    points = spark.range(64).coalesce(1).select(
+        F.col("id").cast("int").alias("app_id"), F.lit(dt.date(2025, 5, 23)).alias("point_day"), F.lit("model").alias("author"), F.lit("t").alias("template"),
+        F.lit("p").alias("prompt"), F.lit("yes").alias("news"), F.lit("focused").alias("character"), F.lit("enough").alias("volume"), F.lit(0.14).alias("main_diff"),
+        F.lit(0.21).alias("before_negative"), F.lit(0.30).alias("after_negative"), F.array(F.lit(2)).cast("array<bigint>").alias("known_numbers"))
+
+    def writer(prompt, attempt):
+        from pyspark import TaskContext
+
+        return f"task {TaskContext.get().partitionId()}", "stop", {}
+
+    run = verdicts.verdict_run(points, writer, VOCABULARY, None, "2025-06-01").collect()
+    assert len(run) == 64 and len({r.what_happened for r in run}) > 8
