@@ -355,3 +355,27 @@ def test_a_card_document_is_parsed_once(spark):
     cards = raw.pick_card(pages)
     assert cards._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     assert {r.app_id: r.card.data.name if r.card else None for r in cards.collect()} == {7: "x", 8: None, 9: None}
+
+
+def test_impact_at_the_borders_of_blocks_and_days_with_one_shuffle_of_events(spark):
+    """Edges on, just before and just after block starts and midnights, before 1970 too, against a count of every review."""
+    day, block = events.DAY_SECONDS, events.BLOCK_SECONDS
+    rng = random.Random(5)
+    spots = [d * day + b * block + s for d in (-20, -3, -1, 0, 1, 4, 11, 30) for b in (0, 1, 95) for s in (-1, 0, 1, block - 1)]
+    reviews = [(rng.choice((1, 2, None)), rng.choice(spots), rng.choice((True, False, None))) for _ in range(600)] + [(1, None, True)]
+    patches = [(k, rng.choice((1, 2, 3, None)), rng.choice(spots)) for k in range(60)] + [(60, 1, None), (61, 1, 0), (61, 1, 0)]
+    f = spark.createDataFrame(reviews, "app_id int, s long, voted_up boolean").select("app_id", F.timestamp_seconds("s").alias("created_at"), "voted_up")
+    p = spark.createDataFrame(patches, "patch_sk long, app_id int, s long").select("patch_sk", "app_id", F.timestamp_seconds("s").alias("published_at"))
+    out = events.patch_impact(p, f)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and plan.index("Generate explode") < plan.index("REPARTITION_BY_COL")
+    want = []
+    for sk, app, at in dict.fromkeys(patches):
+        own = [(s, up) for a, s, up in reviews if a == app and a is not None and s is not None]
+        if own and at is not None:
+            for code, lo, hi, _ in events.WINDOWS:
+                inside = [up for s, up in own if at + lo * day <= s < at + hi * day]
+                whole = at + lo * day >= min(s for s, _ in own) and at + hi * day <= max(s for s, _ in own)
+                want.append((sk, code, len(inside), sum(bool(up) for up in inside), whole))
+    got = [(r.patch_sk, r.window_code, r.review_count, r.positive_count, r.window_complete) for r in out.collect()]
+    assert sorted(got) == sorted(want) and any(n for _, _, n, _, _ in want)
