@@ -379,3 +379,13 @@ def test_impact_at_the_borders_of_blocks_and_days_with_one_shuffle_of_events(spa
                 want.append((sk, code, len(inside), sum(bool(up) for up in inside), whole))
     got = [(r.patch_sk, r.window_code, r.review_count, r.positive_count, r.window_complete) for r in out.collect()]
     assert sorted(got) == sorted(want) and any(n for _, _, n, _, _ in want)
+
+
+def test_event_impact_never_shuffles_edges(spark):
+    """Events travel as they are and as one row each; their eight edges meet where they are counted."""
+    f = spark.createDataFrame([(1, T0, True)], "app_id int, created_at timestamp, voted_up boolean")
+    p = spark.createDataFrame([(1, 1, T0)], "patch_sk long, app_id int, published_at timestamp")
+    plan = events.event_impact(events.patch_impact(p, f))._jdf.queryExecution().executedPlan().toString()
+    by = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert not [x for x in by if "second" in x or "edge" in x]
+    assert sum("block" in x and "day_no" not in x for x in by) == 1
