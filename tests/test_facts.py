@@ -389,3 +389,20 @@ def test_event_impact_never_shuffles_edges(spark):
     by = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
     assert not [x for x in by if "second" in x or "edge" in x]
     assert sum("block" in x and "day_no" not in x for x in by) == 1
+
+
+def test_event_impact_counts_two_windows_and_keeps_each_event_where_it_is(spark):
+    """Without the mart: the same events, three edges an event, and no shuffle of events by their key."""
+    rng = random.Random(3)
+    day = events.DAY_SECONDS
+    reviews = [(rng.choice((1, 2)), rng.randrange(60 * day), rng.random() < 0.5) for _ in range(1500)]
+    patches = [(k, rng.choice((1, 2, 3)), rng.randrange(60 * day)) for k in range(80)] + [(80, 1, 20 * day), (80, 1, 20 * day), (81, None, 0)]
+    f = spark.createDataFrame(reviews, "app_id int, s long, voted_up boolean").select("app_id", F.timestamp_seconds("s").alias("created_at"), "voted_up")
+    p = spark.createDataFrame(patches, "patch_sk long, app_id int, s long").select("patch_sk", "app_id", F.timestamp_seconds("s").alias("published_at"))
+    out = events.event_impact_now(p, f, 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    by = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert by and not [x for x in by if "patch_sk" in x]
+    got = sorted(out.collect())
+    assert len(got) == 20 and got == sorted(events.event_impact(events.patch_impact(p, f), 10).collect())
+    assert events._offsets(events.SIDES) == [-7, 0, 7]

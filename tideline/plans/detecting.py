@@ -261,7 +261,7 @@ EVENT_IMPACT = """
 
 @query("event_impact", "p_patch", "p_flat", sql=_impact_sql(EVENT_IMPACT))
 def _(t):
-    return ev.event_impact(ev.patch_impact(t.patches, t.flat))
+    return ev.event_impact_now(t.patches, t.flat)
 
 
 @query("daily_votes", "p_daily", sql="SELECT app_id, day, review_count AS total, review_count - positive_count AS negative FROM p_daily")
