@@ -104,3 +104,19 @@ def test_very_long_text_and_empty_table(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in drop_repeated_windows(docs).collect()}
     assert got == {1: (300_000, 0), 2: (300_004, 300_000), 3: (1, 0)}
     assert drop_repeated_windows(docs.where("false")).collect() == []
+
+
+def test_a_bucket_is_hashed_in_parts(monkeypatch):
+    """What is known of the bytes of a bucket is never held for all of them, and the parts change no result."""
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    bodies = [" ".join(rnd.choices(words[k % 7 * 40: k % 7 * 40 + 40], k=rnd.randrange(13, 30))).encode() for k in range(400)] * 3
+    ids = np.array(rnd.sample(range(10_000), len(bodies)))
+    given = (b"".join(bodies), np.array([len(b) for b in bodies]), ids, ids, 13)
+    whole, seen, real = bucket_lows(*given), [], tx.running
+    names = sk._body_hashes(bodies)
+    monkeypatch.setattr(tx, "running", lambda data: seen.append(data.size) or real(data))
+    monkeypatch.setattr(sk, "PART", 4096, raising=False)
+    parts = bucket_lows(*given)
+    assert whole[0].size and all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert (names == sk._body_hashes(bodies)).all() and max(seen) <= 4096

@@ -45,6 +45,8 @@ HOT_SHARE = 1 << 16
 BUCKET = 50_000
 #: bytes of strings that a task holds before it packs them, and rows handed over at once
 HELD, HANDED = 1 << 25, 10_000
+#: bytes whose words are looked at together; what is known of them takes some 200 times as much
+PART = 1 << 18
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -111,7 +113,7 @@ def _count_minimisers(window: int, gram: int, share: int):
         minis, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
             seen = []
-            for block in tx.blocks(batch.column(1)):
+            for block in tx.blocks(batch.column(1), PART):
                 found = Strings(block, window, gram, np.zeros(0, np.uint64))
                 # equal strings of a batch travel once
                 _, one = np.unique(found.fp, return_index=True)
@@ -150,7 +152,7 @@ def _emit(window: int, gram: int, hot: np.ndarray, buckets: int, most: int):
     """
 
     def flush(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        merged = pa.concat_tables(parts).group_by(["bucket", "body"]).aggregate([("doc", "min"), ("doc", "max")]).sort_by("bucket").combine_chunks()
+        merged = pa.concat_tables(parts).group_by(["bucket", "body"], use_threads=False).aggregate([("doc", "min"), ("doc", "max")]).sort_by("bucket").combine_chunks()
         bucket = np.asarray(merged["bucket"].fill_null(-1))
         bodies, low, high = merged["body"].combine_chunks(), np.asarray(merged["doc_min"]), np.asarray(merged["doc_max"])
         alone = int((bucket < 0).sum())
@@ -168,7 +170,7 @@ def _emit(window: int, gram: int, hot: np.ndarray, buckets: int, most: int):
         parts, size = [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            for block in tx.blocks(batch.column(1)):
+            for block in tx.blocks(batch.column(1), PART):
                 found = Strings(block, window, gram, hot)
                 if not found.first.size:
                     continue
@@ -222,18 +224,31 @@ def _classes(code: np.ndarray, several: np.ndarray, starts: np.ndarray, data: np
     return several[order], number[order]
 
 
+def _hashed_words(data: np.ndarray, ends: np.ndarray) -> tuple[tx.Words, np.ndarray]:
+    """Words of strings that stand one behind the other, and their hashes, a part of the strings at a time."""
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), ends.size - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    start, end, counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for block in tx.blocks(spans, PART):
+        w = tx.words(block, block.data, tx.SPACED)
+        hashes.append(tx.span_hash(tx.running(block.data), w.start, w.end))
+        start.append(w.start + ends[block.first])
+        end.append(w.end + ends[block.first])
+        counts.append(w.counts)
+    each = np.concatenate(counts)
+    return tx.Words(np.concatenate(start), np.concatenate(end), np.append(0, np.cumsum(each)), np.repeat(np.arange(each.size), each)), np.concatenate(hashes)
+
+
 def bucket_lows(body: bytes, lengths: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, place of the window in it, least id with that window) of every window that some owner of its string drops.
 
     ``body`` holds the strings one behind the other, as long as ``lengths`` say.
     """
     data = np.frombuffer(body, np.uint8)
-    block = tx.Block(0, data, np.append(0, np.cumsum(lengths.astype(np.int64))))
-    w = tx.words(block, data, tx.SPACED)
+    w, hashes = _hashed_words(data, np.append(0, np.cumsum(lengths.astype(np.int64))))
     starts = np.flatnonzero(tx.within(w.doc, window))
     owner = w.doc[starts]
     least = low[owner]
-    code = tx.gram_hash(tx.span_hash(tx.running(data), w.start, w.end), window)[starts]
+    code = tx.gram_hash(hashes, window)[starts]
     order = np.argsort(code)
     twice = np.flatnonzero(code[order[1:]] == code[order[:-1]])
     paired = np.zeros(order.size, bool)
@@ -271,9 +286,10 @@ def _settle(window: int):
 
 def _body_hashes(bodies: list[bytes]) -> np.ndarray:
     """The hash that ``Strings`` gives the same bytes."""
-    ends = np.cumsum([0, *map(len, bodies)])
-    sums = tx.running(np.frombuffer(b"".join(bodies), np.uint8))
-    return tx.span_hash(sums, ends[:-1], ends[1:]).astype(np.int64)
+    out = [np.zeros(0, np.int64)]
+    for block in tx.blocks(pa.array(bodies, pa.large_binary()), PART):
+        out.append(tx.span_hash(tx.running(block.data), block.offsets[:-1], block.offsets[1:]).astype(np.int64))
+    return np.concatenate(out)
 
 
 def _name_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +306,7 @@ def _look_up(window: int, gram: int, hot: np.ndarray, bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tx.blocks(batch.column(1)):
+            for block in tx.blocks(batch.column(1), PART):
                 found = Strings(block, window, gram, hot)
                 chosen = np.flatnonzero(in_bitmap(bits.value, found.fp))
                 if not chosen.size:
@@ -380,7 +396,7 @@ def drop_repeated_windows(
             travel = pc.if_else(pa.array(maybe), texts, pa.scalar(None, texts.type))
             here = pc.if_else(pa.array(maybe), pa.scalar(None, texts.type), texts)
             words, digests, kept = [], [], []
-            for block in tx.blocks(here):
+            for block in tx.blocks(here, PART):
                 counts, _, rest = _kept(block, None, window)
                 words += counts.tolist()
                 digests += [hashlib.sha256(b).hexdigest() for b in rest]
@@ -398,7 +414,7 @@ def drop_repeated_windows(
             done = pc.is_null(batch.column(1)).to_pylist()
             words, digests, kept = (batch.column(k).to_pylist() for k in (2, 3, 4))
             gone = [0] * len(done)
-            for block in tx.blocks(batch.column(1)):
+            for block in tx.blocks(batch.column(1), PART):
                 counts, dropped, rest = _kept(block, batch.column(5).slice(block.first, block.size), window)
                 for d, body in enumerate(rest):
                     k = block.first + d
