@@ -205,3 +205,39 @@ def test_run_deals_the_calls_over_tasks(spark):
 
     run = verdicts.verdict_run(points, writer, VOCABULARY, None, "2025-06-01").collect()
     assert len(run) == 64 and len({r.what_happened for r in run}) > 8
+
+
+def test_lint_asks_patterns_only_where_a_stem_leaves_them_open(spark):
+    given = spark.createDataFrame([(WHAT, TALK)], "what_happened string, what_players_say string").select("*", *[
+        F.lit(x).alias(c) for c, x in (("news", "yes"), ("character", "focused"), ("volume", "enough"), ("main_diff", 0.14), ("before_negative", 0.21),
+                                       ("after_negative", 0.30))], F.array(F.lit(2)).cast("array<bigint>").alias("known_numbers"))
+    plan = verdicts.verdict_lint(given, VOCABULARY)._jdf.queryExecution().optimizedPlan().toString()
+    for stems in (verdicts.CAUSAL_STEMS, verdicts.LABEL_STEMS, verdicts.VOLUME_STEMS, verdicts.NOT_GROWN_STEMS, verdicts.COMPLAINT_STEMS):
+        assert all(f", {stem})" in plan for stem in stems) and "Contains(_what_lower" in plan
+
+
+def test_stems_lose_no_phrase(spark):
+    phrases = {
+        "causal wording": ["из-за", "вызвал", "привел к", "приведя; привела  к", "привёл к", "в ответ на", "мог быть связан", "могли\tбыть связан", "связаны с", "объясняет",
+                           "на фоне", "послужил", "спровоцир", "стала причин", "причина", "ᲂбъясня"],
+        "label word": ["сфокусирован", "размазан", "значим", "ядра сдвиг", "главная категория", "направление ухудшение", "направлении улучшение", "разᲂ размазан"],
+        "volume mentioned at enough volume": ["опира", "размеченн", "объем", "объём", "малом числ", "всего 7 отзыв", "всегᲂ 7 отзыв"],
+        "not grown while main topic grew": ["не рос", "не вырос", "не подн", "не увелич", "не роᲃ"],
+        "vote share called complaints": ["жалоб 21% -> 30%", "критик с 21% до 30%", "жалᲂб 21% -> 30%"],
+        "occasion without news or with focus": ["повод", "повоᲁ"],
+        "taxonomy name": ["Queue and servers", "LOGIN_QUEUE"],
+        "foreign letters": ["Ω", "ª", "µ"],
+    }
+    cases = [(rule, case(p)) for rule, all_of in phrases.items() for p in all_of for case in (str, str.upper, str.capitalize)]
+    rows = [(rule, p, "Хорошо [2].", "no", "focused", "enough", 0.14, 0.21, 0.30, [2]) for rule, p in cases if rule != "foreign letters" or p in phrases[rule]]
+    given = spark.createDataFrame(rows, "rule string, what_happened string, what_players_say string, news string, character string, volume string, main_diff double, "
+                                  "before_negative double, after_negative double, known_numbers array<bigint>")
+    missed = verdicts.verdict_lint(given, VOCABULARY).filter(~F.exists("problems", lambda p: p["rule"] == F.col("rule"))).select("rule", "what_happened").collect()
+    assert missed == []
+
+
+def test_strip_takes_every_blank_from_both_ends_and_no_other(spark):
+    codes = spark.range(1, 0x10000).filter("id not between 55296 and 57343").withColumn("c", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"))
+    blank = F.rlike("c", F.lit(text.WHITESPACE))
+    stripped = codes.select(blank.alias("blank"), (text.strip_all(F.concat("c", F.lit(" x \t"), "c")) == "x").alias("gone"), text.has_text(F.col("c")).alias("kept"))
+    assert stripped.groupBy("blank", "gone", "kept").count().filter("blank <> gone or blank = kept").collect() == []
