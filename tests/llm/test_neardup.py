@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from tideline.llm import queries
+from tideline.llm import neardup, queries
 from tideline.llm.components import components
 from tideline.llm.neardup import near_duplicates
 
@@ -74,6 +74,25 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert [r.kept for r in near_duplicates(docs).where("doc_id is null").collect()] == [True, True]
 
 
+def test_keys_and_sets_that_spark_sizes_too_low_are_not_broadcast(spark, monkeypatch):
+    rnd = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    given = dict(enumerate(t for size, words in ((30, 60), (20, 90)) for t in loose_group(rnd, vocabulary, size, words)))
+    plans, write = {}, neardup.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(neardup, "written", noted)
+    docs = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
+    assert got == plain(given)
+    # tables of this size would be, if they were sized by the files they come from
+    for name, held in (("members", "explode"), ("links", "shingles"), ("groups", "shingles")):
+        assert held in plans[name] and "Broadcast" not in plans[name], name
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

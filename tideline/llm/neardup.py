@@ -124,6 +124,17 @@ def table_keys(parts: str, collections: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i * collections + j), F.col(parts)[i], F.col(parts)[j]) for i, j in combinations(range(collections), 2)])
 
 
+def bucket_members(classes: DataFrame, collections: int) -> DataFrame:
+    """(key, node, least) of every bucket with several nodes; ``least`` is the least of them.
+
+    Spark sizes the exploded keys by the file of the classes, some hundred times too low, and would send all of them through
+    the driver while that is under its limit; the hint keeps this join a shuffle at any size.
+    """
+    keyed = classes.select("node", F.explode(table_keys("parts", collections)).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    return keyed.hint("merge").join(buckets.select("key", "least"), "key")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sets have at least ``percent`` of their union in common."""
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a"))
@@ -159,7 +170,8 @@ def open_members(members: DataFrame, found: DataFrame, sets: DataFrame, percent:
         .withColumn("reach", F.floor(F.col("shared") * (100 + percent) / percent) - F.col("size"))
         .withColumn("alive", F.col("reach") >= F.col("size"))
     )
-    return members.join(sized, "node")
+    # their file is small for what the members take in memory, so they are not to be sent through the driver by its size
+    return members.hint("merge").join(sized, "node")
 
 
 def around_centres(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -234,12 +246,11 @@ def near_duplicates(
     worded = sketched.where("n_shingles > 0 and doc is not null")
     # equal sets are one class; its sketch is that of any member
     classes = written(worded.groupBy("digest").agg(F.min("doc").alias("node"), F.first("parts").alias("parts")), "classes")
-    keyed = classes.select("node", F.explode(table_keys("parts", collections)).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = written(keyed.join(buckets.select("key", "least"), "key"), "members")
+    members = written(bucket_members(classes, collections), "members")
     near = members.select(F.col("node").alias("doc")).distinct()
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(near, "doc", "left_semi")
-    sets = written(shingle_sets(texts, "doc", "text", shingle), "sets")
+    # the sets of near copies fill a file many times smaller than themselves, so its size must not decide to broadcast them
+    sets = written(shingle_sets(texts, "doc", "text", shingle), "sets").hint("merge")
     pairs = members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = written(confirmed(pairs, sets, percent), "links")
     found = components(links)
