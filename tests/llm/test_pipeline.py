@@ -9,6 +9,8 @@ import pytest
 import tiktoken
 from tiktoken.load import load_tiktoken_bpe
 
+from tideline.llm import neardup
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -39,6 +41,22 @@ def test_ids_of_further_texts_are_numbers_of_their_own(spark):
     assert len({keys[5, "x"], keys[5, "y"]}) == 2 and 5 in (keys[5, "x"], keys[5, "y"]) and max(keys[5, "x"], keys[5, "y"]) > 8
 
 
+def test_near_duplicate_stage_broadcasts_neither_keys_nor_sets(spark, monkeypatch):
+    plans, write = {}, neardup.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(neardup, "written", noted)
+    a, b = prose(1), prose(2)
+    rows = [(1, a), (2, a.replace(a.split()[30], "changed", 1)), (3, b), (3, a), (None, b)]
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), SMALL)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (3, b), (None, b)], key=repr)
+    for name, held in (("members", "explode"), ("links", "shingles")):
+        assert held in plans[name] and "Broadcast" not in plans[name], name
+
+
 def test_stages_on_empty_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
